@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing
-from tidemark.llm.common import documents
+from tidemark.llm import exact_dedup, line_dedup, mixing, sentencepiece_codec, token_files
+from tidemark.llm.common import documents, materialise
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +28,28 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids and of the text that they decode to."""
+    return sentencepiece_codec.digests(sentencepiece_codec.encode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model")))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each document has and loses, and a digest of what stays."""
+    docs = documents(spark, sf_dir)
+    counts = materialise(line_dedup.reference_counts(docs), "line-counts")
+    filters = materialise(line_dedup.build_filters(counts), "line-filters")
+    return line_dedup.drop_lines(docs, counts, filters).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, length and checksum of each document's ids, as read back from the files."""
+    files = token_files.write(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return token_files.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pareto_mix, op6_exact_dedup)}
+    return {f.__name__: f for f in (op3_pareto_mix, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_pareto_mix": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
