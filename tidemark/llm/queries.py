@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, line_dedup, mixing, sentencepiece_codec, token_files
+from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join, sentencepiece_codec, token_files
 from tidemark.llm.common import documents, materialise
 
 
@@ -23,6 +23,11 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of three-word n-grams reach a Jaccard of 0.9, by links."""
+    return ngram_join.ngram_join(documents(spark, sf_dir), n=3, percent=90)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts and the row of each that stays."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
@@ -48,7 +53,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pareto_mix, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op3_pareto_mix, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
