@@ -300,7 +300,7 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
     huge = large.where(F.col("sets") > PIVOT_FROM).select("comp", "node", "elements", blocks.alias("blocks"))
     chosen = huge.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")).agg(F.min("node").alias("node")).select("comp", "node")
     own = huge.select(F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("tile"), "node", "elements", F.lit(False).alias("pivot"))
-    sent = huge.join(chosen, ["comp", "node"]).select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"), "comp", "node", "elements")
+    sent = huge.join(chosen, ["comp", "node"]).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "comp", "node", "elements")
     near = materialise(_compare_with_pivots(own.unionByName(sent.select(F.xxhash64("comp", "block").alias("tile"), "node", "elements", F.lit(True).alias("pivot"))), percent), "pivot-links")
     labels = components(near).select("node", F.xxhash64("root").alias("label"))
 
