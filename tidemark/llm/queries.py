@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join, sentencepiece_codec, token_files
-from tidemark.llm.common import documents, materialise
+from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join, ppm, sentencepiece_codec, token_files
+from tidemark.llm.common import documents, fold, materialise
 
 
 def tokenizer(name: str) -> str:
@@ -52,8 +52,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of each text under the byte model and under word frequencies."""
+    scored = ppm.score(documents(spark, sf_dir), fold(5) != 1)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pareto_mix, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op3_pareto_mix, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm)}
 
 
 def oracle_sql() -> dict[str, str]:
