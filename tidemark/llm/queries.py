@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join, ppm, sentencepiece_codec, token_files
+from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join, ppm, sentencepiece_codec, spotsigs, token_files
 from tidemark.llm.common import documents, fold, materialise
 
 
@@ -23,6 +23,12 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and its edited text, and their likeness."""
+    found = spotsigs.fingerprints(documents(spark, sf_dir))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of three-word n-grams reach a Jaccard of 0.9, by links."""
     return ngram_join.ngram_join(documents(spark, sf_dir), n=3, percent=90)
@@ -59,7 +65,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pareto_mix, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm)}
+    return {f.__name__: f for f in (op3_pareto_mix, op4_spotsigs, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm)}
 
 
 def oracle_sql() -> dict[str, str]:
