@@ -15,7 +15,9 @@ never listed. The list of files is a small table beside them; it gives each file
 
 Tokenising uses a table of distinct words per worker: a space between two characters that are no white space always starts a
 new pre-token of a byte-level BPE, so what stands between such spaces is tokenised once per worker and joined back by position.
-Texts in which a space touches other white space, or that hold an added token, go to the library as a whole.
+A new word is cut into pre-tokens by the scheme's pattern and these go to the library's BPE model; words with characters beyond
+Latin go to the library's full path. Texts in which a space touches other white space, or that hold an added token, are
+encoded by the library as a whole.
 
 Defined cases: null text counts as empty, and has the end id only; a null document id sorts last and reads back as null; rows
 that repeat an id follow each other; an empty table gives a list without files; other columns are ignored.
@@ -23,9 +25,11 @@ that repeat an id follow each other; an empty table gives a list without files;
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,7 +46,9 @@ BLOCK_IDS = 1 << 16
 TABLE_CHARS = 8_000_000
 SLICE_CHARS = 2_000_000
 _NULL_ID = np.iinfo(np.int64).max
-_TOUCHING = re.compile(r"\s \s?| \s|^ | $")
+#: The pre-token pattern of byte-level BPE (fixed by that scheme).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BEYOND = re.compile("[^\0-\u024f]")
 
 _tables: dict[str, WordTable] = {}
 
@@ -59,24 +65,40 @@ class WordTable:
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         # the rule above holds where a space starts a word, and nothing is put before the text
         pairs = self.model.pre_tokenizer.pre_tokenize_str("a b. 1 ,é\nz") if self.model.pre_tokenizer else []
+        import regex
+
+        self.pattern = regex.compile(PATTERN)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the scheme shows these bytes as themselves
+        self.printable = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.by_word = self.model.normalizer is None and [p[0] for p in pairs] == ["a", "Ġb", ".", "Ġ1", "Ġ,", "Ã©", "Ċ", "z"]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.counts, self.starts, self.chars = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.touching, self.chars = np.empty(0, bool), 0
+        self.ids, self.counts, self.starts = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        """Tokenises words, each with a space before it, many in one call."""
-        ids, counts = [self.ids], [self.counts]
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            got = self.model.encode(" " + " ".join(part), add_special_tokens=False)
-            starts = np.cumsum([len(w) + 1 for w in part])  # of the next word
-            ids.append(np.array(got.ids, np.int64))
-            counts.append(np.bincount(np.searchsorted(starts, [a for a, _ in got.offsets], side="right"), minlength=len(part)))
+        """Tokenises words, each with a space before it; `touching` marks those that the rule above does not hold for."""
+        tokenize, find, printable, space = self.model.model.tokenize, self.pattern.findall, self.printable, self.printable[32]
+        found, counts = array("q"), array("q")
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, no cycles
+        for word in words:
+            if word.isalpha() and word.isascii():
+                ids = [t.id for t in tokenize(space + word)]
+            elif _BEYOND.search(word):
+                ids = self.model.encode(" " + word, add_special_tokens=False).ids
+            else:
+                shown = [p.replace(" ", space) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(printable) for p in find(" " + word)]
+                ids = [t.id for p in shown for t in tokenize(p)]
+            found.extend(ids)
+            counts.append(len(ids))
+        if collecting:
+            gc.enable()
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
+        self.touching = np.append(self.touching, [not w or w[0].isspace() or w[-1].isspace() for w in words])
+        self.ids, self.counts = np.append(self.ids, np.array(found, np.int64)), np.append(self.counts, counts).astype(np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
         self.chars += sum(map(len, words))
 
@@ -87,8 +109,7 @@ class WordTable:
         """The ids of each text."""
         if self.chars > TABLE_CHARS:
             self.clear()
-        split = [self.by_word and bool(t) and not _TOUCHING.search(t) and not any(a in t for a in self.added) for t in texts]
-        parts = [t.split(" ") if s else [] for t, s in zip(texts, split, strict=True)]
+        parts = [t.split(" ") if self.by_word and t and not any(a in t for a in self.added) else [] for t in texts]
         flat = list(chain.from_iterable(p[1:] for p in parts))
         found = list(map(self.index.get, flat))
         if None in found:
@@ -98,9 +119,12 @@ class WordTable:
         counts = self.counts[at]
         upto = np.r_[0, np.cumsum(counts)]
         ids = self.ids[np.repeat(self.starts[at] - upto[:-1], counts) + np.arange(upto[-1])]
-        ends = upto[np.r_[0, np.cumsum([max(0, len(p) - 1) for p in parts])]].tolist()
+        cuts = np.r_[0, np.cumsum([max(0, len(p) - 1) for p in parts])]
+        split = (np.diff(np.r_[0, np.cumsum(self.touching[at])][cuts]) == 0).tolist()
+        split = [ok and bool(p) and (len(p) == 1 or p[0] != "" and not p[0][-1].isspace()) for ok, p in zip(split, parts, strict=True)]
         heads = [self.whole(p[0] if s else t) for t, s, p in zip(texts, split, parts, strict=True)]
-        return [np.concatenate((h, ids[a:b])) for h, a, b in zip(heads, ends, ends[1:], strict=False)]
+        ends = upto[cuts].tolist()
+        return [np.concatenate((h, ids[a:b])) if s else h for h, s, a, b in zip(heads, split, ends, ends[1:], strict=False)]
 
 
 def word_table(path: str) -> WordTable:
