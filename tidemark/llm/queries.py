@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join, ppm, sentencepiece_codec, spotsigs, token_files
+from tidemark.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, ppm, quality, sentencepiece_codec, spotsigs, token_files
 from tidemark.llm.common import documents, fold, materialise
 
 
@@ -18,6 +18,21 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each text, from a network trained on two thirds of the documents' sample."""
+    docs = documents(spark, sf_dir)
+    net = language_id.train(language_id.examples(docs, fold(3) != 1))
+    return language_id.identify(docs.select("doc_id", "text"), net).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each text, from a classifier that knows positive and unlabelled texts."""
+    docs = documents(spark, sf_dir)
+    model, prior = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(3) != 1)
+    scored = quality.score(docs, model, prior)
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of weights 5, 2, 1 takes of each document."""
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -65,7 +80,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pareto_mix, op4_spotsigs, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_pareto_mix, op4_spotsigs, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm)}
 
 
 def oracle_sql() -> dict[str, str]:
