@@ -1 +1 @@
-"""Spark-first transcript processing."""
+"""Relational and ordered operators over transcripts."""

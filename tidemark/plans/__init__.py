@@ -1 +1,6 @@
-"""Spark-first transcript processing."""
+"""All queries of the engine, by name."""
+
+from tidemark.plans import documents_out, scalars, streams, structured  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
