@@ -61,7 +61,7 @@ class Codec:
 
     def learn(self, chunks: list[str]) -> None:
         """Segments chunks that the table does not have; the library itself puts the first marker back."""
-        ids = self.model.encode(chunks, num_threads=1)
+        ids = [x if c else [self.model.piece_to_id(MARK)] for c, x in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]  # an empty text has no marker
         decoded = self.model.decode(ids, num_threads=1)
         self.same = np.append(self.same, [a == b for a, b in zip(chunks, decoded, strict=True)])
         self.decoded += decoded
