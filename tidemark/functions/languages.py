@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names of languages (fixed values).
+#: Names of languages in their own writing, in the order they are tried (fixed values).
 NAMES = {
-    "en": "English", "zh-CN": "Simplified Chinese", "zh-TW": "Traditional Chinese", "ja": "Japanese", "ko": "Korean", "es": "Spanish",
-    "fr": "French", "de": "German", "ru": "Russian", "pt": "Portuguese", "it": "Italian", "ar": "Arabic",
+    "zh-CN": "中文", "zh-TW": "繁體中文", "en-US": "English", "en-GB": "English", "ja-JP": "日本語", "ko-KR": "한국어", "es-ES": "Español", "fr-FR": "Français",
+    "de-DE": "Deutsch", "ru-RU": "Русский", "ar": "العربية", "ar-SA": "العربية", "pt-PT": "Português", "pt-BR": "Português", "it-IT": "Italiano", "hi-IN": "हिन्दी",
 }
 
 
@@ -41,13 +41,26 @@ def is_chinese(code: Column) -> Column:
 
 
 def display_name(code: Column) -> Column:
-    """The name of a code, else that of the first code with its primary part, else the code."""
-    exact = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
-    chain = None
+    """The name of a code, else that of the first listed code that starts with the part before its hyphen, else the code."""
+    main = F.substring_index(code, "-", 1)
+    exact, prefix = None, None
     for key, name in NAMES.items():
-        hit = primary(F.lit(key)) == primary(code)
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return F.coalesce(F.try_element_at(exact, code), chain, code)
+        exact = F.when(code == key, name) if exact is None else exact.when(code == key, name)
+        prefix = F.when(F.lit(key).startswith(main), name) if prefix is None else prefix.when(F.lit(key).startswith(main), name)
+    return F.coalesce(exact, prefix, code)
+
+
+def normalize_chinese(code: Column, content: Column) -> Column:
+    """zh-Hans and zh-Hant by name, zh by the content's script (mainland if that is unclear); other codes stay."""
+    low, variant = F.lower(code), chinese_variant(F.coalesce(content, F.lit("")))
+    return F.when(low == "zh-hans", "zh-CN").when(low == "zh-hant", "zh-TW").when(low == "zh", F.when(variant == "zh", "zh-CN").otherwise(variant)).otherwise(code)
+
+
+def provider_code(code: Column) -> Column:
+    """The code a machine translator takes: one of two for Chinese, else the part before the hyphen in lower case."""
+    low = F.lower(code)
+    main = F.substring_index(low, "-", 1)
+    return F.when(main == "zh", F.when(low.isin("zh-tw", "zh_tw", "zh-hant"), "zh-TW").otherwise("zh-CN")).otherwise(main)
 
 
 def from_filename(name: Column) -> Column:
@@ -55,8 +68,8 @@ def from_filename(name: Column) -> Column:
 
 
 #: Characters that only simplified, or only traditional, Chinese writes (fixed values).
-SIMPLIFIED = "国学会时来对开关们为说还没这"
-TRADITIONAL = "國學會時來對開關們為說還沒這"
+SIMPLIFIED = "这个国为对时会着没来过样还说让给动东头长马乐业开门后进问选风云电话语车书买卖读写处办认识虽声听视观级织纸终线练经显现导层届发单双亲专转"
+TRADITIONAL = "這個國為對時會著沒來過樣還說讓給動東頭長馬樂業開門後進問選風雲電話語車書買賣讀寫處辦認識雖聲聽視觀級織紙終線練經顯現導層屆發單雙親專轉"
 
 
 def chinese_variant(text: Column, least: int = 10) -> Column:

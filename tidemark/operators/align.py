@@ -12,7 +12,7 @@ from tidemark.functions.languages import matches
 #: Languages that are good sources for translation, the best first (fixed values).
 COMMON = ("en", "en-US", "zh-CN", "zh-TW", "es", "es-ES", "de", "de-DE", "ja", "ja-JP", "fr", "fr-FR", "pt", "pt-PT", "ru", "ru-RU", "ko", "ko-KR")
 #: Languages that an original is looked for in, the best first (fixed values).
-ORIGINAL = ("en", "en-US", "en-GB", "de", "de-DE", "ja", "ja-JP", "es", "es-ES", "fr", "fr-FR", "pt")
+ORIGINAL = ("en", "zh-CN", "ja", "de", "fr", "es", "ru", "pt", "ko", "it", "ar", "hi")
 
 
 def bilingual(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFrame:

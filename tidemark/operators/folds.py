@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 #: Characters that end a sentence (fixed values).
 SENTENCE_END = "。！？.!?；;："
-CLAUSE_END = ",，、"
+#: Ends of sentences and clauses where a chunk may be cut, with closing marks behind them (fixed patterns).
+SENTENCE_CUT = r"[.!?。！？][\s\"'）\]}]*$"
+CLAUSE_CUT = r"[,;:，；：、][\s\"'）\]}]*$"
 
 
 def ends_sentence(text: Column) -> Column:
@@ -84,9 +86,8 @@ def split_points(cues: DataFrame, keys: list[str]) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(*keys))
     at = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
     seen = cues.select(*keys, "pos", "text", n.alias("n"), at.alias("i")).where("n >= 2")
-    low, high, mid = F.greatest(F.lit(1), F.floor(F.col("n") / 4)), F.floor(F.col("n") * 3 / 4), F.floor(F.col("n") / 2)
-    last = F.right(F.btrim("text", F.lit(" \t\n\r")), F.lit(1))
-    bonus = F.when(ends_sentence(F.col("text")), 2.0).when((last != "") & F.lit(CLAUSE_END).contains(last), 1.0).otherwise(0.0)
+    low, high, mid = F.greatest(F.lit(1), F.floor(F.col("n") / 4)), F.least(F.col("n") - 1, F.floor(F.col("n") * 3 / 4)), F.floor(F.col("n") / 2)
+    bonus = F.when(F.col("text").rlike(SENTENCE_CUT), 2.0).when(F.col("text").rlike(CLAUSE_CUT), 1.0).otherwise(0.0)
     score = 1.0 - F.abs(F.col("i") - mid) / (high - low + 1) + bonus
     ranked = seen.where((F.col("i") >= low) & (F.col("i") <= high)).withColumn("score", score)
     best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "i"))

@@ -53,7 +53,8 @@ def archive_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRIMARY = "lower(regexp_extract({0}, '^[^-_]*', 0))"
 _NORMAL = "CASE WHEN lower(code) IN ('zh-cn', 'zh_cn') THEN 'zh-CN' WHEN lower(code) IN ('zh-tw', 'zh_tw') THEN 'zh-TW' ELSE " + _PRIMARY.format("code") + " END"
 _MATCH = "({0} = {1} OR (NOT ((replace(lower({0}), '_', '-') = 'zh-cn' AND replace(lower({1}), '_', '-') = 'zh-tw') OR (replace(lower({0}), '_', '-') = 'zh-tw' AND replace(lower({1}), '_', '-') = 'zh-cn')) AND " + _PRIMARY.format("{0}") + " = " + _PRIMARY.format("{1}") + "))"
-_NAME = "CASE primary_code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in languages.NAMES.items() if "-" not in k) + " WHEN 'zh' THEN 'Simplified Chinese' ELSE code END"
+_MAIN = "string_split(code, '-')[1]"
+_NAME = "CASE " + " ".join(f"WHEN code = '{k}' THEN '{v}'" for k, v in languages.NAMES.items()) + " " + " ".join(f"WHEN starts_with('{k}', {_MAIN}) THEN '{v}'" for k, v in languages.NAMES.items()) + " ELSE code END"
 
 
 @query(with_("lang_codes") + f"SELECT doc_id, {_NORMAL} AS normal, {_PRIMARY.format('code')} AS primary_code, starts_with(lower(code), 'zh') OR lower(code) IN ('cmn', 'yue') AS chinese FROM lang_codes")
@@ -62,7 +63,7 @@ def lang_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.lang_codes(spark, sf_dir).select("doc_id", languages.normalize(c).alias("normal"), languages.primary(c).alias("primary_code"), languages.is_chinese(c).alias("chinese"))
 
 
-@query(with_("lang_codes") + f", p AS (SELECT doc_id, code, {_PRIMARY.format('code')} AS primary_code FROM lang_codes) SELECT doc_id, CASE WHEN code = 'zh-CN' THEN 'Simplified Chinese' ELSE {_NAME} END AS name FROM p")
+@query(with_("lang_codes") + f"SELECT doc_id, {_NAME} AS name FROM lang_codes")
 def lang_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.lang_codes(spark, sf_dir).select("doc_id", languages.display_name(F.col("code")).alias("name"))
 

@@ -86,10 +86,10 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(folds.text_slices(F.col("text"), 1000)).alias("slice", "part")).select("doc_id", F.col("slice").cast("long").alias("slice"), "part")
 
 
-@query(with_("cues") + """, s AS (SELECT video_id, pos, text, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS i FROM cues
+@query(with_("cues") + r""", s AS (SELECT video_id, pos, text, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS i FROM cues
 ), c AS (
-  SELECT video_id, i AS split_at, 1.0::DOUBLE - abs(i - n // 2)::DOUBLE / (n * 3 // 4 - greatest(1, n // 4) + 1)::DOUBLE + CASE WHEN right(trim(text), 1) IN ('。','！','？','.','!','?','；',';','：') THEN 2.0::DOUBLE WHEN right(trim(text), 1) IN (',','，','、') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
-  FROM s WHERE n >= 2 AND i >= greatest(1, n // 4) AND i <= n * 3 // 4
+  SELECT video_id, i AS split_at, 1.0::DOUBLE - abs(i - n // 2)::DOUBLE / (least(n - 1, n * 3 // 4) - greatest(1, n // 4) + 1)::DOUBLE + CASE WHEN regexp_matches(text, '[.!?。！？][\s"''）\]}]*$') THEN 2.0::DOUBLE WHEN regexp_matches(text, '[,;:，；：、][\s"''）\]}]*$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+  FROM s WHERE n >= 2 AND i >= greatest(1, n // 4) AND i <= least(n - 1, n * 3 // 4)
 ), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, split_at) AS k FROM c)
 SELECT video_id, split_at, score FROM r WHERE k = 1""")
 def split_point(spark: SparkSession, sf_dir: str) -> DataFrame:
