@@ -1,11 +1,14 @@
 """Exact Jaccard self-join on word n-grams: size-banded tiles, hashed bitmaps, sorted-array intersection.
 
 1. A document is the set of its n-grams, as sorted 64-bit hashes; equal sets share a digest and are one node from here on.
-2. Candidates: sets that reach the threshold differ in at most D elements, where D follows from their sizes. Inside a window of
-   sizes the hash range is cut into more than D parts, so linked sets agree on some part as a whole. A part's sum is its
-   signature. Parts of few elements say little; a set with few such parts need not send them, because there are more parts
-   than D by `spare`, and a set with more of them sends them all. So no pair is lost. Buckets of one signature are
-   linked to their least node, not pairwise, and connected components of these links hold all pairs that can reach the threshold.
+2. Survivors: a set that links to another lacks few of its elements there. Of its least hashes, half as many again as it may lack are
+   sent to a count of who has them; unless enough of these occur in another set too, it can link to nothing and leaves.
+   Candidates: sets that reach the threshold differ in at most D elements, where D follows from their sizes. Inside a window of
+   sizes the hash range is cut into more than D / 2 parts, so some part differs in one element at most, and of its quarters
+   three are equal: sums over three quarters are the signatures. Parts of few elements say little; a set with few such parts
+   need not send them, because there are parts to `spare`, and a set with more of them sends them all. So no pair is lost.
+   Buckets of one signature are linked to their least node, not pairwise, and connected components of these links hold all
+   pairs that can reach the threshold.
 3. Tiles: a component's sets are dealt into blocks of bounded size by size band; two blocks make a tile if their bands touch. In a
    tile, bitmaps of hashed elements are compared by bit counts: an element whose bit the other bitmap lacks is not in the other
    set, which bounds the overlap from above. Pairs that pass are decided by intersecting the sorted arrays. Pairs that are
@@ -35,7 +38,7 @@ from tidemark.llm.components import components
 
 #: A window of sizes ends at this multiple of its start.
 WINDOW = 1.5
-#: Parts with fewer elements say little.
+#: Signatures of fewer elements say little.
 WEAK = 3
 #: Sets, and elements, that a block holds on average at most.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
@@ -104,6 +107,17 @@ def windows(size: int, percent: int) -> list[tuple[int, int]]:
     return found
 
 
+def probes(size: int, percent: int) -> tuple[int, int]:
+    """How many of its least hashes a set of this size sends, and how many of them a linked set must send as well.
+
+    A set lacks at most `lost` elements in a linked one. Of two linked sets, the one whose sent hashes end first finds all it sent
+    but `lost` among those the other sent; the bound returned holds for every partner's size.
+    """
+    lost = lambda n: n * (100 - percent) // 100
+    need = lambda n: min(n - lost(n), lost(n) // 2 + 2)
+    return lost(size) + need(size), min(need(size), need(max(1, -(-size * percent // 100))))
+
+
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a set: linked sets that differ share one at least."""
     found = []
@@ -112,13 +126,17 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         most = differing(2 * top, percent)
         if not most:
             continue  # linked sets of these sizes are equal
-        spare = 2 + most // 8
-        parts = most + 1 + spare
-        cuts = np.r_[0, np.searchsorted(elements, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)), len(elements)]
-        sums_of = sums[cuts[1:]] - sums[cuts[:-1]]
-        names = mixed(sums_of ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32)))
-        weak = np.diff(cuts) < WEAK
-        found.append(names if weak.sum() > spare else names[~weak])
+        needed = most // 2 + 1
+        spare = 1 + needed // 8
+        parts = needed + spare
+        edges = (np.arange(1, 4 * parts, dtype=np.float64) * (2.0**64 / (4 * parts))).astype(np.uint64)
+        cuts = np.r_[0, np.searchsorted(elements, edges), len(elements)]
+        quarters = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(parts, 4)
+        counts = np.diff(cuts).reshape(parts, 4)
+        three = quarters.sum(1, dtype=np.uint64)[:, None] - quarters  # all but one quarter
+        names = mixed(three ^ mixed(np.arange(4 * parts, dtype=np.uint64).reshape(parts, 4) + np.uint64(k << 32)))
+        weak = counts.sum(1) - counts.max(1) < WEAK
+        found.append((names if weak.sum() > spare else names[~weak]).ravel())
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -127,33 +145,35 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (digest), short (its first 64 bits), signatures (null where the task has sent them before)."""
+    """doc_id, n_shingles, node (digest), short (its first 64 bits), need, probes (null where the task has sent them before)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         shingles, sent = Shingler(n), set()
         for batch in batches:
-            sizes, nodes, lists = [], [], []
+            sizes, nodes, needs, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 sizes.append(len(s))
                 node = xxh3_128_digest(s.tobytes()) if len(s) else None
                 nodes.append(node)
+                send, need = probes(len(s), percent)
+                needs.append(need)
                 if node is None or node in sent:
                     lists.append(None)
                     continue
                 if len(sent) > KEPT_WORDS:
                     sent.clear()
                 sent.add(node)
-                lists.append(_signed(signatures(s, percent)))
+                lists.append(_signed(s[:send]))
             short = np.array([int.from_bytes(x[:8], "little", signed=True) if x else 0 for x in nodes], np.int64)
             ends = np.cumsum([0 if x is None else len(x) for x in lists])
             offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[[x is None for x in lists], False])
             values = np.concatenate([x for x in lists if x is not None] or [np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(short), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["doc_id", "n_shingles", "node", "short", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(short), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["doc_id", "n_shingles", "node", "short", "need", "probes"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(rows, "doc_id long, n_shingles long, node binary, short long, signatures array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(rows, "doc_id long, n_shingles long, node binary, short long, need int, probes array<long>")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -331,25 +351,35 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     sets = materialise(set_table(docs, n, percent, id_col, text_col), "ngram-sets")
     from pyspark.sql import Window
 
-    sent = sets.where("signatures is not null").select("short", F.explode("signatures").alias("signature"))
-    first = F.first("short").over(Window.partitionBy("signature").orderBy("short"))
-    candidates = components(sent.select(F.col("short").alias("a"), first.alias("b")).where("a != b"))
+    # sets enough of whose least elements other sets have too
+    sent = sets.where("probes is not null").select("short", "need", F.explode("probes").alias("probe"))
+    by_probe = Window.partitionBy("probe")
+    shared = sent.select("short", "need", (F.min("short").over(by_probe) < F.max("short").over(by_probe)).alias("shared")).where("shared")
+    survivors = shared.groupBy("short", "need").agg(F.count("*").alias("n")).where("n >= need").select("short")
 
-    # the text of one document for each set that has candidates
-    picked = sets.where("node is not null").join(candidates.select(F.col("node").alias("short"), F.col("root").alias("comp")), "short").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("comp").alias("comp"))
-    texts = _rows(docs, id_col, text_col).join(picked, "doc_id").select("node", "comp", "text")
+    # the text of one document for each of them
+    picked = sets.where("node is not null").join(survivors, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short"))
+    texts = _rows(docs, id_col, text_col).join(picked, "doc_id").select("node", "short", "text")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         shingles = Shingler(n)
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]
-            kept = [xxh3_128_digest(s) == node for s, node in zip(sets, batch.column(0).to_pylist(), strict=True)]  # not another row of that id
-            mask = pa.array(kept)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array([len(s) // 8 for s, k in zip(sets, kept, strict=True) if k], pa.int64()), pa.array([s for s, k in zip(sets, kept, strict=True) if k], pa.binary())], names=["node", "comp", "n_shingles", "elements"])
+            found = [shingles(t) for t in batch.column(2).to_pylist()]
+            kept = [xxh3_128_digest(s.tobytes()) == node for s, node in zip(found, batch.column(0).to_pylist(), strict=True)]  # not another row of that id
+            mask, found = pa.array(kept, pa.bool_()), [s for s, k in zip(found, kept, strict=True) if k]
+            names = [_signed(signatures(s, percent)) for s in found]
+            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in names])].astype(np.int32))
+            values = pa.array(np.concatenate(names) if names else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["node", "short", "n_shingles", "elements", "signatures"])
+
+    sized = materialise(texts.mapInArrow(elements, "node binary, short long, n_shingles long, elements binary, signatures array<long>"), "ngram-members")
+    signed = sized.select("short", F.explode("signatures").alias("signature"))
+    first = F.first("short").over(Window.partitionBy("signature").orderBy("short"))
+    candidates = components(signed.select(F.col("short").alias("a"), first.alias("b")).where("a != b"))
+    members = sized.select("node", "short", "n_shingles", "elements").join(candidates.select(F.col("node").alias("short"), F.col("root").alias("comp")), "short").drop("short")
 
-    members = materialise(texts.mapInArrow(elements, "node binary, comp long, n_shingles long, elements binary"), "ngram-members")
     roots = components(verified_links(members, percent))
     classed = sets.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     least = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
