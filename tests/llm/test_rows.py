@@ -191,6 +191,22 @@ def test_signatures_never_miss():
                 assert set(ngram_join.signatures(a, percent)) & set(ngram_join.signatures(b, percent))
 
 
+def test_linked_sets_send_enough_common_hashes():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        size = int(r.integers(1, 300))
+        a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+        drop, add = r.integers(0, size // 9 + 2, 2)
+        b = np.unique(np.r_[r.permutation(a)[drop:], r.integers(0, 2**63, add).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        for percent in (80, 90):
+            if both and both * 100 >= percent * (len(a) + len(b) - both):
+                (send_a, need_a), (send_b, need_b) = ngram_join.probes(len(a), percent), ngram_join.probes(len(b), percent)
+                assert len(np.intersect1d(a[:send_a], b[:send_b])) >= max(need_a, need_b)
+
+
 def test_components_of_a_long_path(spark):
     ids = spark.range(200).select(F.col("id"), F.xxhash64("id").alias("h"))
     edges = ids.join(ids.select((F.col("id") - 1).alias("id"), F.col("h").alias("next")), "id").select(F.col("h").alias("a"), F.col("next").alias("b"))

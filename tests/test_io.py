@@ -67,3 +67,17 @@ def test_stream_processes_once(spark, tmp_path):
     run()
     run()
     assert sorted(r["video_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+class Short:
+    def generate(self, prompt):
+        if len(prompt) > 20 or "never" in prompt:
+            raise ValueError("too long")
+        return prompt.upper()
+
+
+def test_bisecting(spark, tmp_path):
+    providers.register("short", Short)
+    rows = [(1, "\n\n".join(f"cue {i}" for i in range(9))), (2, "a"), (3, "cue 1\n\nnever\n\n" + "cue " * 9)]
+    got = providers.call_bisecting(spark.createDataFrame(rows, "k int, t string"), ["k"], "t", "short", str(tmp_path), least=5)
+    assert {r["k"]: r["answer"] for r in got.collect()} == {1: "\n\n".join(f"CUE {i}" for i in range(9)), 2: "A", 3: None}

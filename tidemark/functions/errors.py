@@ -23,20 +23,21 @@ def message_of(stderr: Column) -> Column:
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for w in words:
-        found = found | text.contains(w)
-    return found
+    """One pattern for all words; none of them has a character that patterns treat specially."""
+    return text.rlike("|".join(words))
 
 
 def classify(stderr: Column, timed_out: Column) -> Column:
     """The class of a failed fetch; the first rule that holds decides."""
-    low = F.lower(message_of(stderr))
-    rule = F.when(timed_out, "timeout").when(_any(low, NETWORK), "network")
-    rule = rule.when(low.contains("authentication") & _any(low, ("webpage", "without a successful")), "network")
-    rule = rule.when(stderr.contains("429") | _any(low, ("rate limit", "too many requests")), "rate_limit")
-    rule = rule.when(_any(low, COOKIE_EXPIRED), "cookie_expired").when(_any(low, AUTH), "auth").when(_any(low, CONTENT), "content")
-    return rule.when(low.contains("does not look like a netscape format") | (low.contains("cookie") & low.contains("format")), "auth").otherwise("external_service")
+
+    def rules(low: Column) -> Column:
+        rule = F.when(timed_out, "timeout").when(_any(low, NETWORK), "network")
+        rule = rule.when(low.contains("authentication") & _any(low, ("webpage", "without a successful")), "network")
+        rule = rule.when(stderr.contains("429") | _any(low, ("rate limit", "too many requests")), "rate_limit")
+        rule = rule.when(_any(low, COOKIE_EXPIRED), "cookie_expired").when(_any(low, AUTH), "auth").when(_any(low, CONTENT), "content")
+        return rule.when(low.contains("does not look like a netscape format") | (low.contains("cookie") & low.contains("format")), "auth").otherwise("external_service")
+
+    return F.get(F.transform(F.array(F.lower(message_of(stderr))), rules), F.lit(0))  # the message is computed once
 
 
 def should_retry(error_type: Column) -> Column:

@@ -14,7 +14,7 @@ NAMES = {
 
 def primary(code: Column) -> Column:
     """The part before - or _, in lower case."""
-    return F.lower(F.regexp_extract(code, "^[^-_]*", 0))
+    return F.lower(F.substring_index(F.substring_index(code, "-", 1), "_", 1))
 
 
 def normalize(code: Column) -> Column:

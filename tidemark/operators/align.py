@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.languages import matches
+from tidemark.functions.languages import matches, primary
 
 #: Languages that are good sources for translation, the best first (fixed values).
 COMMON = ("en", "en-US", "zh-CN", "zh-TW", "es", "es-ES", "de", "de-DE", "ja", "ja-JP", "fr", "fr-FR", "pt", "pt-PT", "ru", "ru-RU", "ko", "ko-KR")
@@ -58,14 +58,14 @@ def select_source(videos: DataFrame, tracks: DataFrame) -> DataFrame:
     `videos`: video_id, has_original. `tracks`: video_id, lang, is_auto, pos, fetched. In tier 1, each common language in order
     looks at its first matching track only, manual before automatic. A video without a track is left out.
     """
-    order = videos.sparkSession.createDataFrame([(i, c) for i, c in enumerate(COMMON)], "rank int, common string")
-    hits = tracks.join(F.broadcast(order), matches(F.col("lang"), F.col("common")))  # 18 rows
+    order = videos.sparkSession.createDataFrame([(i, c) for i, c in enumerate(COMMON)], "rank int, common string").withColumn("_primary", primary(F.col("common")))
+    tracks = tracks.withColumn("_primary", primary(F.col("lang")))
+    hits = tracks.join(F.broadcast(order), "_primary").where(matches(F.col("lang"), F.col("common")))  # 18 rows
     first = F.row_number().over(Window.partitionBy("video_id", "rank").orderBy("is_auto", "pos"))
     tier1 = hits.withColumn("_r", first).where("_r = 1 and fetched").select("video_id", "lang", F.lit(1).alias("tier"), "rank")
     tier2 = videos.where("has_original").select("video_id", F.lit("original").alias("lang"), F.lit(2).alias("tier"), F.lit(0).alias("rank"))
-    common = F.lit(False)
-    for c in COMMON:
-        common = common | matches(F.col("lang"), F.lit(c))
+    # both Chinese scripts are listed, so a code matches a common language if and only if their primary parts are equal
+    common = F.col("_primary").isin(*sorted({c.split("-")[0] for c in COMMON}))
     rest = tracks.where(~common & F.col("fetched")).select("video_id", "lang", F.when(F.col("is_auto"), 4).otherwise(3).alias("tier"), F.col("pos").alias("rank"))
     every = tier1.unionByName(tier2).unionByName(rest)
     return every.groupBy("video_id").agg(F.min_by(F.struct("lang", "tier"), F.struct("tier", "rank")).alias("best")).select("video_id", "best.lang", "best.tier")

@@ -90,3 +90,29 @@ def map_reduce(rows: DataFrame, key: str, text: str, provider: str, size: int =
 def translate_or_keep(answer: Column, original: Column) -> Column:
     """A failed call leaves the original text."""
     return F.coalesce(answer, original)
+
+
+def call_bisecting(chunks: DataFrame, keys: list[str], text: str, provider: str, place: str, least: int = 500, rounds: int = 12) -> DataFrame:
+    """`keys`, answer: a provider's answers to chunks of cues; a chunk whose call fails is cut in two at a blank line and tried again.
+
+    Halves shorter than `least` characters, or of one cue, are not cut: if they fail, the whole chunk has no answer. Each round is
+    written below `place`, so no call is paid for twice; only rows that failed reach the next round, and a chunk has at most 2^rounds parts.
+    """
+    spark, pending, seen = chunks.sparkSession, chunks.select(*keys, F.lit("").alias("_path"), F.col(text).alias("_text")), None
+    for number in range(rounds):
+        call(pending, provider, "_text").write.mode("overwrite").parquet(f"{place}/round={number}")
+        answered = spark.read.parquet(f"{place}/round={number}")
+        entries = F.filter(F.split("_text", r"\n\n+"), lambda e: F.trim(e) != "")
+        cut = answered.where("answer is null").withColumn("_e", entries).withColumn("_again", (F.length("_text") > least) & (F.size("_e") > 1))
+        kept = answered.where("answer is not null").select(*keys, "_path", "answer").unionByName(cut.where("not _again").select(*keys, "_path", "answer"))
+        seen = kept if seen is None else seen.unionByName(kept)
+        half = F.floor(F.size("_e") / 2).cast("int")
+        parts = F.array(F.struct(F.lit("0").alias("side"), F.array_join(F.slice("_e", 1, half), "\n\n").alias("t")), F.struct(F.lit("1").alias("side"), F.array_join(F.slice("_e", half + 1, F.size("_e")), "\n\n").alias("t")))
+        pending = cut.where("_again").select(*keys, "_path", F.explode(parts).alias("_p")).select(*keys, F.concat("_path", "_p.side").alias("_path"), F.col("_p.t").alias("_text"))
+        if pending.isEmpty():
+            break
+    else:
+        seen = seen.unionByName(pending.select(*keys, "_path", F.lit(None).cast("string").alias("answer")))
+    ordered = F.array_sort(F.collect_list(F.struct("_path", "answer")))
+    whole = seen.groupBy(*keys).agg(F.count("*").alias("_n"), F.count("answer").alias("_there"), F.array_join(F.transform(ordered, lambda x: x["answer"]), "\n\n").alias("answer"))
+    return whole.select(*keys, F.when(F.col("_n") == F.col("_there"), F.col("answer")).alias("answer"))
