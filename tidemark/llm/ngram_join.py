@@ -302,16 +302,21 @@ def _band(percent: int) -> Column:
     return F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(100 / percent) * 1.000001)).cast("int")
 
 
-def verified_links(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: verified links that connect all linked sets of `members` (node, n_shingles, comp, elements)."""
-    of_comp = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
+def verified_links(sized: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """a, b: verified links that connect all linked sets of `sized` (node, short, n_shingles, elements) in one of `candidates` (short, comp)."""
+    # sizes of components come from numbers alone; elements are moved once, to a table that all branches read
+    keyed = sized.select("short", "n_shingles").join(candidates, "short")
+    of_comp = keyed.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
+    keys = candidates.join(of_comp, "comp")
+    # a merge join at every size: the keys grow with the corpus, and both plans give the same rows
+    dealt = sized.select("node", "short", "n_shingles", "elements").join(keys.hint("merge"), "short").drop("short")
+    dealt = materialise(dealt, "dealt")
     small = (F.col("sets") <= BLOCK_SETS) & (F.col("total") <= BLOCK_ELEMENTS)
-    dealt = members.join(of_comp, "comp")
     # components that fit in a block are one tile
     tiles = dealt.where(small).select(F.xxhash64("comp").alias("tile"), "node", "elements", F.lit(2).alias("side"), F.lit(0).cast("long").alias("label"))
     links = _compare_tiles(tiles, percent)
 
-    large = materialise(dealt.where(~small), "large-components")
+    large = dealt.where(~small)
     if large.isEmpty():
         return links
 
@@ -378,9 +383,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     signed = sized.select("short", F.explode("signatures").alias("signature"))
     first = F.first("short").over(Window.partitionBy("signature").orderBy("short"))
     candidates = components(signed.select(F.col("short").alias("a"), first.alias("b")).where("a != b"))
-    members = sized.select("node", "short", "n_shingles", "elements").join(candidates.select(F.col("node").alias("short"), F.col("root").alias("comp")), "short").drop("short")
-
-    roots = components(verified_links(members, percent))
+    candidates = candidates.select(F.col("node").alias("short"), F.col("root").alias("comp"))
+    roots = components(verified_links(sized, candidates, percent))
     classed = sets.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     least = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     shown = lambda c: F.when(F.col(c) != _LAST_ID, F.col(c))
