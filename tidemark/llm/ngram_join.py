@@ -41,7 +41,9 @@ WINDOW = 1.5
 #: Signatures of fewer elements say little.
 WEAK = 3
 #: Sets, and elements, that a block holds on average at most.
-BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
+BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1_600_000
+#: Bits of a bitmap at most; sets of more elements share bits, which loosens the bound and loses nothing.
+MAX_BITS = 1 << 15
 #: Components of more sets are compared with pivots first.
 PIVOT_FROM, PIVOTS = 2000, 8
 #: Distinct words whose hashes a worker keeps.
@@ -182,7 +184,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """One row of 64-bit words per set: the bits of its hashed elements."""
-    bits = max(256, 1 << int(4 * max(map(len, sets)) - 1).bit_length())
+    bits = min(MAX_BITS, max(256, 1 << int(4 * max(map(len, sets)) - 1).bit_length()))
     at = (mixed(np.concatenate(sets)) & np.uint64(bits - 1)).astype(np.int64) + np.repeat(np.arange(len(sets)) * bits, [len(s) for s in sets])
     flags = np.zeros(len(sets) * bits, np.uint8)
     flags[at] = 1
