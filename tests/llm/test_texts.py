@@ -173,6 +173,25 @@ def test_ppm_rows(spark, kept):
     assert ppm.score(empty(spark), fold(5) != 1).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 40, ppm.HOT_CODES])
+def test_ppm_scores_by_the_whole_trie(spark, hot):
+    """Whatever number of codes workers hold: contexts seen once count, and held-out texts escape as in a trie of all orders."""
+    docs = [(d, t or "") for d, t, *_ in rows()] + [(900, "zq once only zq"), (901, "漢字 zq")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = ppm.score(df, fold(5) != 1, hot_codes=hot).collect()
+    learnt = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1
+    lower = lambda t: t.encode().lower()
+    data, _ = ppm.symbols([lower(t) for d, t in docs if learnt(d)], 5)
+    found = ppm.codes(data, 0, len(data), 5)
+    keys, n = np.unique(found[(found & np.uint64(255)) != ppm.START], return_counts=True)
+    trie = ppm.Trie(5, keys, n, [ppm._summed(keys & np.uint64((1 << 8 * (k + 1)) - 1), n) for k in range(5)])
+    want = sorted(zip((repr(d) for d, _ in docs), trie.scores([lower(t) for _, t in docs]), strict=True))
+    have = sorted((repr(r["doc_id"]), r["score"]) for r in got)
+    assert [d for d, _ in have] == [d for d, _ in want]
+    assert [x for _, x in have] == pytest.approx([x for _, x in want], rel=1e-5)
+    assert not all(learnt(d) for d, _ in docs)
+
+
 def test_ppm_gains_on_held_out_texts(spark):
     got = queries()["op10_ppm"](spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
