@@ -295,6 +295,22 @@ def test_pipeline_equals_brute_force(spark):
     assert all(list(r["ids"]) == codec.model.encode(text[r["doc_id"]]) for r in got)
 
 
+def test_pipeline_language_stage_rejects_by_the_network(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    lettered = sum(re.search(r"[^\W\d_]", r["text"] or "") is not None for r in docs.collect())
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert P.language(spark, unlabelled, SMALL).count() == lettered > 0  # nothing to learn from
+    unsure = language_id.Network.random(["de", "en", "fr"], 4, 1)
+    unsure.output = [w * 0 for w in unsure.output]
+    monkeypatch.setattr(language_id, "train", lambda _: unsure)
+    assert P.language(spark, docs, SMALL).count() == 0  # chance for every text
+    unsure.bias[1] = 1.0
+    assert P.language(spark, docs, SMALL).count() == lettered
+    assert language_id.least_score(language_id.Network.random(["en"], 4, 1)) == 0
+
+
 def test_pipeline_stages_take_hard_rows(spark):
     import corpus_pipeline as P
 

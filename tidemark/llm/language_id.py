@@ -31,6 +31,8 @@ from tidemark.llm.common import text_of
 SAMPLE, LANGUAGES = 500, 64
 #: Bytes in a window, states per direction, windows that advance together.
 WINDOW, STATES, LANES = 128, 8, 4096
+#: What a text's score must be above chance (one over the number of languages), as a share of the way from chance to 1.
+LEAST_GAIN = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -222,3 +224,22 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], schema=arrow)
 
     return docs.select(*[f.name for f in kept.fields]).mapInArrow(rows, out)
+
+
+def least_score(net: Network) -> float:
+    """The pooled probability below which a text has no language: hardly more than chance. With one language no text is below."""
+    chance = 1 / len(net.languages)
+    return chance + LEAST_GAIN * (1 - chance) if len(net.languages) > 1 else 0.0
+
+
+def with_language(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that have letters and a language by the network; without a network, all that have letters."""
+    if net is not None:
+        return identify(docs, net, text_col=text_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score(net))).select(*docs.columns)
+    at = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([t is not None and _LETTER.search(t) is not None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
