@@ -311,6 +311,24 @@ def test_pipeline_language_stage_rejects_by_the_network(spark, monkeypatch):
     assert language_id.least_score(language_id.Network.random(["en"], 4, 1)) == 0
 
 
+def test_pipeline_decides_rows_that_share_an_id_one_by_one(spark):
+    import corpus_pipeline as P
+
+    base = [f"w{i}" for i in range(100)]
+    text, near, other = " ".join(base), " ".join([*base[:99], "x"]), "quite another text of some words here"
+    some = [(7, text), (7, text), (None, text), (None, near), (7, near), (None, other), (None, other), (3, near + " y")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in some], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    for data in (docs, materialise(docs, "test")):
+        exact = P.exact(spark, data, SMALL)
+        assert texts(exact) == sorted([(7, text), (7, near), (None, other), (3, near + " y")], key=repr)
+        assert texts(P.near(spark, data, SMALL)) == sorted([(3, near + " y"), (None, other)], key=repr)
+        assert texts(P.near(spark, exact, SMALL)) == sorted([(3, near + " y"), (None, other)], key=repr)
+    many = docs.where("doc_id = 7").crossJoin(spark.range(50).select(F.col("id").alias("k"))).drop("k").withColumn("source", F.col("text").substr(-1, 1))
+    words = lambda df: df.select(F.sum(F.size(F.split("text", " ")))).first()[0]
+    assert abs(words(P.mix(spark, many, SMALL)) - 1.5 * words(many)) <= 2 * 100
+
+
 def test_pipeline_stages_take_hard_rows(spark):
     import corpus_pipeline as P
 

@@ -57,14 +57,16 @@ def uniform(column: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, weight_col: str | None = None, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, weight_col: str | None = None, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """doc_id, size, source, source_size, target, copies (whole copies and the sampled one), taken.
 
     `weight_col` makes inclusion unequal inside a source too: expected copies are proportional to it (at most `cap`). What
-    the cap cuts off there is made up by sampling further down the ranking.
+    the cap cuts off there is made up by sampling further down the ranking. `row_col`, a key of rows, is given back as row and
+    orders rows that are otherwise equal.
     """
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
-    words = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), F.col(source_col).alias("source"), weight.alias("weight"))
+    words = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), F.col(source_col).alias("source"), weight.alias("weight"), *([F.col(row_col).alias("row")] if row_col else []))
+    row = ["row"] if row_col else []
     words = materialise(words, "mix-sizes")
     of = words.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("_sw"))
     targets = source_targets(of.select("source", "source_size"), weights, share, cap).withColumnRenamed("source", "s1").join(of.select(F.col("source").alias("s2"), "_sw"), F.col("s1").eqNullSafe(F.col("s2"))).drop("s2")
@@ -83,13 +85,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # the first bin that the rest does not fill: all before it are taken, none behind it
     edge = bins.where(F.col("_upto") > F.col("_rest")).groupBy("s3").agg(F.min_by(F.struct("b3", "_rest", "_before"), "b3").alias("_edge")).select("s3", F.col("_edge.b3").alias("_at"), F.col("_edge._rest").alias("_rest"), F.col("_edge._before").alias("_before"))
     placed = ready.join(edge, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
-    inside = Window.partitionBy("source").orderBy("_rank", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source").orderBy("_rank", F.asc_nulls_last("doc_id"), "size", *row).rowsBetween(Window.unboundedPreceding, 0)
     at_edge = placed.where(F.col("_bin") == F.col("_at"))
     filled = F.col("_before") + F.sum("size").over(inside) - F.col("size") / F.lit(2.0)
     chosen = at_edge.withColumn("extra", (filled <= F.col("_rest")) & (F.col("_rank") < 1))
     rest = placed.where(F.col("_at").isNull() | (F.col("_bin") != F.col("_at"))).withColumn("extra", (F.col("_at").isNull() | (F.col("_bin") < F.col("_at"))) & (F.col("_rank") < 1))
     copies = F.col("whole") + F.col("extra").cast("long")
-    return rest.unionByName(chosen).select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rest.unionByName(chosen).select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *row)
 
 
 #: The contract's mix in SQL.

@@ -146,8 +146,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (digest), short (its first 64 bits), need, probes (null where the task has sent them before)."""
+def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, node (digest), short (its first 64 bits), need, probes (null where the task has sent them before); row, if `row_col` names a key of rows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -173,13 +173,15 @@ def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
             ends = np.cumsum([0 if x is None else len(x) for x in lists])
             offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[[x is None for x in lists], False])
             values = np.concatenate([x for x in lists if x is not None] or [np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(short), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values))], names=["doc_id", "n_shingles", "node", "short", "need", "probes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(short), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values)), *batch.columns[2:]], names=["doc_id", "n_shingles", "node", "short", "need", "probes", *batch.schema.names[2:]])
 
-    return _rows(docs, id_col, text_col).mapInArrow(rows, "doc_id long, n_shingles long, node binary, short long, need int, probes array<long>")
+    row = f", row {docs.schema[row_col].dataType.simpleString()}" if row_col else ""
+    return _rows(docs, id_col, text_col, row_col).mapInArrow(rows, f"doc_id long, n_shingles long, node binary, short long, need int, probes array<long>{row}")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text_of(text_col).alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    row = [F.col(row_col).alias("row")] if row_col else []
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text_of(text_col).alias("text"), *row)
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -350,12 +352,14 @@ def verified_links(sized: DataFrame, candidates: DataFrame, percent: int) -> Dat
     return links.unionByName(near).unionByName(_compare_tiles(both, percent))
 
 
-def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of `docs`.
 
     Two documents link when 100 times the size of their sets' intersection is at least `percent` times that of the union.
+    `row_col`, a key of rows, adds it as row, and kept: the one row of its class that is first by id and key.
     """
-    sets = materialise(set_table(docs, n, percent, id_col, text_col), "ngram-sets")
+    sets = materialise(set_table(docs, n, percent, id_col, text_col, row_col), "ngram-sets")
+    row = ["row"] if row_col else []
     from pyspark.sql import Window
 
     # sets enough of whose least elements other sets have too
@@ -387,7 +391,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     candidates = components(signed.select(F.col("short").alias("a"), first.alias("b")).where("a != b"))
     candidates = candidates.select(F.col("node").alias("short"), F.col("root").alias("comp"))
     roots = components(verified_links(sized, candidates, percent))
-    classed = sets.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    least = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    classed = sets.select("doc_id", "n_shingles", "node", *row).join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    least = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), *[F.min(F.struct("doc_id", r)).alias("first") for r in row])
     shown = lambda c: F.when(F.col(c) != _LAST_ID, F.col(c))
-    return classed.join(least, "class", "left").select(shown("doc_id").alias("doc_id"), "n_shingles", F.coalesce(shown("least"), shown("doc_id")).alias("component_id"))
+    kept = [F.col("row"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept")] if row_col else []  # a row without words is a class of its own
+    return classed.join(least, "class", "left").select(shown("doc_id").alias("doc_id"), "n_shingles", F.coalesce(shown("least"), shown("doc_id")).alias("component_id"), *kept)
