@@ -192,6 +192,11 @@ def test_ppm_scores_by_the_whole_trie(spark, hot):
     assert not all(learnt(d) for d, _ in docs)
 
 
+def test_ppm_bound_holds_where_all_counts_are_alike(spark):
+    alike = spark.range(100).select(F.lit(5).cast("long").alias("n"))
+    assert (ppm._bounded(alike, 40), ppm._bounded(alike, 100), ppm._bounded(alike.limit(0), 40)) == (6, 5, 1)
+
+
 def test_ppm_gains_on_held_out_texts(spark):
     got = queries()["op10_ppm"](spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]

@@ -227,7 +227,9 @@ def _bounded(table: DataFrame, most: int) -> int:
         if held > most:
             break
         least = r["step"]
-    return 0 if least == -1 else 1 if least is None or least <= 0 else int(np.ceil(2 ** (least / 4) - 1e-9))
+    if least is None:  # not even the most frequent fit: none do
+        return int(table.agg(F.max("n")).first()[0] or 0) + 1
+    return 0 if least == -1 else int(np.ceil(2 ** (least / 4) - 1e-9))
 
 
 def code_logs(grams: DataFrame, order: int) -> DataFrame:
