@@ -116,6 +116,28 @@ def test_mix(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("bins", "levels"), [(2, 1), (4, 2), (256, 3)])
+def test_mix_bins_do_not_matter(spark, monkeypatch, bins, levels):
+    """A source with nine rows in ten that reaches its cap, one that is met in part, one without words."""
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "LEVELS", levels)
+    k = F.col("id")
+    df = spark.range(2000).select(k.alias("doc_id"), F.when(k % 20 == 19, F.lit("")).otherwise(F.expr("repeat('w ', cast(id % 7 as int))")).alias("text"), F.when(k % 20 == 18, "b").when(k % 20 == 19, "c").otherwise("a").alias("source"))
+    got = mixing.mix(df, weights=(50, 1, 1), share=1.95).collect()
+    assert {r["copies"] for r in got if r["source"] == "a"} == {2}
+    b = [r for r in got if r["source"] == "b"]
+    rest = b[0]["target"] - sum(int(b[0]["target"] / b[0]["source_size"]) * r["size"] for r in b)
+    whole = int(b[0]["target"] / b[0]["source_size"])
+    p = b[0]["target"] / b[0]["source_size"] - whole
+    u = lambda d: (int(hashlib.md5(f"{d}|mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    filled, taken = 0, {}
+    for r in sorted(b, key=lambda r: (u(r["doc_id"]) / (1 - u(r["doc_id"])) / (p / (1 - p)), r["doc_id"])):
+        filled += r["size"]
+        taken[r["doc_id"]] = (whole + (filled - r["size"] / 2 <= rest)) * r["size"]
+    assert {r["doc_id"]: r["taken"] for r in b} == taken
+    assert {r["taken"] for r in got if r["source"] == "c"} == {0}
+
+
 def test_mix_with_weights(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("s").alias("source"), F.when(F.col("id") < 2000, 1.0).otherwise(3.0).alias("w"))
     got = mixing.mix(df, share=0.5, weight_col="w").groupBy((F.col("doc_id") < 2000).alias("light")).agg(F.sum("taken").alias("t")).collect()

@@ -6,13 +6,15 @@ a source are ranked by Pareto order sampling: random odds divided by inclusion o
 that the source still needs are filled. The number of words taken is thus fixed, not random: it differs from the target by
 half a document at most.
 
-A source may hold a third of all rows, so no source is sorted in one task: the ranking value is cut into bins, words are
-counted per source and bin (combined before the shuffle), the bin where the target is reached is found from those counts,
-and only the documents of that one bin are ordered. The random number of a document comes from a digest of its id and a
-seed, so reruns agree.
+A source may hold a third of all rows, so no source is sorted in one task. The ranking value is cut into `BINS` bins, words are
+counted per source and bin (combined before the shuffle), and the bin where the target is reached is found from those
+counts; that bin is cut into `BINS` finer ones, and so on, `LEVELS` times. Only documents of the last bin are ordered: of a
+source of n documents about n / BINS^LEVELS. Sources that need no further copy than the certain ones have no such bin, and
+documents that no further copy is drawn from are never ordered. The random number of a document comes from a digest of its
+id and a seed, so reruns agree.
 
 Defined cases: null text has size 0; null sources are one source, ordered last; documents of size 0 take 0 words; rows that
-repeat an id have the same random number and are ordered by size; an empty table gives an empty result; a source column that
+repeat an id have the same random number and are ordered by size (an id's rows are ordered together, if the target is reached there); an empty table gives an empty result; a source column that
 is missing is an error, other columns are ignored.
 """
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, materialise, text_of
 
-BINS = 4096
+#: Bins that a bin of the level before is cut into, and levels: 2^24 bins of the ranking value in all.
+BINS, LEVELS = 256, 3
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -70,26 +73,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words = materialise(words, "mix-sizes")
     of = words.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("_sw"))
     targets = source_targets(of.select("source", "source_size"), weights, share, cap).withColumnRenamed("source", "s1").join(of.select(F.col("source").alias("s2"), "_sw"), F.col("s1").eqNullSafe(F.col("s2"))).drop("s2")
+    targets = materialise(targets, "mix-targets")  # a row per source
 
     expected = F.when(F.col("_sw") > 0, F.least(F.lit(float(cap)), F.col("target") * F.col("weight") / F.col("_sw"))).otherwise(F.lit(0.0))
     ready = words.join(targets, F.col("source").eqNullSafe(F.col("s1"))).drop("s1").withColumn("_e", expected).withColumn("whole", F.floor("_e").cast("long"))
     inclusion, u = F.col("_e") - F.col("whole"), uniform(F.col("doc_id"), seed)
     odds = (u / (F.lit(1.0) - u)) / (inclusion / (F.lit(1.0) - inclusion))
-    # odds / (1 + odds) ranks as the odds do, and lies in (0, 1); a document that needs no further copy comes last
-    ready = ready.withColumn("_rank", F.when(inclusion > 0, odds / (F.lit(1.0) + odds)).otherwise(F.lit(1.0))).withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)).cast("int"))
-
-    bins = ready.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.sum(F.col("whole") * F.col("size")).alias("_certain"), F.first("target").alias("_target"))
-    by_source = Window.partitionBy("source")
-    cum = F.sum("_words").over(by_source.orderBy("_bin"))
-    bins = bins.select(F.col("source").alias("s3"), F.col("_bin").alias("b3"), (F.col("_target") - F.sum("_certain").over(by_source)).alias("_rest"), cum.alias("_upto"), (cum - F.col("_words")).alias("_before"))
-    # the first bin that the rest does not fill: all before it are taken, none behind it
-    edge = bins.where(F.col("_upto") > F.col("_rest")).groupBy("s3").agg(F.min_by(F.struct("b3", "_rest", "_before"), "b3").alias("_edge")).select("s3", F.col("_edge.b3").alias("_at"), F.col("_edge._rest").alias("_rest"), F.col("_edge._before").alias("_before"))
-    placed = ready.join(edge, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
-    inside = Window.partitionBy("source").orderBy("_rank", F.asc_nulls_last("doc_id"), "size", *row).rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = placed.where(F.col("_bin") == F.col("_at"))
-    filled = F.col("_before") + F.sum("size").over(inside) - F.col("size") / F.lit(2.0)
-    chosen = at_edge.withColumn("extra", (filled <= F.col("_rest")) & (F.col("_rank") < 1))
-    rest = placed.where(F.col("_at").isNull() | (F.col("_bin") != F.col("_at"))).withColumn("extra", (F.col("_at").isNull() | (F.col("_bin") < F.col("_at"))) & (F.col("_rank") < 1))
+    # odds / (1 + odds) ranks as the odds do, and lies in (0, 1); a document that needs no further copy has no rank
+    rank = F.when(inclusion > 0, odds / (F.lit(1.0) + odds))
+    ready = ready.withColumn("_rank", rank).withColumn("_bin", F.when(F.col("_rank").isNotNull(), F.least(F.floor(F.col("_rank") * (BINS**LEVELS)), F.lit(BINS**LEVELS - 1))))
+
+    # a row per source that has words left to fill beyond the certain copies; bins are looked for there alone
+    certain = ready.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("_certain"), F.first("target").alias("_target"))
+    edge = certain.select(F.col("source").alias("s3"), (F.col("_target") - F.col("_certain")).alias("_rest"), F.lit(0).cast("long").alias("_at"), F.lit(0).cast("long").alias("_before"))
+    for level in range(LEVELS):
+        edge = materialise(edge, "mix-edges")  # a row per source
+        wide, narrow = BINS ** (LEVELS - level), BINS ** (LEVELS - level - 1)
+        inside = ready.where("_bin is not null").join(edge, F.col("source").eqNullSafe(F.col("s3")) & (F.floor(F.col("_bin") / wide) == F.col("_at")))
+        bins = inside.groupBy("s3", F.floor(F.col("_bin") / narrow).alias("_b")).agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"), F.first("_before").alias("_before"))
+        upto = F.col("_before") + F.sum("_words").over(Window.partitionBy("s3").orderBy("_b"))  # `BINS` rows a source
+        # the first bin that the rest does not fill: all before it are taken, none behind it
+        over = bins.withColumn("_upto", upto).where(F.col("_upto") > F.col("_rest")).groupBy("s3").agg(F.min_by(F.struct("_rest", "_b", (F.col("_upto") - F.col("_words")).alias("_before")), "_b").alias("_e"))
+        edge = over.select("s3", "_e._rest", F.col("_e._b").alias("_at"), "_e._before")
+    placed = ready.join(materialise(edge, "mix-edges"), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
+    ordered = Window.partitionBy("source").orderBy("_rank", F.asc_nulls_last("doc_id"), "size", *row).rowsBetween(Window.unboundedPreceding, 0)
+    last_bin = F.coalesce(F.col("_bin") == F.col("_at"), F.lit(False))
+    filled = F.col("_before") + F.sum("size").over(ordered) - F.col("size") / F.lit(2.0)
+    chosen = placed.where(last_bin).withColumn("extra", (filled <= F.col("_rest")) & (F.col("_rank") < 1))
+    rest = placed.where(~last_bin).withColumn("extra", F.coalesce((F.col("_at").isNull() | (F.col("_bin") < F.col("_at"))) & (F.col("_rank") < 1), F.lit(False)))
     copies = F.col("whole") + F.col("extra").cast("long")
     return rest.unionByName(chosen).select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *row)
 
