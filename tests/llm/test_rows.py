@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.edge import empty, hard, rows
-from tidemark.llm import exact_dedup, line_dedup, mixing, ngram_join
+from tidemark.llm import common, exact_dedup, line_dedup, mixing, ngram_join
 from tidemark.llm.components import components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -198,19 +198,42 @@ def test_ngram_join_on_groups(spark, monkeypatch, sets, pivots):
     assert sorted((tuple(x) for x in got), key=repr) == classes(docs, 3, 90)
 
 
-def test_signatures_never_miss():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_buckets_never_miss(spark, percent):
+    """Pairs at the threshold and about it, among sets that share a passage, are connected by bucket links."""
     import numpy as np
 
-    r = np.random.default_rng(2)
-    for _ in range(300):
-        size = int(r.integers(5, 400))
-        a = np.unique(r.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2))
-        drop, add = r.integers(0, size // 10 + 2, 2)
-        b = np.unique(np.r_[r.permutation(a)[drop:], r.integers(0, 2**63, add).astype(np.uint64)])
-        both = len(np.intersect1d(a, b))
-        for percent in (80, 90):
-            if both and both * 100 >= percent * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                assert set(ngram_join.signatures(a, percent)) & set(ngram_join.signatures(b, percent))
+    r = np.random.default_rng(percent)
+    passage = np.unique(r.integers(0, 2**63, 40))
+    sets = []
+    for _ in range(60):
+        size = int(r.integers(1, 200))
+        a = np.unique(np.r_[r.integers(0, 2**63, size), passage if r.random() < 0.5 else []].astype(np.int64))
+        drop, add = r.integers(0, len(a) // 8 + 2, 2)
+        sets += [a, np.unique(np.r_[r.permutation(a)[drop:], r.integers(0, 2**63, add)].astype(np.int64))]
+    sets = [x for x in sets if len(x)]
+    sized = spark.createDataFrame([(i, len(x), x.tolist()) for i, x in enumerate(sets)], "short long, n_shingles long, elements array<long>").repartition(3)
+    root = {r["node"]: r["root"] for r in components(ngram_join._bucket_links(sized, percent)).collect()}
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both and both * 100 >= percent * (len(a) + len(sets[j]) - both):
+                assert root[i] == root[j]
+                linked += 1
+    assert linked > 20
+
+
+def test_lookup_of_hot_keys(spark, monkeypatch):
+    """A key that most rows have, absent keys and null keys; rows of the hot key are spread over tasks."""
+    rows_ = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 30 == 0, F.lit(None).cast("int")).otherwise((F.col("id") % 50).cast("int")).alias("k"))
+    table = rows_.where("k < 40").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("v"))
+    want = sorted(((r["id"], r["k"], r["v"]) for r in rows_.join(table.select("k", "v"), "k", "left").collect()), key=repr)
+    for hot in (2, 1000):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = common.lookup(rows_, table, "k", F.xxhash64("id"))
+        assert sorted(((r["id"], r["k"], r["v"]) for r in got.collect()), key=repr) == want
+    assert common.lookup(rows_.limit(0), table.limit(0), "k", F.xxhash64("id")).count() == 0
 
 
 def test_linked_sets_send_enough_common_hashes():

@@ -16,11 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where the session names none (a single-machine session, as in tests) a temporary folder is made and
-    remembered as that setting.
+    Only where a session on one machine names none, as in tests, a temporary folder is made and remembered as that setting; on a
+    cluster that is an error, because executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,11 +37,62 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: what is read later no longer depends on shuffle files of executors that may be lost, and
-    Python stages behind it run once however often the table is read.
+    Python stages behind it run once however often the table is read. release() removes the table.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes materialised tables. Call once everything that reads them is written itself."""
+    for table in tables:
+        path = getattr(table, "_written_at", None)
+        if path:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Keys that more than one in HOT rows have are hot; so there are fewer than HOT of them.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
+    """`rows` with the columns of `table` (unique `key`, n: how many of `rows` have it); nulls where the table lacks the key.
+
+    Hot keys (`HOT`) go to every worker, and their rows, dealt by `spread` instead of the key, never meet in one task. All
+    other keys are joined.
+    """
+    table = materialise(table, "lookup")
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    values = [c for c in table.columns if c not in (key, "n")]
+    hot = F.col("n") * HOT > total
+    often = table.where(hot).select(key, F.struct(*values).alias("_often"))  # fewer than HOT rows
+    seldom = table.where(~hot).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_of"), F.struct(*values).alias("_seldom"))
+    found = rows.join(F.broadcast(often), key, "left")
+    cold = F.col("_often").isNull()
+    found = found.withColumn("_k", F.when(cold, F.col(key))).withColumn("_s", F.when(cold, F.lit(0).cast("long")).otherwise(spread))
+    joined = found.join(seldom, (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_of")), "left")
+    return joined.select(*rows.columns, *[F.coalesce(F.col(f"_often.{c}"), F.col(f"_seldom.{c}")).alias(c) for c in values])
+
+
+#: One in SAMPLED owners is looked at to find hot keys.
+SAMPLED = 64
+
+
+def hot_keys(rows: DataFrame, key: str, owner: str) -> DataFrame:
+    """key, n: keys that more than one in `HOT` rows of a sample of owners have, with their number there; fewer than `HOT` rows.
+
+    Each one is held by two owners at least. Windows over the other keys then have no large group.
+    """
+    sample = rows.where(F.pmod(F.xxhash64(owner), F.lit(SAMPLED)) == 0)
+    counts = materialise(sample.groupBy(key).agg(F.count("*").alias("n"), F.min(owner).alias("_a"), F.max(owner).alias("_b")), "sampled-keys")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = materialise(counts.where((F.col("n") * HOT > total) & (F.col("_a") < F.col("_b"))).select(key, "n"), "hot-keys")
+    release(counts)
+    return found
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

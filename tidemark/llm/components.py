@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,10 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(step)
         left, right = step.select(F.col("node").alias("a"), F.col("to").alias("x")), step.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = edges.join(left, "a").join(right, "b")
-        edges = materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        before, edges = edges, materialise(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        release(before)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = maps[0].withColumnRenamed("to", "root")
     for step in maps[1:]:
         roots = roots.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return materialise(roots, "roots")
+    roots = materialise(roots, "roots")
+    release(edges, *maps)
+    return roots

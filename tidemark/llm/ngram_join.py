@@ -3,11 +3,10 @@
 1. A document is the set of its n-grams, as sorted 64-bit hashes; equal sets share a digest and are one node from here on.
 2. Survivors: a set that links to another lacks few of its elements there. Of its least hashes, half as many again as it may lack are
    sent to a count of who has them; unless enough of these occur in another set too, it can link to nothing and leaves.
-   Candidates: sets that reach the threshold differ in at most D elements, where D follows from their sizes. Inside a window of
-   sizes the hash range is cut into more than D / 2 parts, so some part differs in one element at most, and of its quarters
-   three are equal: sums over three quarters are the signatures. Parts of few elements say little; a set with few such parts
-   need not send them, because there are parts to `spare`, and a set with more of them sends them all. So no pair is lost.
-   Buckets of one signature are linked to their least node, not pairwise, and connected components of these links hold all
+   Candidates: survivors order their elements by how many survivors have them, the rarest first, then by hash. Two linked sets
+   share an element among as many of their first ones as a set may lack in a linked one, and one more. Elements of no other
+   set, and passages that many unrelated texts share, thus say nothing: the former have no partner, the latter stand last.
+   Buckets of one such element are linked to their least node, not pairwise, and connected components of these links hold all
    pairs that can reach the threshold.
 3. Tiles: a component's sets are dealt into blocks of bounded size by size band; two blocks make a tile if their bands touch. In a
    tile, bitmaps of hashed elements are compared by bit counts: an element whose bit the other bitmap lacks is not in the other
@@ -30,16 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, text_of
+from tidemark.llm.common import SAMPLED, hot_keys, lookup, materialise, release, text_of
 from tidemark.llm.components import components
 
-#: A window of sizes ends at this multiple of its start.
-WINDOW = 1.5
-#: Signatures of fewer elements say little.
-WEAK = 3
 #: Sets, and elements, that a block holds on average at most.
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1_600_000
 #: Bits of a bitmap at most; sets of more elements share bits, which loosens the bound and loses nothing.
@@ -89,26 +84,6 @@ class Shingler:
         return np.unique(mixed(value))
 
 
-def differing(total: int, percent: int) -> int:
-    """Most elements in only one of two sets that have `total` elements together and reach `percent` per cent Jaccard."""
-    return total * (100 - percent) // (100 + percent)
-
-
-def windows(size: int, percent: int) -> list[tuple[int, int]]:
-    """The windows a set of this size belongs to, as (number, largest size): its own, and the next if a partner can be there."""
-    k = int(math.log(max(1, size)) / math.log(WINDOW))
-    top = lambda k: math.ceil(WINDOW ** (k + 1)) - 1
-    while top(k) < size:
-        k += 1
-    while k and top(k - 1) >= size:
-        k -= 1
-    found, largest = [(k, top(k))], size * 100 // percent
-    while largest > top(k):
-        k += 1
-        found.append((k, top(k)))
-    return found
-
-
 def probes(size: int, percent: int) -> tuple[int, int]:
     """How many of its least hashes a set of this size sends, and how many of them a linked set must send as well.
 
@@ -120,26 +95,9 @@ def probes(size: int, percent: int) -> tuple[int, int]:
     return lost(size) + need(size), min(need(size), need(max(1, -(-size * percent // 100))))
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set: linked sets that differ share one at least."""
-    found = []
-    sums = np.r_[np.uint64(0), np.cumsum(mixed(elements ^ _M3), dtype=np.uint64)]
-    for k, top in windows(len(elements), percent):
-        most = differing(2 * top, percent)
-        if not most:
-            continue  # linked sets of these sizes are equal
-        needed = most // 2 + 1
-        spare = 1 + needed // 8
-        parts = needed + spare
-        edges = (np.arange(1, 4 * parts, dtype=np.float64) * (2.0**64 / (4 * parts))).astype(np.uint64)
-        cuts = np.r_[0, np.searchsorted(elements, edges), len(elements)]
-        quarters = (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(parts, 4)
-        counts = np.diff(cuts).reshape(parts, 4)
-        three = quarters.sum(1, dtype=np.uint64)[:, None] - quarters  # all but one quarter
-        names = mixed(three ^ mixed(np.arange(4 * parts, dtype=np.uint64).reshape(parts, 4) + np.uint64(k << 32)))
-        weak = counts.sum(1) - counts.max(1) < WEAK
-        found.append((names if weak.sum() > spare else names[~weak]).ravel())
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+def prefix_size(size: Column, percent: int) -> Column:
+    """How many elements of a set, in an order that all sets share, must hold one of any linked set's first elements."""
+    return size - F.ceil(size * percent / F.lit(100)) + 1
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -262,13 +220,20 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    """The sorted arrays of a table's column elements."""
+    lists = table["elements"].combine_chunks()
+    values, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
+    return np.split(values, ends[:-1]) if len(ends) else []
+
+
 def _compare_tiles(tiles: DataFrame, percent: int) -> DataFrame:
     """a, b: links found in tiles, which are rows tile, node, elements, side (0 left, 1 right, 2 both), label."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "tile"):
             nodes, side = table["node"].to_pylist(), table["side"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
+            sets = _sets(table)
             found = compare(sets, side != 1, side != 0, table["label"].to_numpy(), percent) if len(sets) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], names=["a", "b"])
@@ -283,7 +248,7 @@ def _compare_with_pivots(members: DataFrame, percent: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "tile"):
             pivot = table["pivot"].to_numpy(zero_copy_only=False)
-            nodes, sets = table["node"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
+            nodes, sets = table["node"].to_pylist(), _sets(table)
             at = sorted(np.flatnonzero(pivot).tolist(), key=lambda i: nodes[i])
             rest = [i for i in np.flatnonzero(~pivot).tolist()]
             a, b = [], []
@@ -306,8 +271,11 @@ def _band(percent: int) -> Column:
     return F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(100 / percent) * 1.000001)).cast("int")
 
 
-def verified_links(sized: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """a, b: verified links that connect all linked sets of `sized` (node, short, n_shingles, elements) in one of `candidates` (short, comp)."""
+def verified_links(sized: DataFrame, candidates: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b: verified links that connect all linked sets of `sized` (node, short, n_shingles, elements) in one of `candidates` (short, comp).
+
+    Also the tables that are of no use once the links are written.
+    """
     # sizes of components come from numbers alone; elements are moved once, to a table that all branches read
     keyed = sized.select("short", "n_shingles").join(candidates, "short")
     of_comp = keyed.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
@@ -322,7 +290,7 @@ def verified_links(sized: DataFrame, candidates: DataFrame, percent: int) -> Dat
 
     large = dealt.where(~small)
     if large.isEmpty():
-        return links
+        return links, [dealt]
 
     # every block of a very large component gets the component's pivots: its least nodes by residue of a hash
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int")
@@ -349,7 +317,25 @@ def verified_links(sized: DataFrame, candidates: DataFrame, percent: int) -> Dat
     as_right = parts.join(pairs.select("comp", F.col("l2").alias("label"), F.col("b2").alias("band"), "l1", "b1", "same", F.col("n2").alias("mine_of"), F.col("n1").alias("other_of")), ["comp", "label", "band"]).withColumn("_last", F.when(F.col("same"), mine).otherwise(F.col("other_of")) - 1).where("_last >= 0")
     as_right = as_right.select("comp", "l1", "b1", F.col("label").alias("l2"), F.col("band").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("h1"), mine.alias("h2"), "node", "elements", "label", "same", F.lit(1).alias("side"))
     both = as_left.unionByName(as_right).select(F.xxhash64("comp", "l1", "b1", "h1", "l2", "b2", "h2").alias("tile"), "node", "elements", "side", "label")
-    return links.unionByName(near).unionByName(_compare_tiles(both, percent))
+    return links.unionByName(near).unionByName(_compare_tiles(both, percent)), [dealt, near, parts, pairs]
+
+
+def _bucket_links(sized: DataFrame, percent: int) -> DataFrame:
+    """a, b: each set's links to the least set of its buckets; linked sets of `sized` (short, n_shingles, elements) are connected by these."""
+    every = sized.select("short", F.explode("elements").alias("element"))
+    hot = hot_keys(every, "element", "short")
+    marked = every.join(F.broadcast(hot.select("element", (F.col("n") * SAMPLED).alias("hot"))), "element", "left")  # fewer than HOT rows
+    others = marked.where("hot is null").withColumn("n", F.count("*").over(Window.partitionBy("element"))).where("n > 1")
+    counted = others.select("short", "element", "n").unionByName(marked.where("hot is not null").select("short", "element", F.col("hot").alias("n")))
+    # by rarity in coarse steps, then by hash; the last bits of the hash give way, which may only add candidates
+    step = F.least(F.lit(31), F.floor(F.log2(F.col("n").cast("double")) * 1.5)).cast("long")
+    place = F.shiftleft(step, 58).bitwiseOR(F.shiftrightunsigned("element", 6))
+    # elements of one set; those that no other set has come before these and take places, too
+    ranked = counted.groupBy("short").agg(F.sort_array(F.collect_list(place)).alias("places")).join(sized.select("short", "n_shingles"), "short")
+    first = prefix_size(F.col("n_shingles"), percent) - (F.col("n_shingles") - F.size("places"))
+    buckets = materialise(ranked.where(first > 0).select("short", F.explode(F.slice("places", F.lit(1), first.cast("int"))).alias("place")), "ngram-buckets")
+    least = buckets.groupBy("place").agg(F.count("*").alias("n"), F.min("short").alias("least")).where("n > 1")
+    return lookup(buckets, least, "place", F.col("short")).where("short != least").select(F.col("short").alias("a"), F.col("least").alias("b"))
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -360,16 +346,18 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     """
     sets = materialise(set_table(docs, n, percent, id_col, text_col, row_col), "ngram-sets")
     row = ["row"] if row_col else []
-    from pyspark.sql import Window
 
     # sets enough of whose least elements other sets have too
     sent = sets.where("probes is not null").select("short", "need", F.explode("probes").alias("probe"))
+    hot = hot_keys(sent, "probe", "short")
+    marked = sent.join(F.broadcast(hot.select("probe", F.lit(True).alias("hot"))), "probe", "left")  # fewer than HOT rows
     by_probe = Window.partitionBy("probe")
-    shared = sent.select("short", "need", (F.min("short").over(by_probe) < F.max("short").over(by_probe)).alias("shared")).where("shared")
+    others = marked.where("hot is null").select("short", "need", (F.min("short").over(by_probe) < F.max("short").over(by_probe)).alias("shared")).where("shared")
+    shared = marked.where("hot").select("short", "need").unionByName(others.select("short", "need"))
     survivors = shared.groupBy("short", "need").agg(F.count("*").alias("n")).where("n >= need").select("short")
 
     # the text of one document for each of them
-    picked = sets.where("node is not null").join(survivors, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short"))
+    picked = materialise(sets.where("node is not null").join(survivors, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short")), "ngram-picked")
     texts = _rows(docs, id_col, text_col).join(picked, "doc_id").select("node", "short", "text")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,19 +368,24 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
             found = [shingles(t) for t in batch.column(2).to_pylist()]
             kept = [xxh3_128_digest(s.tobytes()) == node for s, node in zip(found, batch.column(0).to_pylist(), strict=True)]  # not another row of that id
             mask, found = pa.array(kept, pa.bool_()), [s for s, k in zip(found, kept, strict=True) if k]
-            names = [_signed(signatures(s, percent)) for s in found]
-            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in names])].astype(np.int32))
-            values = pa.array(np.concatenate(names) if names else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["node", "short", "n_shingles", "elements", "signatures"])
-
-    sized = materialise(texts.mapInArrow(elements, "node binary, short long, n_shingles long, elements binary, signatures array<long>"), "ngram-members")
-    signed = sized.select("short", F.explode("signatures").alias("signature"))
-    first = F.first("short").over(Window.partitionBy("signature").orderBy("short"))
-    candidates = components(signed.select(F.col("short").alias("a"), first.alias("b")).where("a != b"))
-    candidates = candidates.select(F.col("node").alias("short"), F.col("root").alias("comp"))
-    roots = components(verified_links(sized, candidates, percent))
-    classed = sets.select("doc_id", "n_shingles", "node", *row).join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    least = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), *[F.min(F.struct("doc_id", r)).alias("first") for r in row])
+            offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in found])].astype(np.int32))
+            values = pa.array(_signed(np.concatenate(found)) if found else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array([len(s) for s in found], pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["node", "short", "n_shingles", "elements"])
+
+    sized = materialise(texts.mapInArrow(elements, "node binary, short long, n_shingles long, elements array<long>"), "ngram-members")
+    candidates = components(_bucket_links(sized, percent)).select(F.col("node").alias("short"), F.col("root").alias("comp"))
+    links, scratch = verified_links(sized, candidates, percent)
+    roots = components(links)
+    release(hot, picked, sized, *scratch)
+
+    # the least row of each distinct set, of each class, and back: hot sets and classes are looked up, not joined
+    nodes = sets.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *[F.min(F.struct("doc_id", r)).alias("first") for r in row])
+    classed = materialise(nodes.join(roots, "node", "left").where("n > 1 or root is not null").withColumn("class", F.coalesce("root", "node")), "ngram-classes")
+    of_class = classed.groupBy("class").agg(F.count("*").alias("n"), F.min("least").alias("least"), *[F.min("first").alias("first") for _ in row])
+    of_node = lookup(classed.select("node", F.col("n").alias("rows"), "class"), of_class, "class", F.xxhash64("node")).withColumnRenamed("rows", "n").drop("class")
+    spread = F.xxhash64("doc_id", *row)
+    found = lookup(sets.select("doc_id", "n_shingles", "node", *row), of_node, "node", spread)
     shown = lambda c: F.when(F.col(c) != _LAST_ID, F.col(c))
+    least = F.coalesce("least", "doc_id")
     kept = [F.col("row"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept")] if row_col else []  # a row without words is a class of its own
-    return classed.join(least, "class", "left").select(shown("doc_id").alias("doc_id"), "n_shingles", F.coalesce(shown("least"), shown("doc_id")).alias("component_id"), *kept)
+    return found.select(shown("doc_id").alias("doc_id"), "n_shingles", F.when(least != _LAST_ID, least).alias("component_id"), *kept)
