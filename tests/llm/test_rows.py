@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.edge import empty, hard, rows
 from tidemark.llm import common, exact_dedup, line_dedup, mixing, ngram_join
+from tidemark.llm.common import materialise
 from tidemark.llm.components import components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -60,29 +61,39 @@ def kept_lines(docs):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bound", [line_dedup.FILTER_BYTES, 0])
-def test_line_dedup(spark, monkeypatch, bound):
+@pytest.mark.parametrize(("bound", "keys"), [(line_dedup.FILTER_BYTES, line_dedup.SHARD_KEYS), (line_dedup.FILTER_BYTES, 100), (0, 50), (0, 100_000)])
+def test_line_dedup(spark, monkeypatch, bound, keys):
+    """Filters at every worker or met by shard, one shard or many: the same lines go."""
     monkeypatch.setattr(line_dedup, "FILTER_BYTES", bound)
     docs = hard(spark)
     counts = line_dedup.reference_counts(docs)
-    got = line_dedup.drop_lines(docs, counts, line_dedup.build_filters(counts)).collect()
+    filters = line_dedup.build_filters(counts, keys)
+    got = line_dedup.drop_lines(docs, counts, filters).collect()
     assert sorted((tuple(r) for r in got), key=repr) == kept_lines([r[:2] for r in rows()])
+    assert (filters.count() > 1) == (keys < 1000)
     none = line_dedup.reference_counts(empty(spark))
     assert line_dedup.drop_lines(empty(spark), none, line_dedup.build_filters(none)).count() == 0
 
 
 def test_line_dedup_takes_documents_in_and_out(spark):
-    a = spark.createDataFrame([(1, "first long line\nx"), (2, "first long line\nsecond long line")], "doc_id long, text string")
-    b = spark.createDataFrame([(0, "second long line"), (5, "first long line")], "doc_id long, text string")
-    before = line_dedup.reference_counts(a)
-    both = line_dedup.insert(before, b)
+    a = spark.createDataFrame([(1, "first long line\nx"), (2, "first long line\nsecond long line"), (2, "another row of two"), (None, "second long line"), (7, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(0, "second long line"), (5, "first long line"), (5, "first long line"), (None, None)], "doc_id long, text string")
+    before, of_a, of_b = line_dedup.reference_counts(a), line_dedup.line_keys(a), line_dedup.line_keys(b)
+    both, postings = line_dedup.insert(before, of_a, of_b)
     as_rows = lambda df: sorted((bytes(r["key"]), r["n_docs"], r["min_doc"], r["max_doc"]) for r in df.collect())
     assert as_rows(both) == as_rows(line_dedup.reference_counts(a.unionByName(b)))
-    assert as_rows(line_dedup.delete(both, b, a)) == as_rows(before)
-    assert as_rows(line_dedup.delete(both, a, b)) == as_rows(line_dedup.reference_counts(b))
-    gone = both.where(line_dedup.repeated()).select("key")
-    less = line_dedup.update_filters(line_dedup.build_filters(both), gone.limit(0), gone)
+    left, rest = line_dedup.delete(both, postings, of_b)
+    assert as_rows(left) == as_rows(before) == as_rows(line_dedup.counted(rest))
+    assert as_rows(line_dedup.delete(both, postings, of_a)[0]) == as_rows(line_dedup.reference_counts(b))
+    assert as_rows(line_dedup.delete(both, postings, of_a.limit(0))[0]) == as_rows(both) == as_rows(line_dedup.insert(both, postings, of_a.limit(0))[0])
+    filters, gone = line_dedup.build_filters(both), both.where(line_dedup.repeated()).select("key")
+    less = line_dedup.update_filters(filters, gone.limit(0), gone.unionByName(gone).unionByName(spark.createDataFrame([(None,)], "key binary")))
     assert all(not line_dedup.CuckooFilter.from_bytes(bytes(r["filter"])).table.any() for r in less.collect())
+    again = line_dedup.update_filters(materialise(less, "filters"), gone, gone.limit(0))
+    assert line_dedup.drop_lines(b, both, materialise(again, "filters")).agg(F.sum("n_dropped")).first()[0] == 2
+    full = filters.withColumn("filter", F.lit(None).cast("binary"))
+    assert [r["filter"] for r in line_dedup.update_filters(full, gone, gone.limit(0)).collect()] == [None]
+    assert line_dedup.update_filters(filters, gone.limit(0), gone.limit(0)).count() == 1
 
 
 def test_cuckoo_filter():

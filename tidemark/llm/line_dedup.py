@@ -1,18 +1,20 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference counts.
 
-The state is a table with one row per line key: in how many documents it is, and the smallest and largest of their ids. A
-key is a digest (128 bits) of the stripped, lower-cased line. Rows of a batch of documents are added to the table or taken
-from it, so that documents can come and go. Beside the table, one cuckoo filter per shard holds the keys that several
-documents share. Reading a corpus, only lines that the filters let through are looked up in the exact table; the filters err
-on one side only, so no repeated line is missed and the table decides on the rest.
-
-Filters of all shards go to the workers while they are below `FILTER_BYTES` together, which is checked; beyond it every
-line is looked up in the table, with the same result. Counting combines rows before the shuffle, so a line that a third of
-the documents hold costs one row per task. A document's lines are put together where its text is.
+The state is a table with one row per line key: in how many documents it is, and the smallest and largest of their ids; and
+the postings, a row per key and document that has it. A key is a digest (128 bits) of the stripped, lower-cased line.
+Documents are added to both tables or taken from them, so that they can come and go; only keys that a batch touches are counted
+anew. Beside the tables, one cuckoo filter per shard holds the keys that several documents share, about `SHARD_KEYS` each.
+Reading a corpus, only lines that the filters let through are looked up in the exact table; the filters err on one side only, so
+no repeated line is missed and the table decides on the rest.
+
+Filters of all shards go to the workers while they are below `FILTER_BYTES` together, which is checked; beyond it lines are
+dealt to tasks by shard, each behind its shard's filter, with the same result. Counting combines rows before the shuffle, so a
+line that a third of the documents hold costs one row per task, and its lookups are spread over all tasks. A document's lines
+are put together where its text is.
 
 Defined cases: a null or empty text is one empty line; keys shorter than `min_chars` code points are never dropped; a line
 that repeats inside one document only stays; rows that repeat an id are one document for that rule, and each row keeps its
-own lines; a null id counts as the largest; an empty table gives an empty result; other columns are ignored.
+own lines; a null id counts as the largest; an empty table gives an empty result; other columns are ignored. Documents come and go by id: all rows of an id together.
 """
 
 from __future__ import annotations
@@ -25,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, text_of
+from tidemark.llm.common import lookup, materialise, text_of
 
-#: Most bytes of filters that are sent to every worker.
-FILTER_BYTES = 32 << 20
-SHARDS = 64
+#: Most bytes of filters that are sent to every worker, and keys in a shard on average.
+FILTER_BYTES, SHARD_KEYS = 32 << 20, 100_000
+#: Tasks that the lines of one shard are dealt over where filters are not sent to every worker.
+SPREAD = 16
 _BLANK = b" \t\n\x0b\x0c\r"
 _LAST_ID = np.iinfo(np.int64).max
 
 COUNTS = "key binary, n_docs long, min_doc long, max_doc long"
-FILTERS = "shard int, filter binary"
+FILTERS = "shard int, shards int, filter binary"
 
 
 class CuckooFilter:
@@ -131,16 +134,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text_of(text_col).alias("text"))
 
 
-def shard_of(key: Column, shards: int = SHARDS) -> Column:
-    return (F.conv(F.hex(F.substring(key, 1, 1)), 16, 10).cast("int") % shards).cast("int")
+def shard_of(key: Column, shards: int) -> Column:
+    return (F.conv(F.hex(F.substring(key, 13, 4)), 16, 10).cast("long") % shards).cast("int")
+
 
+def _shards(keys: list[bytes], shards: int) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), ">u4")[3::4].astype(np.int64) % shards
 
-def line_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", filters: dict[int, bytes] | None = None) -> DataFrame:
-    """doc_id, key: the distinct keys of each row's lines; with filters, only those they let through."""
+
+def line_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", filters: list[tuple[int, int, bytes]] | None = None) -> DataFrame:
+    """doc_id, key: the distinct keys of each row's lines; with all shards' filters (shard, shards, filter), only those they let through."""
     sent = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = None if sent is None else {s: CuckooFilter.from_bytes(f) for s, f in sent.value.items()}
+        tables = None if sent is None else {s: CuckooFilter.from_bytes(f) for s, _, f in sent.value}
+        shards = sent.value[0][1] if sent is not None and sent.value else 1
         for batch in batches:
             ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -148,12 +156,11 @@ def line_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text
                 keys += own
                 ids += [doc_id] * len(own)
             if tables is not None and keys:
-                digests = CuckooFilter.digests(keys)
-                shards = np.frombuffer(b"".join(keys), np.uint8)[::16] % SHARDS
+                digests, of = CuckooFilter.digests(keys), _shards(keys, shards)
                 kept = np.zeros(len(keys), bool)
-                for s in np.unique(shards).tolist():
+                for s in np.unique(of).tolist():
                     if s in tables:
-                        at = shards == s
+                        at = of == s
                         kept[at] = tables[s].contains(digests[at])
                 ids, keys = np.array(ids, np.int64)[kept], [k for k, ok in zip(keys, kept.tolist(), strict=True) if ok]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
@@ -161,9 +168,40 @@ def line_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text
     return _rows(docs, id_col, text_col).mapInArrow(rows, "doc_id long, key binary")
 
 
+def _behind_filters(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """Rows of `keys` (doc_id, key) that their shard's filter lets through: filters and keys meet by shard, filters first."""
+    none = F.lit(None)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")
+    lines = keys.select(shard_of(F.col("key"), shards).alias("shard"), part.alias("part"), F.lit(1).alias("kind"), none.cast("binary").alias("filter"), "doc_id", "key")
+    sent = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), F.lit(0).alias("kind"), "filter", none.cast("long").alias("doc_id"), none.cast("binary").alias("key"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, table = None, None
+        for batch in batches:
+            of, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            kept = np.zeros(len(of), bool)
+            for s in dict.fromkeys(of.tolist()):
+                at = np.flatnonzero(of == s)
+                if kind[at[0]] == 0:
+                    shard, table = s, CuckooFilter.from_bytes(batch.column("filter")[int(at[0])].as_py())
+                at = at[kind[at] == 1]
+                if s == shard and len(at):
+                    kept[at] = table.contains(CuckooFilter.digests(batch.column("key").take(pa.array(at)).to_pylist()))
+            mask = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(mask), batch.column("key").filter(mask)], names=["doc_id", "key"])
+
+    tasks = max(shards, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return lines.unionByName(sent).repartition(tasks, "shard", "part").sortWithinPartitions("shard", "kind").mapInArrow(rows, "doc_id long, key binary")
+
+
+def counted(postings: DataFrame) -> DataFrame:
+    """key, n_docs, min_doc, max_doc of postings (doc_id, key)."""
+    return postings.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
+
+
 def reference_counts(docs: DataFrame, min_chars: int = 10, **columns: str) -> DataFrame:
     """key, n_docs, min_doc, max_doc over all lines of `docs`."""
-    return line_keys(docs, min_chars, **columns).groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
+    return counted(line_keys(docs, min_chars, **columns))
 
 
 def repeated() -> Column:
@@ -171,46 +209,50 @@ def repeated() -> Column:
     return F.col("min_doc") < F.col("max_doc")
 
 
-def insert(counts: DataFrame, docs: DataFrame, min_chars: int = 10, **columns: str) -> DataFrame:
-    """The reference counts after `docs` came."""
-    both = counts.unionByName(reference_counts(docs, min_chars, **columns))
-    return both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("min_doc").alias("min_doc"), F.max("max_doc").alias("max_doc"))
-
+def insert(counts: DataFrame, postings: DataFrame, come: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts and postings after the documents with the postings `come` came (line_keys() gives these)."""
+    both = counts.unionByName(counted(come))
+    both = both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("min_doc").alias("min_doc"), F.max("max_doc").alias("max_doc"))
+    return both, postings.unionByName(come)
 
-def delete(counts: DataFrame, gone: DataFrame, left: DataFrame, min_chars: int = 10, **columns: str) -> DataFrame:
-    """The reference counts after `gone` went and `left` stayed.
 
-    Counts are taken off; the smallest and largest ids are only found anew, among `left`, for keys whose smallest or largest
-    document went.
-    """
-    off = reference_counts(gone, min_chars, **columns).select("key", F.col("n_docs").alias("n_gone"), F.col("min_doc").alias("min_gone"), F.col("max_doc").alias("max_gone"))
-    now = materialise(counts.join(off, "key", "left").withColumn("n_docs", F.col("n_docs") - F.coalesce("n_gone", F.lit(0))).where("n_docs > 0"), "line-counts")
-    moved = F.coalesce((F.col("min_gone") <= F.col("min_doc")) | (F.col("max_gone") >= F.col("max_doc")), F.lit(False))
-    again = line_keys(left, min_chars, **columns).join(now.where(moved).select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
-    return now.where(~moved).select("key", "n_docs", "min_doc", "max_doc").unionByName(again)
+def delete(counts: DataFrame, postings: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts and postings after the documents with the postings `gone` went. Only keys that these had are counted anew."""
+    left, touched = postings.join(gone.distinct(), ["doc_id", "key"], "left_anti"), gone.select("key").distinct()
+    return counts.join(touched, "key", "left_anti").unionByName(counted(left.join(touched, "key", "left_semi"))), left
 
 
-def build_filters(counts: DataFrame) -> DataFrame:
-    """shard, filter: a cuckoo filter of the repeated keys of each shard."""
+def build_filters(counts: DataFrame, shard_keys: int = 0) -> DataFrame:
+    """shard, shards, filter: a cuckoo filter of the repeated keys of each shard; `shard_keys` of them (`SHARD_KEYS` if 0) on average."""
+    keys = counts.where(repeated()).select("key")
+    shards = max(1, -(-keys.count() // (shard_keys or SHARD_KEYS)))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [CuckooFilter.of(pdf["key"].tolist()).to_bytes()]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "shards": [shards], "filter": [CuckooFilter.of(pdf["key"].tolist()).to_bytes()]})
 
-    return counts.where(repeated()).select("key", shard_of(F.col("key")).alias("shard")).groupBy("shard").applyInPandas(make, FILTERS)
+    return keys.select("key", shard_of(F.col("key"), shards).alias("shard")).groupBy("shard").applyInPandas(make, FILTERS)
 
 
 def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """Filters after keys (a column `key`) became repeated and others ceased to be. A shard that gets too full comes back
-    without a filter, and build_filters() makes it anew."""
-    changes = added.select("key", F.lit(True).alias("add")).unionByName(removed.select("key", F.lit(False).alias("add"))).withColumn("shard", shard_of(F.col("key")))
+    without a filter, as it stays until build_filters() makes it anew. Null keys count for nothing, repeated ones once."""
+    first = filters.select("shards").first()
+    shards = first["shards"] if first else 1
+    batch = lambda keys, add: keys.where("key is not null").select("key").distinct().select("key", F.lit(add).alias("add"))
+    changes = batch(added, True).unionByName(batch(removed, False)).withColumn("shard", shard_of(F.col("key"), shards))
 
     def change(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        table = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(len(new))
+        held, ok = old["filter"].iloc[0] if len(old) else None, True
+        shard = int((old if len(old) else new)["shard"].iloc[0])
+        if len(old) and held is None:
+            return pd.DataFrame({"shard": [shard], "shards": [shards], "filter": [None]})
+        table = CuckooFilter.from_bytes(held) if held is not None else CuckooFilter(len(new))
         gone, come = new.loc[~new["add"].astype(bool), "key"].tolist(), new.loc[new["add"].astype(bool), "key"].tolist()
         if gone:
             table.delete(CuckooFilter.digests(gone))
-        ok = not come or table.insert(CuckooFilter.digests(come))
-        return pd.DataFrame({"shard": [int((old if len(old) else new)["shard"].iloc[0])], "filter": [table.to_bytes() if ok else None]})
+        if come:
+            ok = table.insert(CuckooFilter.digests(come))
+        return pd.DataFrame({"shard": [shard], "shards": [shards], "filter": [table.to_bytes() if ok else None]})
 
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(change, FILTERS)
 
@@ -220,13 +262,15 @@ def drop_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame | None = N
 
     `counts` are the reference counts of a corpus that holds `docs`; `filters` those of build_filters().
     """
-    loaded = None
+    keys = line_keys(docs, min_chars, id_col, text_col) if filters is None else None
     if filters is not None:
-        bytes_ = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
+        bytes_, shards = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)), F.coalesce(F.max("shards"), F.lit(1))).first()
         if bytes_ <= FILTER_BYTES:
-            loaded = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}  # FILTER_BYTES at most
-    shared = counts.where(repeated()).select("key", "min_doc")
-    gone = line_keys(docs, min_chars, id_col, text_col, loaded).join(shared, "key").where(F.col("doc_id") > F.col("min_doc"))
+            keys = line_keys(docs, min_chars, id_col, text_col, [(r["shard"], r["shards"], bytes(r["filter"])) for r in filters.collect()])  # FILTER_BYTES at most
+        else:
+            keys = _behind_filters(line_keys(docs, min_chars, id_col, text_col), filters, shards)
+    shared = counts.where(repeated()).select("key", F.col("n_docs").alias("n"), "min_doc")
+    gone = lookup(keys, shared, "key", F.xxhash64("doc_id")).where(F.col("doc_id") > F.col("min_doc"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("key").alias("gone"))  # at most a document's own lines
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
