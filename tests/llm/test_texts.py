@@ -90,36 +90,79 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert token_files.read(spark, token_files.write(empty(spark), path, f"file://{tmp_path}/e")).count() == 0
 
 
-def test_spotsigs(spark):
-    got = spotsigs.fingerprints(hard(spark)).collect()
+def chains_of(text):
+    """Signatures by the rule, word by word."""
+    import regex
+
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    content = [(w, i > 0 and words[i - 1] in spotsigs.ANCHORS) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    digest = lambda *w: hashlib.md5(" ".join(w).encode()).hexdigest()[:8]
+    found = {digest(w, content[i + 1][0]) for i, (w, a) in enumerate(content[:-1]) if a or i >= spotsigs.GAP and not any(x[1] for x in content[i - spotsigs.GAP : i])}
+    if not found and words:
+        found = {digest(*words[i : i + 2]) for i in range(max(1, len(words) - 1))}
+    return found
+
+
+def jaccard(a, b, least):
+    if not a and not b:
+        return 1.0
+    if not a or not b or min(len(a), len(b)) < least * max(len(a), len(b)):
+        return 0.0
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("least", [0.0, spotsigs.LEAST, 0.6])
+def test_spotsigs(spark, least):
+    """Fingerprints and likeness of every row by sets; a likeness is left out only where the lengths keep it below `least`."""
+    got = spotsigs.fingerprints(hard(spark), least=least).collect()
     by_id: dict = {}
     for d, t, *_ in rows():
         by_id.setdefault(-1 if d is None else d, []).append(t or "")
     order = sorted(by_id, reverse=True)
     after = {k: by_id[order[(i + 1) % len(order)]] for i, k in enumerate(order)}
-    seen = {}
     assert len(got) == len(rows())
     for r in got:
         k = -1 if r["doc_id"] is None else r["doc_id"]
         options = []
         for t in by_id[k]:
             m = len(t) // 3
-            options += [(len(t), t[: len(t) - m] + n[:m], t) for n in after[k]]
-        match = [o for o in options if (o[0], o[1]) == (r["n_chars"], r["edited"])]
-        assert match
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if len(by_id[k]) == 1:
-            assert seen.setdefault(match[0][2], r["fingerprint"]) == r["fingerprint"]
+            for n in after[k]:
+                own, edited, nxt = chains_of(t), chains_of(t[: len(t) - m] + n[:m]), chains_of(n)
+                options.append((len(t), t[: len(t) - m] + n[:m], "".join(sorted(own)), "".join(sorted(edited)), jaccard(own, edited, least), jaccard(own, nxt, least)))
+        assert any((r["n_chars"], r["edited"], r["fingerprint"], r["edited_fingerprint"]) == o[:4] and abs(r["near_edited"] - o[4]) < 1e-12 and abs(r["near_next"] - o[5]) < 1e-12 for o in options)
     assert spotsigs.fingerprints(empty(spark)).count() == 0
 
 
-def test_signatures(spark):
-    df = spark.createDataFrame([("The cat sat on the mat, and a dog ran",)], "t string")
-    words = "the cat sat on the mat and a dog ran".split()
-    content = [(w, i > 0 and words[i - 1] in spotsigs.ANCHORS) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
-    chains = [(content[i][0], content[i + 1][0]) for i in range(len(content) - 1) if content[i][1]]
-    want = {r["h"] for r in spark.createDataFrame(chains, "a string, b string").select(F.hash("a", "b").alias("h")).collect()}
-    assert set(spotsigs.signatures(df, "t", "s").first()["s"]) == want
+def test_spotsigs_classes_keep_alike_sets_together(spark):
+    sizes = spark.range(1, 400).select(F.expr("sequence(1, cast(id as int))").alias("s"))
+    for least in (spotsigs.LEAST, 0.6, 0.8):
+        of = {len(r["s"]): r["c"] for r in sizes.select("s", spotsigs.length_class("s", least).alias("c")).collect()}
+        assert all(abs(of[n] - of[m]) <= 1 for n in of for m in of if m <= n and m >= least * n)
+        assert len(set(of.values())) > 2 - (least < 0.5)
+
+
+def test_spotsigs_of_texts_without_anchors(spark):
+    words = [f"слово{i}" for i in range(90)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:60] + ["иное"] * 30))]
+    got = {r["doc_id"]: r for r in spotsigs.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1]["near_edited"] > 0.4 and got[1]["near_next"] > 0.4
+
+
+def test_operators_equal_their_sql(spark):
+    import duckdb
+
+    from tidemark.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    for name in ("documents",):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SMALL}/{name}.parquet')")
+    shown = lambda row: repr([round(v, 9) if isinstance(v, float) else v for v in row])
+    for name, sql in oracle_sql().items():
+        df, theirs = queries()[name](spark, SMALL), con.sql(sql)
+        columns = sorted(df.columns)
+        assert sorted(theirs.columns) == columns
+        at = [theirs.columns.index(c) for c in columns]
+        assert sorted(shown(r) for r in df.select(*columns).collect()) == sorted(shown([r[i] for i in at]) for r in theirs.fetchall()), name
 
 
 def test_ppm_sums_to_one_and_equals_a_plain_model():

@@ -41,7 +41,7 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each text and its edited text, and their likeness."""
     found = spotsigs.fingerprints(documents(spark, sf_dir))
-    return found.withColumn("edited_sha256", F.sha2("edited", 256)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "length_class")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op3_pareto_mix": mixing.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

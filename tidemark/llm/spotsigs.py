@@ -1,9 +1,13 @@
 """SpotSigs fingerprints from DataFrame functions alone.
 
-A spot is a content word behind a common word (an anchor); its signature is the hash of that word and the next content words,
-a chain of `CHAIN`. A text's fingerprint is the sorted set of its signatures. Sets are partitioned by their length: the
-likeness of two sets cannot exceed the smaller length over the larger, so sets whose length classes are too far apart for the
-likeness asked for are not intersected.
+A spot is a content word behind a common word (an anchor); its signature is a digest of that word and the next content words,
+a chain of `CHAIN`. Where `GAP` content words follow each other without an anchor, as in languages whose anchors are not
+listed, each further one is a spot until the next anchor. A text's fingerprint is the sorted set of its signatures.
+
+Sets are partitioned by their length into classes (`length_class`): the likeness of two sets cannot exceed the smaller length
+over the larger, so two sets whose classes are not neighbours, or whose lengths are too far apart, are below the least likeness
+asked for and are not intersected. For all other pairs the likeness is exact, however small. The fingerprint query takes
+`LEAST`: its likeness is 0 where one set is ten times as long as the other or more.
 
 Everything is built-in functions over arrays; a column that a lambda reads by index is computed in a projection of its own, and
 read more than once, so that it is not computed anew for each element.
@@ -12,8 +16,7 @@ The document after each one, by falling id, is found without a global order: ids
 range finds its own successors, and the last id of a range takes the first id of the next range that has rows, from a table of
 one row per range. Texts then meet their successor's opening by id.
 
-Defined cases: null text counts as empty; a text without spots has one signature of all its words, one without words an empty
-set; two empty sets have a likeness of 1; a null id counts as the smallest; rows that repeat an id have one successor, and as a
+Defined cases: null text counts as empty; a text without spots has the chains of all its words, one without words an empty set; two empty sets have a likeness of 1; a null id counts as the smallest; rows that repeat an id have one successor, and as a
 successor the row whose text has the smallest hash stands for them; an empty table gives an empty result; columns other than id
 and text are ignored, whatever their names.
 """
@@ -34,26 +37,41 @@ ANCHORS = (
     "le la les de et un une du que est dans en pour sur au par ne pas qui "
     "el los las y se del por con para no lo su al es como"
 ).split()
-#: Content words in a signature.
-CHAIN = 2
+#: Words in a signature; content words without an anchor behind which each is a spot.
+CHAIN, GAP = 2, 8
+#: Likeness below which sets need not be compared.
+LEAST = 0.1
 _FIRST_ID = -(1 << 63)
 
 
+def _chain(words: str, i: Column, word) -> Column:
+    """Eight hexadecimal digits for the words from position `i` on."""
+    return F.left(F.md5(F.concat_ws(" ", *[word(F.get(words, i + j)) for j in range(CHAIN)]).cast("binary")), F.lit(8))
+
+
 def signatures(df: DataFrame, text: str, out: str) -> DataFrame:
-    """`df` with the sorted set of signatures (array of int) of its column `text`."""
+    """`df` with the sorted set of signatures (array of string) of its column `text`."""
     anchor = lambda c: c.isin(*ANCHORS)
     df = df.withColumn("_words", F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
     spots = F.transform("_words", lambda x, i: F.struct(x.alias("w"), F.coalesce((i > 0) & anchor(F.get("_words", i - 1)), F.lit(False)).alias("a")))
     df = df.withColumn("_content", F.filter(spots, lambda s: ~anchor(s["w"])))
-    chain = F.transform("_content", lambda s, i: F.when(s["a"] & (i + CHAIN <= F.size("_content")), F.hash(s["w"], *[F.get("_content", i + j)["w"] for j in range(1, CHAIN)])))
+
+    def spot(s: Column, i: Column) -> Column:
+        near = F.lit(False)
+        for j in range(GAP, 0, -1):
+            near = F.get("_content", i - j)["a"] | near
+        return s["a"] | ((i >= GAP) & ~near)
+
+    chain = F.transform("_content", lambda s, i: F.when((i + CHAIN <= F.size("_content")) & spot(s, i), _chain("_content", i, lambda x: x["w"])))
     df = df.withColumn("_found", F.sort_array(F.array_distinct(F.filter(chain, lambda x: x.isNotNull()))))
-    whole = F.array(F.hash(F.array_join("_words", " ")))
-    return df.withColumn(out, F.when(F.size("_found") > 0, F.col("_found")).when(F.size("_words") > 0, whole).otherwise(F.col("_found"))).drop("_words", "_content", "_found")
+    every = F.transform("_words", lambda x, i: F.when((i + CHAIN <= F.size("_words")) | (i == 0), _chain("_words", i, lambda w: w)))
+    plain = F.when((F.size("_found") == 0) & (F.size("_words") > 0), F.sort_array(F.array_distinct(F.filter(every, lambda x: x.isNotNull()))))
+    return df.withColumn(out, F.coalesce(plain, "_found")).drop("_words", "_content", "_found")
 
 
 def fingerprint(signature_set: str) -> Column:
     """A set of signatures as text: eight hexadecimal digits each, in order."""
-    return F.array_join(F.transform(signature_set, lambda x: F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), 8, "0")), "")
+    return F.array_join(signature_set, "")
 
 
 def length_class(signature_set: str, least: float) -> Column:
@@ -62,7 +80,7 @@ def length_class(signature_set: str, least: float) -> Column:
 
 
 def likeness(a: str, b: str, least: float = 0.0) -> Column:
-    """Jaccard likeness of two sets; 0 where their lengths alone keep it below `least`."""
+    """Jaccard likeness of two sets; 0, without an intersection, where their lengths alone keep it below `least`."""
     n, m = F.size(a), F.size(b)
     both = F.size(F.array_intersect(a, b))
     possible = (F.least(n, m) > 0) & (F.least(n, m).cast("double") >= F.lit(least) * F.greatest(n, m))
@@ -82,8 +100,8 @@ def successors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return inside.join(after, "range").select("k", F.coalesce("_next", "_after").alias("next_k"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next for each row of `docs`.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, length_class for each row of `docs`.
 
     The edited text has its last third replaced by as much of the next document's opening.
     """
@@ -107,8 +125,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fingerprint("edited_set").alias("edited_fingerprint"),
         likeness("own_set", "edited_set", least).alias("near_edited"),
         likeness("own_set", "next_set", least).alias("near_next"),
+        (length_class("own_set", least) if least > 0 else F.lit(0)).alias("length_class"),
     )
 
 
 def third_of(text_col: str) -> Column:
     return F.floor(F.length(text_of(text_col)) / 3).cast("int")
+
+
+_ANCHORS = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS)) + "]"
+_NEAR = """CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0::DOUBLE
+  WHEN least(len({0}), len({1})) = 0 OR least(len({0}), len({1})) < 0.1::DOUBLE * greatest(len({0}), len({1})) THEN 0.0::DOUBLE
+  ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1})))::DOUBLE END"""
+
+#: The contract's fingerprints in SQL.
+ORACLE = (
+    r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), s AS (
+  SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d
+), e AS (
+  SELECT *, left(text, (length(text) - length(text) // 3)::INT) || left(nxt, (length(text) // 3)::INT) AS edited FROM s
+), t AS (
+  SELECT doc_id, 1 AS kind, text AS t FROM e UNION ALL SELECT doc_id, 2, edited FROM e UNION ALL SELECT doc_id, 3, nxt FROM e
+), w AS (
+  SELECT doc_id, kind, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM t
+), c AS (
+  SELECT *, list_filter(list_transform(words, lambda x, i: {'w': x, 'a': i > 1 AND coalesce(list_contains(ANCHORS, words[i - 1]), false)}), lambda s: NOT list_contains(ANCHORS, s.w)) AS content FROM w
+), g AS (
+  SELECT doc_id, kind, words, list_filter(list_transform(content, lambda s, i: CASE WHEN i < len(content) AND (s.a OR (i > GAP AND NOT list_bool_or(list_transform(content[i - GAP : i - 1], lambda y: y.a)))) THEN left(md5(s.w || ' ' || content[i + 1].w), 8) END), lambda x: x IS NOT NULL) AS found FROM c
+), f AS (
+  SELECT doc_id, kind, list_sort(list_distinct(CASE WHEN len(found) > 0 OR len(words) = 0 THEN found WHEN len(words) = 1 THEN [left(md5(words[1]), 8)] ELSE list_transform(words[1 : len(words) - 1], lambda x, i: left(md5(x || ' ' || words[i + 1]), 8)) END)) AS sigs FROM g
+), p AS (
+  SELECT a.doc_id, a.sigs AS own, b.sigs AS edited, n.sigs AS nxt FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.kind = 2 JOIN f n ON a.doc_id = n.doc_id AND n.kind = 3 WHERE a.kind = 1
+)
+SELECT doc_id, length(e.text)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(p.edited, '') AS edited_fingerprint,
+  NEAR_EDITED AS near_edited, NEAR_NEXT AS near_next, floor(ln(greatest(len(own), 1)::DOUBLE) / (ln(10.0::DOUBLE) * 1.000001::DOUBLE))::INT AS length_class
+FROM p JOIN e USING (doc_id)
+""".replace("ANCHORS", _ANCHORS).replace("GAP", str(GAP)).replace("NEAR_EDITED", _NEAR.format("own", "p.edited")).replace("NEAR_NEXT", _NEAR.format("own", "p.nxt"))
+)
