@@ -273,6 +273,43 @@ def test_language_windows_cover_every_byte():
     assert counted.tolist() == [len(t) for t in texts]
 
 
+def test_network_byte_by_byte():
+    """predict() against the two recurrences written out for one position after the other, long and short texts."""
+    net = language_id.train([(b"the cat and the dog", "en"), (b"der hund und die katze", "de")] * 20, steps=20)
+    squash = lambda x: x / (1 + abs(x))
+
+    def states(d, window):
+        k, out = net.recurrent[d].shape[1], {}
+        h = np.zeros(k)
+        for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+            x, r = net.input[d][:, window[t]], net.recurrent[d] @ h
+            reset, update = [0.5 + 0.5 * squash(x[i * k : i * k + k] + r[i * k : i * k + k]) for i in (0, 1)]
+            h = update * h + (1 - update) * squash(x[2 * k :] + reset * r[2 * k :])
+            out[t] = h
+        return out
+
+    texts = [b"x", b"the dog and die katze " * 9, bytes(range(1, 200))]
+    want = []
+    for text in texts:
+        total = np.zeros(len(net.languages))
+        for new in range(0, len(text), language_id.WINDOW):
+            first = max(0, min(new, len(text) - language_id.WINDOW))
+            window = text[first : first + language_id.WINDOW].ljust(language_id.WINDOW, b"\0")
+            both = [states(d, window) for d in (0, 1)]
+            for t in range(new - first, min(language_id.WINDOW, len(text) - first)):
+                z = net.output[0] @ both[0][t] + net.output[1] @ both[1][t] + net.bias[:, 0]
+                total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        want.append(total / len(text))
+    assert language_id.predict(net, texts) == pytest.approx(np.array(want), abs=1e-4)
+
+
+def test_every_language_can_be_learned(spark):
+    """More languages than any bound, of very unequal size; each has its windows."""
+    rows_ = [(i, chr(0x4E00 + i % 90) * 40, f"l{i % 90}") for i in range(900)] + [(1000 + i, "much more of it " * 3, "big") for i in range(3000)]
+    got = Counter(lang for _, lang in language_id.examples(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), F.lit(True), sample=100))
+    assert len(got) == 91 and got["l7"] == 20 and 100 <= got["big"] <= 300
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = queries()["op1_language_id"](spark, SF).join(docs, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
@@ -285,6 +322,9 @@ def test_language_rows(spark):
     for t in (None, "", "   ", "1234 !!"):
         assert (got[repr(t)]["lang_pred"], got[repr(t)]["score"]) == ("und", 0.0)
     assert got[repr("ünï cödé 😀 漢字")]["lang_pred"] in ("en", "de")
+    odd = [("½ ²", False), ("① Ⅷ", False), ("_ 7", False), ("ª", True), ("漢", True), ("é", True)]
+    seen = {r["text"]: r["lang_pred"] != "und" for r in language_id.identify(spark.createDataFrame([(t,) for t, _ in odd], "text string"), net).collect()}
+    assert seen == dict(odd)
     assert language_id.identify(empty(spark), net).count() == 0
     assert language_id.examples(empty(spark), fold(3) != 1) == [] and language_id.train([]) is None
     assert {r["lang_pred"] for r in language_id.identify(hard(spark), None).collect()} == {"und"}

@@ -5,8 +5,8 @@ probabilities of the languages, and a document's probabilities are the means ove
 numpy by backpropagation through time: each position of a training window is labelled with its document's language, and Adam
 follows the mean cross-entropy. Gates use x / (1 + |x|) in place of the exponential functions, in training as in use.
 
-Training takes at most about `SAMPLE` documents of each of the `LANGUAGES` most frequent languages, chosen by a hash of the id,
-and two windows of each; that bound does not depend on the table. Prediction covers every byte of every text: texts are cut
+Training takes at most about `SAMPLE` documents of each language that rows are marked with, chosen by a hash of the id, and two
+windows of each; that bound does not depend on the table. Prediction covers every byte of every text: texts are cut
 into windows that advance side by side, so that a step is an array operation over thousands of windows.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; without training rows every text is `und`; texts
@@ -16,24 +16,24 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
 
-#: Documents per language that training may take, and languages.
-SAMPLE, LANGUAGES = 500, 64
+#: Documents per language that training may take.
+SAMPLE = 500
 #: Bytes in a window, states per direction, windows that advance together.
 WINDOW, STATES, LANES = 128, 8, 4096
 #: What a text's score must be above chance (one over the number of languages), as a share of the way from chance to 1.
 LEAST_GAIN = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -181,13 +181,10 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
 def examples(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> list[tuple[bytes, str]]:
     """Windows of training documents with their languages, a bounded number, chosen by hashes of ids."""
     rows = docs.where(training & F.col(lang_col).isNotNull() & (F.length(text_of(text_col)) > 0))
-    share = {r["lang"]: min(1.0, sample / r["count"]) for r in rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not share:
-        return []
-    chosen = F.lit(False)
-    for lang, part in sorted(share.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("u") < part))
-    picked = rows.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).where(chosen)
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))  # a row per language
+    share = counts.select("lang", (F.lit(float(sample)) / F.col("n")).alias("part"))
+    drawn = rows.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("u", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    picked = drawn.join(F.broadcast(share), "lang").where("u < part")
     start = F.explode(F.array(F.lit(1), F.lit(1) + F.pmod(F.xxhash64("id", "text"), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int")))
     windows = picked.select("id", "text", "lang", start.alias("start")).select("id", "start", "lang", F.expr(f"substring(text, start, {WINDOW})").alias("text"))
     got = windows.orderBy("id", "start", "text").toArrow()
