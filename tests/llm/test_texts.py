@@ -330,6 +330,63 @@ def test_language_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(hard(spark), None).collect()} == {"und"}
 
 
+def test_quality_features_by_hand():
+    text = "The cat sat on the mat\nThe cat sat on the mat\nB2 äß x"
+    words = text.split()
+    fold_ = {"The": "T", "B2": "T9", "äß": "a", "x": "a"}
+    import xxhash
+
+    shapes = Counter(xxhash.xxh3_64_intdigest(fold_.get(w, "a").encode()) % quality.SHAPES for w in words)
+    got = quality.features(text)
+    assert [got[s] ** 2 for s in shapes] == pytest.approx([n / len(words) for n in shapes.values()], rel=1e-5)
+    assert (got[: quality.SHAPES] > 0).sum() == len(shapes)
+    n, kinds, pairs = len(words), len(set(words)), Counter(zip(words, words[1:], strict=False))
+    sizes = [len(w) for w in words]
+    want = [kinds / n, kinds / n - min(1, 8 / n**0.5), 2 / n, 6 / n, 1 - len(pairs) / (n - 1), max(pairs.values()) / n, 1 / 3, np.mean(sizes) / 12, np.std(sizes) / 12, np.log1p(n) / 10, 1 / n, 0]
+    assert got[quality.SHAPES :].tolist() == pytest.approx(want, rel=1e-5)
+    assert quality.features("")[-1] == 1 and quality.features(" \n")[: quality.SHAPES].sum() == 0
+    long = [quality._shape("-" + "a-" * 12 + end) for end in ("a", "9")]
+    assert long[0] != long[1]  # the whole word counts, not its first characters
+
+
+def test_quality_first_step_by_hand():
+    """One step of fit() from the gradient of the non-negative risk, taken numerically; both signs of the negative part."""
+    r = np.random.default_rng(3)
+    for prior in (0.2, 0.95):
+        p, u = r.normal(0.5, 1, (6, 3)).astype(np.float32), r.normal(-0.5, 1, (8, 3)).astype(np.float32)
+        rate, decay = 1e-3, 1e-3
+        k = {"hidden": 2, "batch": 8, "rate": rate, "decay": decay, "seed": 5}
+        before, after = quality.fit(p, u, prior, epochs=0, **k), quality.fit(p, u, prior, epochs=1, **k)
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+        def risk(c, prior=prior, p=p, u=u, before=before):
+            at = lambda x: before.margin(x) - before.c[0] + c
+            called_negative = sigmoid(at(u)).mean() - prior * sigmoid(at(p)).mean()
+            return prior * sigmoid(-at(p)).mean() + called_negative if called_negative >= 0 else -called_negative
+
+        slope = (risk(1e-4) - risk(-1e-4)) / 2e-4
+        assert after.c[0] == pytest.approx(-rate * slope / (abs(slope) + 1e-8), rel=1e-2)  # Adam's first step
+
+
+def test_prior_from_positives_and_unlabelled():
+    r = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        positive = r.normal(1, 1, (1500, 20))
+        unlabelled = np.concatenate([r.normal(1, 1, (int(3000 * share), 20)), r.normal(-1, 1, (3000 - int(3000 * share), 20))])
+        assert quality.estimate_prior(positive, unlabelled) == pytest.approx(share, abs=0.06)
+
+
+def test_quality_learns_from_positives_only(spark):
+    """Without any row marked 0 the prior is found, and bad texts still score low."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    share = labels.where(fold(3) != 1).agg(F.avg("quality")).first()[0]
+    model, prior = quality.train(docs, labels.where("quality = 1"), fold(3) != 1)
+    assert prior == pytest.approx(share, abs=0.05)
+    got = quality.score(docs, model, prior).join(labels.where(fold(3) == 1), "doc_id").toPandas()
+    assert ((got["score"] >= 0.5) == got["quality"]).mean() > 0.97
+
+
 def test_quality_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
@@ -340,6 +397,7 @@ def test_quality_accuracy(spark):
 
 def test_quality_rows(spark):
     labels = spark.createDataFrame([(100 + i, i % 2, 0) for i in range(25)] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = labels.withColumns({c: F.lit(9) for c in ("id", "text", "y", "u", "score", "x")})
     model, prior = quality.train(hard(spark), labels, fold(3) != 1)
     got = quality.score(hard(spark), model, prior).collect()
     assert len(got) == len(rows()) and all(0 <= r["score"] <= 1 for r in got)

@@ -6,13 +6,15 @@ fitted by minimising the non-negative unbiased risk: with prior p of positives a
 unlabelled texts negative, less p times that of calling positives negative, estimates the risk on negatives; where a batch makes it
 negative, its gradient is turned round. No text is ever used as a negative example.
 
-The prior is estimated from labels where there are any marked 0 or 1: the share of ones among the training rows' labels. Only
-that share is taken from rows marked 0. Otherwise pass `prior`.
+The prior is estimated from positives and unlabelled texts alone: a logistic model that tells a part of the positives from a part of
+the unlabelled texts gives, on the other part of the positives, how many times denser positives are among positives than
+among unlabelled texts; where only positives occur that is one over the prior. Rows marked 0 are never read. A known
+prior can be passed.
 
 Training takes at most about `POSITIVES` and `UNLABELLED` texts, chosen by a hash of the id, whatever the tables' sizes. All texts are
 scored as wholes, batch by batch, without a shuffle.
 
-Defined cases: null text counts as empty; empty texts get a score like all others; without positives every score is the prior;
+Defined cases: null text counts as empty; empty texts get a score like all others; without positives every score is the prior (0.5 if none is passed);
 rows that repeat an id are scored separately, and several labels of one id count as its largest; a null label is no label; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -45,7 +47,7 @@ def _shape(word: str) -> int:
 
     for pattern, by in _FOLDS:
         word = pattern.sub(by, word)
-    return xxh3_64_intdigest(word[:24].encode("utf-8", "surrogatepass")) % SHAPES
+    return xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % SHAPES
 
 
 class _Shapes(dict):
@@ -139,6 +141,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return model
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 4, ridge: float = 30.0, steps: int = 12) -> float:
+    """The share of positives among unlabelled texts, from features of both; each fold is judged by a model of the others.
+
+    The density ratio of positives to unlabelled texts is at most one over the prior, and that at texts that only positives
+    are like; its median over positives is taken, because a model's ratio strays at the ends.
+    """
+    both = np.concatenate([positive, unlabelled])
+    mean, scale = both.mean(0), np.maximum(both.std(0), 0.02)
+    x = np.c_[np.clip((both - mean) / scale, -6, 6), np.ones(len(both))].astype(np.float64)
+    y = np.r_[np.ones(len(positive)), np.zeros(len(unlabelled))]
+    of = np.r_[np.arange(len(positive)) % folds, np.arange(len(unlabelled)) % folds]
+    ratios = []
+    for k in range(folds):
+        at, w = of != k, np.zeros(x.shape[1])
+        n_p, n_u = max(1, int((y[at] == 1).sum())), max(1, int((y[at] == 0).sum()))
+        weight = np.where(y[at] == 1, 0.5 / n_p, 0.5 / n_u) * at.sum()
+        for _ in range(steps):  # Newton's method
+            p = 1 / (1 + np.exp(-np.clip(x[at] @ w, -30, 30)))
+            h = (x[at] * (weight * p * (1 - p))[:, None]).T @ x[at] + ridge * np.eye(x.shape[1])
+            w -= np.linalg.solve(h, x[at].T @ (weight * (p - y[at])) + ridge * w)
+        ratios.append(np.exp(np.clip(x[(of == k) & (y == 1)] @ w, -30, 30)))
+    return float(np.clip(1 / np.median(np.concatenate(ratios)), 0.01, 0.99))
+
+
 def _feature_rows(docs: DataFrame) -> np.ndarray:
     """Features of the texts of `docs` (id, text), a bounded number of rows, in the order of ids."""
 
@@ -152,18 +178,20 @@ def _feature_rows(docs: DataFrame) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[Model | None, float]:
     """The model and the prior. `training` picks the rows, of both tables, that may be learned from."""
-    marked = labels.where(training & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    ones, count = marked.agg(F.coalesce(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)), F.lit(0)), F.count("*")).first()
-    prior = prior if prior is not None else ones / count if count else 0.5
+    trusted = labels.where(training & (F.col(label_col) == 1)).select(F.col(id_col).alias("id")).distinct()
+    ones = trusted.count()
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     texts = docs.where(training).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     n = texts.select("id").count()
+    given = 0.5 if prior is None else prior
     if not ones or not n:
-        return None, prior
-    trusted = marked.where((F.col("y") == 1) & (u < min(1.0, positives / ones))).select("id")  # about `positives` ids
-    x_p = _feature_rows(texts.join(trusted, "id", "left_semi"))
+        return None, given
+    x_p = _feature_rows(texts.join(trusted.where(u < min(1.0, positives / ones)), "id", "left_semi"))  # about `positives` ids
     x_u = _feature_rows(texts.where(F.pmod(F.xxhash64("id", F.lit("u")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < min(1.0, unlabelled / n)))
-    return (fit(x_p, x_u, prior), prior) if len(x_p) and len(x_u) else (None, prior)
+    if not len(x_p) or not len(x_u):
+        return None, given
+    prior = estimate_prior(x_p, x_u) if prior is None else prior
+    return fit(x_p, x_u, prior), prior
 
 
 def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
