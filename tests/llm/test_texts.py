@@ -72,6 +72,24 @@ def test_packing(bits):
     assert (token_files.unpack(data, bits, 0, 1000) == ids).all() and (token_files.unpack(data, bits, 17, 333) == ids[17:333]).all()
 
 
+def test_paths_of_token_files():
+    said = {"s3a://b/k": "s3://b/k", "s3://b/k": "s3://b/k", "dbfs:/a/b": "/dbfs/a/b", "dbfs:///a": "/dbfs/a", "file:///t": "file:///t", "/t/a:b": "/t/a:b", "t": "t", "hdfs://h/x": "hdfs://h/x"}
+    assert {p: token_files.plain_uri(p) for p in said} == said
+
+
+def test_token_files_of_a_long_text(spark, tmp_path, monkeypatch):
+    """A text of some MB that crosses blocks, slices and the word table's bound."""
+    monkeypatch.setattr(token_files, "TABLE_CHARS", 200_000)
+    path = tokenizer("byte_bpe_50k.json")
+    long = "\n".join(f"line {i} of a very long text, w{i * 7919 % 100003} {i}." for i in range(60000))
+    assert len(long) > 2_500_000 > token_files.SLICE_CHARS
+    df = spark.createDataFrame([(2, long), (1, "short"), (3, long[::-1][:5000])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_files.read(spark, token_files.write(df, path, f"file://{tmp_path}/t")).collect()}
+    want = [i for i in token_files.WordTable(path).model.encode(long, add_special_tokens=False).ids] + [0]
+    assert np.frombuffer(bytes(got[2]["ids"]), "<u4").tolist() == want and len(want) > 4 * token_files.BLOCK_IDS
+    assert [got[k]["start"] for k in (1, 2, 3)] == [0, got[1]["n_tokens"], got[1]["n_tokens"] + len(want)]
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 1000)
     path = tokenizer("byte_bpe_50k.json")

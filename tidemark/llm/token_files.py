@@ -158,10 +158,25 @@ def unpack(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return ((value >> shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+#: Spellings of schemes that Spark's file systems know and pyarrow's do not (fixed values).
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def plain_uri(path: str) -> str:
+    """A path or URI as pyarrow's file systems take it; dbfs:/ is where such clusters mount it on every machine."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme == "dbfs":
+        return "/dbfs/" + rest.lstrip("/")
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
 def _filesystem(path: str):
     """pyarrow's file system for a path or URI, on whichever machine this runs."""
     from pyarrow import fs
 
+    path = plain_uri(path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -205,7 +220,7 @@ class Writer:
 
 
 class Reader:
-    """Random access to one file."""
+    """Random access to one file; as a context it closes the file."""
 
     def __init__(self, path: str):
         filesystem, name = _filesystem(path)
@@ -221,6 +236,12 @@ class Reader:
         self.documents = np.frombuffer(index, "<i8", documents, 32 + 8 * blocks)
         self.ends = np.cumsum(np.frombuffer(index, "<u8", documents, 32 + 8 * (blocks + documents)).astype(np.int64))
 
+    def __enter__(self) -> Reader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids `start` to `stop` of the file."""
         if start >= stop:
@@ -275,17 +296,17 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                reader = Reader(x["file"])
-                starts = np.r_[0, reader.ends[:-1]]
-                step, k = 16 * reader.block, 0
-                while k < len(starts):  # documents that fit in a few blocks, one at least
-                    end = max(k + 1, int(np.searchsorted(reader.ends, starts[k] + step, side="right")))
-                    ids = reader.read(int(starts[k]), int(reader.ends[end - 1])).astype("<u4")
-                    cuts = np.r_[0, reader.ends[k:end] - starts[k]]
-                    offsets = pa.py_buffer((cuts * 4).astype(np.int32).tobytes())
-                    data = pa.Array.from_buffers(pa.binary(), end - k, [None, offsets, pa.py_buffer(ids.tobytes())])
-                    doc_ids = reader.documents[k:end]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == _NULL_ID), pa.array(starts[k:end] + x["base"]), pa.array(np.diff(cuts)), data], names=["doc_id", "start", "n_tokens", "ids"])
-                    k = end
+                with Reader(x["file"]) as reader:
+                    starts = np.r_[0, reader.ends[:-1]]
+                    step, k = 16 * reader.block, 0
+                    while k < len(starts):  # documents that fit in a few blocks, one at least
+                        end = max(k + 1, int(np.searchsorted(reader.ends, starts[k] + step, side="right")))
+                        ids = reader.read(int(starts[k]), int(reader.ends[end - 1])).astype("<u4")
+                        cuts = np.r_[0, reader.ends[k:end] - starts[k]]
+                        offsets = pa.py_buffer((cuts * 4).astype(np.int32).tobytes())
+                        data = pa.Array.from_buffers(pa.binary(), end - k, [None, offsets, pa.py_buffer(ids.tobytes())])
+                        doc_ids = reader.documents[k:end]
+                        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == _NULL_ID), pa.array(starts[k:end] + x["base"]), pa.array(np.diff(cuts)), data], names=["doc_id", "start", "n_tokens", "ids"])
+                        k = end
 
     return based.repartitionByRange(n, "task").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")
