@@ -122,3 +122,41 @@ def test_resumable_case(spark):
     rows = df.select(errors.is_resumable(F.col("s"), F.col("e")).alias("a"), errors.is_resumable(F.col("s"), F.col("e"), False).alias("b")).collect()
     assert [r["a"] for r in rows] == [True, False, True, False, True, True]
     assert [r["b"] for r in rows] == [True, False, True, False, False, True]
+
+
+def masked_by_rule(m):
+    """The rules of masking with their conditions on lengths as code."""
+    import re
+
+    ends = lambda v, k: v[:k] + "***" + v[-k:]
+    m = re.sub(r"(sk-[a-zA-Z0-9])[a-zA-Z0-9]{15,}([a-zA-Z0-9]{4})", r"\1***\2", m)
+    m = re.sub(r"\b[a-zA-Z0-9]{32,}\b", lambda x: ends(x[0], 4), m)
+
+    def header(x):
+        name, eq, value = x[2].strip().partition("=")
+        return x[1] + (name + eq + (ends(value, 4) if len(value) > 8 else "***REDACTED***" if value else "") if eq else x[2])
+
+    m = re.sub(r"(?i)(Cookie:\s*)([^;\n]+)", header, m)
+    for start, value, k, least in ((r"cookie\s*=\s*", r"[^;\s\n&]+", 4, 9), (r"Authorization:\s*", r"[^\s\n]+", 4, 9)):
+        m = re.sub(f"(?i)({start})({value})", lambda x, k=k, least=least: x[1] + (ends(x[2], k) if len(x[2]) >= least else x[2]), m)
+    m = re.sub(r"(?i)Bearer\s+([a-zA-Z0-9\-_.]+)", lambda x: "Bearer " + (ends(x[1], 4) if len(x[1]) > 8 else x[1]), m)
+    m = re.sub(r"(?i)Basic\s+([A-Za-z0-9+/=]{20,})", lambda x: "Basic " + ends(x[1], 4), m)
+    for p in texts.SECRET_PARAMETERS:
+        m = re.sub(rf"(?i)([?&]{p}=)([^&\s]+)", lambda x: x[1] + (ends(x[2], 2) if len(x[2]) > 8 else x[2]), m)
+    m = re.sub(r"(?i)(password|pwd)\s*=\s*[^\s&]+", r"\1=***REDACTED***", m)
+    m = re.sub(r"://([^:]+):([^@]+)@", r"://\1:***REDACTED***@", m)
+    return m[:500] + "... [truncated]" if len(m) > 500 else m
+
+
+def test_masks_hold_the_rule(spark):
+    """Every kind of secret with values of 0 to 40 characters, alone and behind one another."""
+    import random
+
+    r = random.Random(8)
+    value = lambda n: "".join(r.choice("abcXYZ019") for _ in range(n))
+    kinds = ["Cookie: SID=", "cookie:  a=", "Cookie: ", "x cookie=", "cookie = ", "Authorization: ", "authorization:", "bearer  ", "Bearer ", "Basic ", "basic  ", "password=", "PWD = ", "socks5://u:", "sk-", "/p?x=1&", *[f"/p?{p}=" for p in texts.SECRET_PARAMETERS]]
+    rows = [k + value(n) + r.choice(["", " tail", "; b=cdefghijklmnop", "\nnext", "&z=1", "@host/"]) for k in kinds for n in (0, 1, 4, 8, 9, 12, 16, 20, 24, 31, 32, 40)]
+    rows += [" ".join(r.sample(rows, 3)) for _ in range(150)] + ["x" * 600, "", "Cookie: SID=abc123", "cookie=abcdefghijklmnop", "Cookie: a=b=c d e f g h i ; q"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", texts.mask_secrets(F.col("t")).alias("m")).collect()
+    for x in got:
+        assert x["m"] == masked_by_rule(rows[x["i"]]), rows[x["i"]]

@@ -50,6 +50,20 @@ def display_name(code: Column) -> Column:
     return F.coalesce(exact, prefix, code)
 
 
+#: Codes of languages by the names that prompts call them (fixed values).
+CODES = {
+    "中文": "zh-CN", "简体中文": "zh-CN", "繁體中文": "zh-TW", "繁体中文": "zh-TW", "English": "en-US", "英语": "en", "英文": "en", "日本語": "ja-JP", "日语": "ja", "日文": "ja",
+    "한국어": "ko-KR", "韩语": "ko", "韩文": "ko", "Español": "es-ES", "西班牙语": "es", "Français": "fr-FR", "法语": "fr", "Deutsch": "de-DE", "德语": "de", "Русский": "ru-RU",
+    "俄语": "ru", "Português": "pt-PT", "葡萄牙语": "pt", "Italiano": "it-IT", "意大利语": "it", "العربية": "ar", "阿拉伯语": "ar", "हिन्दी": "hi-IN", "印地语": "hi",
+}
+
+
+def name_to_code(name: Column) -> Column:
+    """The code of a language's name; what is no known name, as a code is, comes back as it is."""
+    codes = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    return F.get(F.transform(F.array(name), lambda n: F.coalesce(F.try_element_at(codes, n), n)), F.lit(0))
+
+
 def normalize_chinese(code: Column, content: Column) -> Column:
     """zh-Hans and zh-Hant by name, zh by the content's script (mainland if that is unclear); other codes stay."""
     low, variant = F.lower(code), chinese_variant(F.coalesce(content, F.lit("")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.languages import display_name, name_to_code
+
 
 def srt_time(ms: Column) -> Column:
     """HH:MM:SS,mmm"""
@@ -48,25 +50,32 @@ def output_dir(channel_name: Column, channel_id: Column, video_id: Column, title
 SECRET_PARAMETERS = ("token", "key", "secret", "apikey", "api_key", "access_token", "auth", "password", "pwd")
 
 
-def mask_secrets(message: Column, longest: int = 500) -> Column:
-    """Masks keys, headers, parameters and passwords, in this order, and cuts what is longer than `longest`.
+#: What is masked, in this order, and what stands in its place (fixed rules). Conditions on lengths are bands of the patterns; a run of
+#: a class is taken whole because its pattern is greedy.
+MASKS = (
+    (r"(sk-[a-zA-Z0-9])[a-zA-Z0-9]{15,}([a-zA-Z0-9]{4})", "1***2"),
+    (r"\b([a-zA-Z0-9]{4})[a-zA-Z0-9]{24,}([a-zA-Z0-9]{4})\b", "1***2"),
+    # the first value of a cookie header: nine characters or more keep four at both ends, fewer keep none
+    (r"(?i)(Cookie:\s*[^;\n=]*=[^;\n]{4})[^;\n]+([^;\n]{3}[^;\s])[^\S\n]*", "1***2"),
+    (r"(?i)(Cookie:\s*[^;\n=]*=)[^;\n]{0,7}[^;\s][^\S\n]*(;|\n|$)", "1***REDACTED***2"),
+    (r"(?i)(cookie\s*=\s*[^;\s&]{4})[^;\s&]+([^;\s&]{4})", "1***2"),
+    (r"(?i)(Authorization:\s*[^\s]{4})[^\s]+([^\s]{4})", "1***2"),
+    (r"(?i)Bearer\s+([a-zA-Z0-9\-_.])", "Bearer 1"),
+    (r"(Bearer [a-zA-Z0-9\-_.]{4})[a-zA-Z0-9\-_.]+([a-zA-Z0-9\-_.]{4})", "1***2"),
+    (r"(?i)Basic\s+([A-Za-z0-9+/=]{4})[A-Za-z0-9+/=]{12,}([A-Za-z0-9+/=]{4})", "Basic 1***2"),
+    (rf"(?i)([?&](?:{'|'.join(SECRET_PARAMETERS)})=[^&\s]{{2}})[^&\s]{{5,}}([^&\s]{{2}})", "1***2"),
+    (r"(?i)(password|pwd)\s*=\s*[^\s&]+", "1=***REDACTED***"),
+    (r"://([^:]+):([^@]+)@", "://1:***REDACTED***@"),
+)
 
-    Conditions on a value's length are bands of the patterns, so no Python runs. A cookie header is masked up to the first
-    semicolon, as one value.
-    """
+
+def mask_secrets(message: Column, longest: int = 500) -> Column:
+    """Masks keys, headers, parameters and passwords by `MASKS`, and cuts what is longer than `longest`. A masked message is computed once."""
     m = message
-    keep4 = r"$1***$2"
-    m = F.regexp_replace(m, r"(sk-[a-zA-Z0-9])[a-zA-Z0-9]{15,}([a-zA-Z0-9]{4})", keep4)
-    m = F.regexp_replace(m, r"\b([a-zA-Z0-9]{4})[a-zA-Z0-9]{24,}([a-zA-Z0-9]{4})\b", keep4)
-    m = F.regexp_replace(m, r"(?i)(Cookie:\s*[^;=\n]+=[^;\n]{4})[^;\n]+([^;\n]{4})(?=;|\n|$)", keep4)
-    m = F.regexp_replace(m, r"(?i)(Authorization:\s*[^\s]{4})[^\s]+([^\s]{4})(?=\s|$)", keep4)
-    m = F.regexp_replace(m, r"(?i)Bearer\s+([a-zA-Z0-9\-_.]{4})[a-zA-Z0-9\-_.]+([a-zA-Z0-9\-_.]{4})(?![a-zA-Z0-9\-_.])", r"Bearer $1***$2")
-    m = F.regexp_replace(m, r"(?i)Basic\s+([A-Za-z0-9+/=]{4})[A-Za-z0-9+/=]{12,}([A-Za-z0-9+/=]{4})(?![A-Za-z0-9+/=])", r"Basic $1***$2")
-    for name in SECRET_PARAMETERS:
-        m = F.regexp_replace(m, rf"(?i)([?&]{name}=[^&\s]{{2}})[^&\s]{{5,}}([^&\s]{{2}})(?![^&\s])", keep4)
-    m = F.regexp_replace(m, r"(?i)(password|pwd)\s*=\s*[^\s&]+", r"$1=***REDACTED***")
-    m = F.regexp_replace(m, r"://([^:]+):([^@]+)@", r"://$1:***REDACTED***@")
-    return F.when(F.length(m) > longest, F.concat(F.left(m, F.lit(longest)), F.lit("... [truncated]"))).otherwise(m)
+    for pattern, by in MASKS:
+        m = F.regexp_replace(m, pattern, by.replace("1", "$1").replace("2", "$2"))
+    cut = lambda x: F.when(F.length(x) > longest, F.concat(F.left(x, F.lit(longest)), F.lit("... [truncated]"))).otherwise(x)
+    return F.get(F.transform(F.array(m), cut), F.lit(0))
 
 
 def version(text: Column) -> Column:
@@ -86,16 +95,46 @@ def summary_route(length: Column) -> Column:
     return F.when(length > 15000, "map_reduce").otherwise("direct")
 
 
+#: The line behind which a prompt holds what it is about.
+MARKER = "Subtitles:\n"
+
+
 def translation_prompt(source: Column, target: Column, text: Column) -> Column:
-    """A prompt that names both languages and holds the cues behind a marker."""
-    return F.concat(F.lit("Translate the subtitles from "), source, F.lit(" to "), target, F.lit(". Keep numbers and times.\nSubtitles:\n"), text)
+    """A prompt that names both languages, tells the two Chinese scripts apart, and holds the cues behind a marker."""
+    low = F.lower(target)
+    name = F.when(low.isin("zh-cn", "zh_cn", "zh"), "简体中文").when(low.isin("zh-tw", "zh_tw", "zh-hant"), "繁体中文").otherwise(display_name(target))
+    return F.concat(F.lit("Translate the subtitles from "), display_name(source), F.lit(" to "), name, F.lit(". Keep numbers and times.\n" + MARKER), text)
+
+
+def _titled(title: Column) -> Column:
+    return F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("Title: "), title, F.lit("\n"))).otherwise("")
+
+
+def _words(length: Column) -> Column:
+    return F.concat(suggested_length(length)["min_words"].cast("string"), F.lit("-"), suggested_length(length)["max_words"].cast("string"))
+
+
+def summary_prompt(language: Column, text: Column, title: Column) -> Column:
+    """A prompt for a summary of as many words as the text's length suggests."""
+    return F.concat(F.lit("Summarise the subtitles in "), display_name(language), F.lit(", in "), _words(F.length(text)), F.lit(" words, as Markdown, complete first of all.\n"), _titled(title), F.lit(MARKER), text)
+
+
+def part_prompt(language: Column, text: Column, number: Column, total: Column) -> Column:
+    """A prompt for the summary of part `number` (from 1) of `total`."""
+    return F.concat(F.lit("Summarise part "), number.cast("string"), F.lit("/"), total.cast("string"), F.lit(" of the subtitles in "), display_name(language), F.lit(", in 200-500 words, without a heading.\n" + MARKER), text)
+
+
+def merge_prompt(language: Column, summaries: Column, title: Column, length: Column) -> Column:
+    """A prompt that makes one summary of the parts' summaries, of as many words as the whole text's length suggests."""
+    return F.concat(F.lit("Merge the summaries of all parts in "), display_name(language), F.lit(", in "), _words(length), F.lit(" words, as Markdown, complete first of all.\n"), _titled(title), F.lit(MARKER), summaries)
 
 
 def prompt_text(prompt: Column) -> Column:
-    """The cues of a translation prompt, or null without a marker."""
-    return F.when(prompt.contains("Subtitles:\n"), F.trim(F.substring_index(prompt, "Subtitles:\n", -1)))
+    """What stands behind a prompt's marker, or null without one."""
+    return F.when(prompt.contains(MARKER), F.trim(F.substring_index(prompt, MARKER, -1)))
 
 
 def prompt_languages(prompt: Column) -> Column:
-    found = lambda i: F.nullif(F.regexp_extract(prompt, r"from ([^ ]+) to ([^ .]+)", i), F.lit(""))
+    """The codes of the languages that a translation prompt names."""
+    found = lambda i: name_to_code(F.nullif(F.regexp_extract(prompt, r"from ([^ ]+) to ([^ .]+)", i), F.lit("")))
     return F.struct(found(1).alias("source"), found(2).alias("target"))

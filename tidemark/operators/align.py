@@ -32,6 +32,12 @@ def bilingual_text(source: DataFrame, target: DataFrame, keys: Sequence[str] = (
     return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def marked(blocks: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """`keys`, marked: blocks (`keys`, block_no, text) in order, each behind its mark, apart by blank lines."""
+    mark = lambda b: F.concat(F.lit("[BLOCK_"), b["block_no"].cast("string"), F.lit("]\n"), b["text"])
+    return blocks.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), mark), "\n\n").alias("marked"))
+
+
 def apply_blocks(blocks: DataFrame, answer: DataFrame, key: str = "video_id") -> DataFrame:
     """Blocks (`key`, block_no, text) with the texts that an answer (`key`, answer) gives behind [BLOCK_n] marks.
 
@@ -52,23 +58,53 @@ def first_common(manual: Column, auto: Column, order: Sequence[str] = ORIGINAL)
     return F.coalesce(*found, F.get(manual, F.lit(0)), F.get(auto, F.lit(0)))
 
 
+def source_languages(tracks: DataFrame) -> DataFrame:
+    """video_id, lang: first_common() of each video's tracks (video_id, lang, is_auto, pos), by one aggregation."""
+    rank = None
+    for i, code in enumerate(ORIGINAL):
+        hit = matches(F.col("lang"), F.lit(code))
+        rank = F.when(hit, i) if rank is None else rank.when(hit, i)
+    ranked = tracks.select("video_id", "lang", "is_auto", "pos", rank.alias("_rank"))
+    return ranked.groupBy("video_id").agg(F.min_by("lang", F.struct(F.col("_rank").isNull().alias("other"), "is_auto", F.coalesce("_rank", F.lit(0)).alias("rank"), "pos")).alias("lang"))
+
+
+def first_listed(manual: Column, auto: Column) -> Column:
+    """The source language of a translation: the first manual track's, else the first automatic one's."""
+    return F.coalesce(F.get(manual, F.lit(0)), F.get(auto, F.lit(0)))
+
+
 def select_source(videos: DataFrame, tracks: DataFrame) -> DataFrame:
     """Which track of each video to translate from: video_id, lang, tier (1 common, 2 original, 3 manual, 4 automatic).
 
     `videos`: video_id, has_original. `tracks`: video_id, lang, is_auto, pos, fetched. In tier 1, each common language in order
-    looks at its first matching track only, manual before automatic. A video without a track is left out.
+    looks at its first matching track only, manual before automatic. A video without a track is left out. Tracks are
+    aggregated once; codes of one primary part look at the same tracks, but for the two Chinese scripts.
+    """
+    heads = list(dict.fromkeys(c if c.startswith("zh") else c.split("-")[0] for c in COMMON))
+    lang, order = F.col("lang"), F.struct("is_auto", "pos")
+    first = [F.min_by(F.struct("lang", "fetched"), F.when(matches(lang, F.lit(h)), order)).alias(f"_t{i}") for i, h in enumerate(heads)]
+    common = primary(lang).isin(*sorted({c.split("-")[0] for c in COMMON}))
+    rest = F.min_by(F.struct("lang", F.when(F.col("is_auto"), 4).otherwise(3).alias("tier")), F.when(~common & F.col("fetched"), order)).alias("_rest")
+    seen = tracks.groupBy("video_id").agg(*first, rest)
+    tier1 = F.coalesce(*[F.when(F.col(f"_t{i}.fetched"), F.struct(F.col(f"_t{i}.lang").alias("lang"), F.lit(1).alias("tier"))) for i in range(len(heads))])
+    tier2 = F.when(F.col("has_original"), F.struct(F.lit("original").alias("lang"), F.lit(2).alias("tier")))
+    both = videos.where("has_original").select("video_id", "has_original").join(seen, "video_id", "full")
+    return both.select("video_id", F.coalesce(tier1, tier2, "_rest").alias("best")).where("best is not null").select("video_id", "best.lang", "best.tier")
+
+
+def select_summary(texts: DataFrame, language: str) -> DataFrame:
+    """Which text of each video to summarise: video_id, kind, lang of the translation into `language`, else the original, else any translation.
+
+    `texts`: video_id, kind (translated or original), lang, pos.
     """
-    order = videos.sparkSession.createDataFrame([(i, c) for i, c in enumerate(COMMON)], "rank int, common string").withColumn("_primary", primary(F.col("common")))
-    tracks = tracks.withColumn("_primary", primary(F.col("lang")))
-    hits = tracks.join(F.broadcast(order), "_primary").where(matches(F.col("lang"), F.col("common")))  # 18 rows
-    first = F.row_number().over(Window.partitionBy("video_id", "rank").orderBy("is_auto", "pos"))
-    tier1 = hits.withColumn("_r", first).where("_r = 1 and fetched").select("video_id", "lang", F.lit(1).alias("tier"), "rank")
-    tier2 = videos.where("has_original").select("video_id", F.lit("original").alias("lang"), F.lit(2).alias("tier"), F.lit(0).alias("rank"))
-    # both Chinese scripts are listed, so a code matches a common language if and only if their primary parts are equal
-    common = F.col("_primary").isin(*sorted({c.split("-")[0] for c in COMMON}))
-    rest = tracks.where(~common & F.col("fetched")).select("video_id", "lang", F.when(F.col("is_auto"), 4).otherwise(3).alias("tier"), F.col("pos").alias("rank"))
-    every = tier1.unionByName(tier2).unionByName(rest)
-    return every.groupBy("video_id").agg(F.min_by(F.struct("lang", "tier"), F.struct("tier", "rank")).alias("best")).select("video_id", "best.lang", "best.tier")
+    wanted = (F.col("kind") == "translated") & (F.col("lang") == language)
+    tier = F.when(wanted, 1).when(F.col("kind") == "original", 2).otherwise(3)
+    return texts.groupBy("video_id").agg(F.min_by(F.struct("kind", "lang"), F.struct(tier.alias("t"), "pos")).alias("_b")).select("video_id", "_b.kind", "_b.lang")
+
+
+def supplement(wanted: DataFrame, there: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Languages (video_id, lang) that are wanted, that a result lacks, and that have a fetched track."""
+    return wanted.join(there, ["video_id", "lang"], "left_anti").join(tracks.where("fetched").select("video_id", "lang"), ["video_id", "lang"], "left_semi")
 
 
 def choose_track(tracks: DataFrame) -> DataFrame:
@@ -83,9 +119,11 @@ def strategy(targets: DataFrame, tracks: DataFrame, mode: str = "official_first"
 
     `targets`: video_id, target, original_lang. `tracks`: video_id, lang, pos. Exact codes come before matching ones.
     """
-    hit = targets.select("video_id", "target").join(tracks, "video_id").where(matches(F.col("lang"), F.col("target")))
-    best = hit.groupBy("video_id", "target").agg(F.min_by("lang", F.struct((F.col("lang") != F.col("target")).alias("x"), "pos")).alias("official"))
-    joined = targets.join(best, ["video_id", "target"], "left")
+    listed = tracks.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lang"))).alias("_tracks"))  # a video's tracks
+    joined = targets.join(listed, "video_id", "left").withColumn("_langs", F.transform("_tracks", lambda t: t["lang"]))
+    target = F.col("target")
+    official = F.coalesce(F.when(F.array_contains("_langs", target), target), F.get(F.filter("_langs", lambda x: matches(x, target)), F.lit(0)))
+    joined = joined.withColumn("official", official)
     same = F.coalesce(matches(F.col("original_lang"), F.col("target")), F.lit(False))
     if mode == "ai_only":
         action = F.lit("ai")

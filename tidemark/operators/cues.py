@@ -72,6 +72,16 @@ def render(cues: Column) -> Column:
     return F.array_join(F.transform(cues, lambda c: entry(c["index"], c["start"], c["end"], c["text"])), "\n")
 
 
+def render_blocks(blocks: Column) -> Column:
+    """Blocks (start_ms, end_ms, text), in order, as a file numbered from 1, with their own times."""
+    return F.array_join(F.transform(blocks, lambda b, i: entry(i + 1, srt_time(b["start_ms"]), srt_time(b["end_ms"]), b["text"])), "\n")
+
+
+def is_complete(original: Column, translated: Column) -> Column:
+    """Whether a translation has as many cues as its original."""
+    return F.regexp_count(original, F.lit("-->")) == F.regexp_count(translated, F.lit("-->"))
+
+
 def renumbered(cues: Column) -> Column:
     return F.transform(cues, lambda c, i: F.struct((i + 1).cast("int").alias("index"), c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))
 

@@ -1,7 +1,8 @@
 """Ordered folds over cues: blocks, chunks, slices and split points.
 
 A rule that restarts at a boundary it sets itself is a fold. Cues of one video are gathered in order and folded by
-`aggregate`: the accumulator holds one small array of boundaries, so a video's cues are one row, as the data model has it.
+`aggregate`: the accumulator holds the rule's state and where parts begin, and grows only there. So a video's cues are one row,
+as the data model has it.
 """
 
 from __future__ import annotations
@@ -22,29 +23,31 @@ def ends_sentence(text: Column) -> Column:
 
 
 def _fold(cues: DataFrame, keys: list[str], state: Column, starts_new, after) -> DataFrame:
-    """Adds `part` (from 0) to cues (`keys`, pos, ...): a new part begins where `starts_new(state, cue)` holds.
+    """Adds part (from 0) to cues (`keys`, pos, ...): a new part begins where `starts_new(state, cue)` holds.
 
-    `state` has fields part and n (cues in the part) besides the rule's own; `after(state, cue, new)` gives those others.
+    `state` has a field n (cues in the part) besides the rule's own; `after(state, cue, new)` gives those others.
     """
     others = [c for c in cues.columns if c not in keys]
     packed = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in others if c != "pos"]))).alias("_cues"))
 
     def step(acc: Column, cue: Column) -> Column:
-        s = acc["s"]
+        s, at = acc["s"], (acc["at"] + 1).cast("int")
         new = (s["n"] > 0) & starts_new(s, cue)
-        part = (s["part"] + F.when(new, 1).otherwise(0)).cast("int")
         n = F.when(new, 1).otherwise(s["n"] + 1).cast("int")
-        return F.struct(F.struct(part.alias("part"), n.alias("n"), *after(s, cue, new)).alias("s"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+        begins = F.when(new, F.concat(acc["begins"], F.array(at))).otherwise(acc["begins"])
+        return F.struct(F.struct(n.alias("n"), *after(s, cue, new)).alias("s"), at.alias("at"), begins.alias("begins"))
 
-    parts = F.aggregate("_cues", F.struct(state.alias("s"), F.array().cast("array<int>").alias("parts")), step, lambda acc: acc["parts"])
-    zipped = F.arrays_zip(F.col("_cues"), parts.alias("part"))
-    rows = packed.select(*keys, F.explode(zipped).alias("_z"))
-    return rows.select(*keys, "_z._cues.*", F.col("_z.part").alias("part"))
+    begins = F.aggregate("_cues", F.struct(state.alias("s"), F.lit(0).alias("at"), F.array(F.lit(1)).alias("begins")), step, lambda acc: acc["begins"])
+    folded = packed.select(*keys, "_cues", begins.alias("_begins"))
+    upto = lambda k: F.coalesce(F.get("_begins", k + 1), F.size("_cues") + 1)
+    parts = F.transform("_begins", lambda at, k: F.struct(k.cast("int").alias("part"), F.slice("_cues", at, upto(k) - at).alias("cues")))
+    rows = folded.select(*keys, F.explode(parts).alias("_p")).select(*keys, F.col("_p.part").alias("part"), F.explode("_p.cues").alias("_c"))
+    return rows.select(*keys, "_c.*", "part")
 
 
 def chunk_parts(cues: DataFrame, keys: list[str], size: str, most_cues: int = 50, most_chars: int = 8000) -> DataFrame:
     """Greedy chunks: a new one where the chunk is full, or where the cue's `size` would make it too long."""
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"))
     new = lambda s, c: (s["n"] >= most_cues) | (s["chars"] + c[size] > most_chars)
     after = lambda s, c, new: [(F.when(new, F.lit(0)).otherwise(s["chars"]) + c[size]).cast("long").alias("chars")]
     return _fold(cues, keys, start, new, after)
@@ -55,7 +58,7 @@ def block_parts(cues: DataFrame, keys: list[str], gap_ms: int = 1200, most_chars
 
     The spaces that join texts count for what a block has, not for the cue that may join it.
     """
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("last_end"), F.lit(False).alias("ended"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("last_end"), F.lit(False).alias("ended"))
     new = lambda s, c: (c["start_ms"] - s["last_end"] > gap_ms) | s["ended"] | (s["chars"] + F.length(c["text"]) > most_chars)
 
     def after(s: Column, c: Column, new: Column) -> list[Column]:

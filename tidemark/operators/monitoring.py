@@ -92,3 +92,48 @@ def track_info(manual: Column, auto: Column) -> Column:
     """Both lists of languages in one line; an empty list is left out."""
     part = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.array_join(c, ", ")))
     return F.concat_ws(" | ", part("manual", manual), part("auto", auto))
+
+
+def best_proxy(requests: DataFrame, proxy: str, failed: Column) -> DataFrame:
+    """best: the proxy with the least share of failed requests, the first on a tie."""
+    rates = requests.groupBy(F.col(proxy).alias("_p")).agg((F.count_if(failed).cast("double") / F.count("*")).alias("_rate"))
+    return rates.agg(F.min_by("_p", F.struct("_rate", "_p")).alias("best"))
+
+
+#: States that a provider's health check finds (fixed values).
+HEALTH = ("healthy", "slow", "unhealthy", "unconfigured")
+
+
+def health(statuses: DataFrame, status: str = "status") -> DataFrame:
+    """How many are in each state, zero included, and whether any is unhealthy, which ends a check with an error."""
+    return statuses.agg(*[F.count_if(F.col(status) == s).alias(s) for s in HEALTH], F.bool_or(F.col(status) == "unhealthy").alias("any_unhealthy"))
+
+
+def token_usage(calls: DataFrame, key: str) -> DataFrame:
+    """Calls and tokens of each provider from calls (`key`, usage: prompt, completion)."""
+    prompt, completion = F.col("usage.prompt"), F.col("usage.completion")
+    return calls.groupBy(key).agg(F.count("*").alias("calls"), F.sum(prompt).alias("prompt_tokens"), F.sum(completion).alias("completion_tokens"), F.sum(prompt + completion).alias("total_tokens"))
+
+
+def detection_counts(items: DataFrame, key: str, has: Column, long: Column) -> DataFrame:
+    """How many items of each `key` have tracks and have none, and whether any is long."""
+    has = F.coalesce(has, F.lit(False))
+    return items.groupBy(key).agg(F.count_if(has).alias("has_tracks"), F.count_if(~has).alias("none"), F.bool_or(long).alias("any_long"))
+
+
+def cookie_pairs(cookie: Column) -> Column:
+    """Names and values of a cookie string as an array, in order; parts without a = have an empty value."""
+    return F.transform(F.split(cookie, ";"), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+
+
+def cookie_value(pairs: Column, name: str) -> Column:
+    """The value of a name; the last of equal ones counts."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
+
+
+def cookie_region(pairs: Column) -> Column:
+    """The region of a cookie: gl inside PREF, else GL or LOCALE, else the suffix of HL; in upper case."""
+    named = lambda *names: F.try_element_at(F.filter(pairs, lambda p: F.upper(p["k"]).isin(*names) & (F.length(p["v"]) >= 2)), F.lit(1))["v"]
+    pref = F.nullif(F.regexp_extract(F.coalesce(cookie_value(pairs, "PREF"), F.lit("")), r"(?:^|&)gl=([^&]+)", 1), F.lit(""))
+    suffix = F.nullif(F.regexp_extract(F.coalesce(named("HL"), F.lit("")), r"[-_]([A-Za-z]{2})$", 1), F.lit(""))
+    return F.upper(F.coalesce(pref, named("GL", "LOCALE"), suffix))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.texts import clock
+from tidemark.operators.cues import parse_for_output, render, to_text
 
 
 def _numbered(chapters: DataFrame, key: str, line) -> Column:
@@ -49,3 +52,45 @@ def append_failures(failures: DataFrame, path: str) -> None:
     """Adds failure records as JSON lines; empty optional fields are left out."""
     filled = failures.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in failures.dtypes])
     filled.write.mode("append").json(path)
+
+
+def clear_archive(spark: SparkSession, path: str) -> None:
+    """Leaves an archive without lines."""
+    spark.createDataFrame([], "value string").write.mode("overwrite").text(path)
+
+
+def artifacts(videos: DataFrame, files: DataFrame, languages: Sequence[str], translate: Callable[[Column, str], Column], text_format: str = "both") -> DataFrame:
+    """video_id, file, content: what an item's output holds, from `files` (video_id, lang, content: the original as SRT, summary, metadata).
+
+    The original, its translations, and both below each other, as SRT, as text, or both (`text_format`: srt, txt, both); a summary and
+    metadata where they are given. `translate` makes a file's translation into a language.
+    """
+    rows = videos.select("video_id").join(files, "video_id")
+    original = rows.where("content is not null").select("video_id", "lang", "content")
+    kinds = [original.select("video_id", F.concat(F.lit("original."), "lang").alias("_stem"), "content")]
+    for code in languages:
+        made = original.select("video_id", "lang", "content", translate(F.col("content"), code).alias("_other"))
+        kinds.append(made.select("video_id", F.lit(f"translated.{code}").alias("_stem"), F.col("_other").alias("content")))
+        both = F.arrays_zip(parse_for_output(F.col("content")).alias("a"), parse_for_output(F.col("_other")).alias("b"))
+        cue = F.transform(both, lambda z: F.struct(z["a"]["index"].alias("index"), z["a"]["start"].alias("start"), z["a"]["end"].alias("end"), F.concat_ws("\n", z["a"]["text"], z["b"]["text"]).alias("text")))
+        kinds.append(made.select("video_id", F.concat(F.lit("bilingual."), "lang", F.lit(f"-{code}")).alias("_stem"), render(cue).alias("content")))
+    stems = kinds[0]
+    for k in kinds[1:]:
+        stems = stems.unionByName(k)
+    out = []
+    if text_format in ("srt", "both"):
+        out.append(stems.select("video_id", F.concat("_stem", F.lit(".srt")).alias("file"), "content"))
+    if text_format in ("txt", "both"):
+        out.append(stems.select("video_id", F.concat("_stem", F.lit(".txt")).alias("file"), to_text(parse_for_output(F.col("content"))).alias("content")))
+    out.append(rows.where("summary is not null").select("video_id", F.concat(F.lit("summary."), "summary_lang", F.lit(".md")).alias("file"), F.col("summary").alias("content")))
+    out.append(rows.where("metadata is not null").select("video_id", F.lit("metadata.json").alias("file"), F.col("metadata").alias("content")))
+    every = out[0]
+    for o in out[1:]:
+        every = every.unionByName(o)
+    return every
+
+
+def metadata_document(video: Column, run_id: Column, made_at: Column, detection: Column, config: Column, ai: Column, summary_ai: Column, files: Column, version: str = "1") -> Column:
+    """An item's metadata as JSON: `video`'s fields at the top, then what was found, asked for, used and written. Nulls are written out."""
+    top = [F.lit(version).alias("tool_version"), run_id.alias("run_id"), made_at.alias("generated_at"), video.alias("video")]
+    return F.to_json(F.struct(*top, detection.alias("detection"), config.alias("language_config"), ai.alias("translation_ai"), summary_ai.alias("summary_ai"), files.alias("files")), {"ignoreNullFields": "false"})

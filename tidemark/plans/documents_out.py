@@ -58,9 +58,10 @@ def translate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return called.select("video_id", "pos", providers.translate_or_keep(F.col("answer"), F.col("text")).alias("answer"))
 
 
-@query("SELECT doc_id, (string_agg(replace(substr(text, i * 10000 + 1, 10000), 'e', 'E'), chr(10) || '---' || chr(10) ORDER BY i)) AS summary FROM documents, range(0, 10000) r(i) WHERE i * 10000 < length(text) GROUP BY doc_id")
+@query("WITH s AS (SELECT doc_id, string_agg(replace(substr(text, i * 10000 + 1, 10000), 'e', 'E'), chr(10) || '---' || chr(10) ORDER BY i) AS joined FROM documents, range(0, 10000) r(i) WHERE i * 10000 < length(text) GROUP BY doc_id) SELECT doc_id, CASE WHEN length(text) > 15000 THEN joined ELSE replace(text, 'e', 'E') END AS summary FROM documents JOIN s USING (doc_id)")
 def map_reduce_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return providers.map_reduce(C.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", "mark")
+    """Summaries by prompts, long texts by parts; the stand-in answers with the text that a prompt holds."""
+    return providers.map_reduce(C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "mark_text", F.col("lang"))
 
 
 @query("SELECT event_id, CASE WHEN floor(value * 10)::BIGINT >= 3600 THEN printf('%02d:%02d:%02d', floor(value * 10)::BIGINT // 3600, floor(value * 10)::BIGINT // 60 % 60, floor(value * 10)::BIGINT % 60) ELSE printf('%02d:%02d', floor(value * 10)::BIGINT // 60, floor(value * 10)::BIGINT % 60) END AS at FROM events")

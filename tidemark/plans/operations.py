@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import languages
 from tidemark.operators import monitoring as M
-from tidemark.operators import providers
+from tidemark.operators import align, providers
 from tidemark.plans.registry import query
 from tidemark.sources import carriers as C
 from tidemark.sources import catalog
@@ -26,12 +26,14 @@ def _listed(values: tuple) -> str:
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 
 
-_PROXIES = ("http://h:80", "socks5h://u:p@h:1080", "ftp://h:1", "https://h", "http://:80", "socks4://h:70000", "no proxy", "http://h:0")
+#: Proxies, the good ones first.
+_GOOD = ("http://h:80", "socks5h://u:p@h:1080", "https://h", "SOCKS5://h:1", "http://h:65535/", "socks4://10.0.0.1:9")
+_PROXIES = (*_GOOD, "ftp://h:1", "http://:80", "socks4://h:70000", "no proxy", "http://h:0", "http://h:65536", "http://h:x", "://h:1", "http//h:1", "")
 
 
-@query(f"SELECT event_id, {_listed(_PROXIES)}[event_id % 8 + 1] AS proxy, event_id % 8 IN (0, 1, 3) AS valid FROM events")
+@query(f"SELECT event_id, {_listed(_PROXIES)}[event_id % {len(_PROXIES)} + 1] AS proxy, event_id % {len(_PROXIES)} < {len(_GOOD)} AS valid FROM events")
 def proxy_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proxy = _pick(_PROXIES, "event_id % 8")
+    proxy = _pick(_PROXIES, f"event_id % {len(_PROXIES)}")
     return _events(spark, sf_dir).select("event_id", proxy.alias("proxy")).withColumn("valid", M.valid_proxy(F.col("proxy")))
 
 
@@ -85,14 +87,19 @@ def health_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.count_if(F.col("event_type") == "error")
     status = F.when(bad == 0, "healthy").when(bad * 3 < F.count("*"), "slow").when(bad < F.count("*"), "unhealthy").otherwise("unconfigured")
     by = _events(spark, sf_dir).groupBy("user_id").agg(status.alias("status"))
-    return by.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("healthy", "slow", "unhealthy", "unconfigured")], F.bool_or(F.col("status") == "unhealthy").alias("any_unhealthy"))
+    return M.health(by)
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'url,timestamp' WHEN 2 THEN 'json' ELSE 'stage' END AS problems FROM events")
+_RECORDS = (
+    ('{"video_id":"v","url":"u","stage":"s","error_type":"auth","timestamp":"t"}', ""), ('{"video_id":"v","stage":"s","error_type":"auth"}', "url,timestamp"), ("not json", "json"), ('{"video_id":"v","url":"u","stage":"","error_type":"auth","timestamp":"t"}', "stage"),
+    ("{}", "video_id,url,stage,error_type,timestamp"), ('["video_id"]', "json"), ('{"video_id":"v","url":null,"stage":"s","error_type":"auth","timestamp":"t","more":1}', "url"), ('{"video_id":"v","url":"u","stage":"s","error_type":"auth","timestamp":"t"', "json"), ("", "json"),
+)
+
+
+@query("SELECT event_id, " + _listed(tuple(p for _, p in _RECORDS)) + f"[event_id % {len(_RECORDS)} + 1] AS problems FROM events")
 def record_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failure records that lack required fields."""
-    lines = ('{"video_id":"v","url":"u","stage":"s","error_type":"auth","timestamp":"t"}', '{"video_id":"v","stage":"s","error_type":"auth"}', "not json", '{"video_id":"v","url":"u","stage":"","error_type":"auth","timestamp":"t"}')
-    return _events(spark, sf_dir).select("event_id", F.array_join(M.record_problems(_pick(lines, "event_id % 4")), ",").alias("problems"))
+    """Failure records that lack required fields, or are none."""
+    return _events(spark, sf_dir).select("event_id", F.array_join(M.record_problems(_pick(tuple(r for r, _ in _RECORDS), f"event_id % {len(_RECORDS)}")), ",").alias("problems"))
 
 
 @query("WITH a AS (SELECT ['network', 'auth', 'bogus', 'parse'][event_id % 4 + 1] AS t FROM events), b AS (SELECT ['auth', 'content', 'network'][event_id % 3 + 1] AS t FROM events WHERE event_type = 'error'), x AS (SELECT t, count(*) AS n FROM a GROUP BY t), y AS (SELECT t, count(*) AS n FROM b GROUP BY t) SELECT coalesce(x.t, y.t) AS error_type, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b, coalesce(x.t, y.t) <> 'bogus' AS known FROM x FULL JOIN y ON x.t = y.t")
@@ -173,15 +180,13 @@ def official_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Official tracks for targets that a result lacks."""
     v = C.videos(spark, sf_dir)
     wanted = v.select("video_id", F.explode(F.array(*[F.lit(x) for x in ("en-GB", "de", "nl")])).alias("lang"))
-    there = v.where("has_original").select("video_id", F.lit("de").alias("lang"))
-    return wanted.join(there, ["video_id", "lang"], "left_anti").join(C.tracks(spark, sf_dir).where("fetched").select("video_id", "lang"), ["video_id", "lang"], "left_semi")
+    return align.supplement(wanted, v.where("has_original").select("video_id", F.lit("de").alias("lang")), C.tracks(spark, sf_dir))
 
 
 @query("SELECT event_type AS provider, count(*) AS calls, sum(event_id % 100)::BIGINT AS prompt_tokens, sum(user_id % 50)::BIGINT AS completion_tokens, sum(event_id % 100 + user_id % 50)::BIGINT AS total_tokens FROM events GROUP BY event_type")
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = F.struct((F.col("event_id") % 100).alias("prompt"), (F.col("user_id") % 50).alias("completion"))
-    rows = _events(spark, sf_dir).select("event_type", usage.alias("usage"))
-    return rows.groupBy(F.col("event_type").alias("provider")).agg(F.count("*").alias("calls"), F.sum("usage.prompt").alias("prompt_tokens"), F.sum("usage.completion").alias("completion_tokens"), F.sum(F.col("usage.prompt") + F.col("usage.completion")).alias("total_tokens"))
+    return M.token_usage(_events(spark, sf_dir).select(F.col("event_type").alias("provider"), usage.alias("usage")), "provider")
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines, count_if(trim(line) <> '') AS filled, max(length(line)) AS longest, min(octet_length(encode(d.text)))::INT AS bytes FROM l JOIN documents d USING (doc_id) GROUP BY doc_id")

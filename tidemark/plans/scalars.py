@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import errors, languages, texts, urls
+from tidemark.operators import monitoring
 from tidemark.plans.registry import query
 from tidemark.sources import carriers as C
 from tidemark.sources.carriers import with_
@@ -96,10 +97,10 @@ def filename_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "documents").select("doc_id", texts.safe_filename(F.col("text")).alias("name"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_SAFE.format('source')} || ' [' || lang || ']/' END || doc_id || '  ' || {_SAFE.format('left(text, 40)')} AS path FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE {_SAFE.format('source')} || ' [' || lang || ']/' END || doc_id || '  ' || {_SAFE.format('text')} AS path FROM documents")
 def output_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     channel = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source"))
-    return C.table(spark, sf_dir, "documents").select("doc_id", texts.output_dir(channel, F.col("lang"), F.col("doc_id").cast("string"), F.left("text", F.lit(40))).alias("path"))
+    return C.table(spark, sf_dir, "documents").select("doc_id", texts.output_dir(channel, F.col("lang"), F.col("doc_id").cast("string"), F.col("text")).alias("path"))
 
 
 @query(with_("cues") + "SELECT video_id, pos, start, \"end\", start_ms AS back_ms FROM cues")
@@ -108,10 +109,15 @@ def ms_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cues(spark, sf_dir).select("video_id", "pos", "start", "end", texts.time_ms(F.col("start")).alias("back_ms"))
 
 
-@query("SELECT event_id, CASE WHEN value::BIGINT >= 3600 THEN '' ELSE '' END || printf('%02d:%02d', floor(value * 10)::BIGINT // 60 % 60, floor(value * 10)::BIGINT % 60) AS clock_short, CASE WHEN floor(value * 10)::BIGINT < 60 THEN printf('%ds', floor(value * 10)::BIGINT) WHEN floor(value * 10)::BIGINT < 3600 THEN printf('%dm %ds', floor(value * 10)::BIGINT // 60, floor(value * 10)::BIGINT % 60) ELSE printf('%dh %dm', floor(value * 10)::BIGINT // 3600, floor(value * 10)::BIGINT % 3600 // 60) END AS took FROM events")
+_SECONDS = "floor(value * 150)::BIGINT"
+
+
+@query(f"SELECT event_id, CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS clock, CASE WHEN s < 60 THEN printf('%ds', s) WHEN s < 3600 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%dh %dm', s // 3600, s % 3600 // 60) END AS took FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 59 WHEN 2 THEN 60 WHEN 3 THEN 3599 WHEN 4 THEN 3600 ELSE {_SECONDS} END AS s FROM events)")
 def duration_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.floor(F.col("value") * 10)
-    return C.table(spark, sf_dir, "events").select("event_id", texts.clock(s % 3600).alias("clock_short"), texts.duration(s).alias("took"))
+    """Seconds, minutes and hours, the borders between them included."""
+    k = F.col("event_id") % 9
+    s = F.when(k == 0, 0).when(k == 1, 59).when(k == 2, 60).when(k == 3, 3599).when(k == 4, 3600).otherwise(F.floor(F.col("value") * 150))
+    return C.table(spark, sf_dir, "events").select("event_id", texts.clock(s).alias("clock"), texts.duration(s).alias("took"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars >= 30000 THEN 2000 WHEN n_chars >= 5001 THEN 1500 WHEN n_chars = 5000 THEN 800 WHEN n_chars >= 3000 THEN 500 ELSE 300 END AS min_words, CASE WHEN n_chars >= 30000 THEN 5000 WHEN n_chars >= 5001 THEN 4000 WHEN n_chars = 5000 THEN 1500 WHEN n_chars >= 3000 THEN 1000 ELSE 800 END AS max_words, CASE WHEN n_chars > 15000 THEN 'map_reduce' ELSE 'direct' END AS route FROM documents")
@@ -163,11 +169,15 @@ def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_log(C.log_lines(spark, sf_dir)).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "level", "task", "video_id", "message")
 
 
+_RUN, _TOKEN = "[^;\\s&]", "[a-zA-Z0-9\\-_.]"
 _MASK = "message"
 for _p, _r in (
-    (r"(sk-[a-zA-Z0-9])[a-zA-Z0-9]{15,}([a-zA-Z0-9]{4})", r"\1***\2"), (r"\b([a-zA-Z0-9]{4})[a-zA-Z0-9]{24,}([a-zA-Z0-9]{4})\b", r"\1***\2"),
-    (r"(?i)(Authorization:\s*[^\s]{4})[^\s]+([^\s]{4})", r"\1***\2"), (r"(?i)Bearer\s+([a-zA-Z0-9\-_.]{4})[a-zA-Z0-9\-_.]+([a-zA-Z0-9\-_.]{4})", r"Bearer \1***\2"),
-    (r"(?i)([?&]token=[^&\s]{2})[^&\s]{5,}([^&\s]{2})", r"\1***\2"), (r"(?i)(password|pwd)\s*=\s*[^\s&]+", r"\1=***REDACTED***"), (r"://([^:]+):([^@]+)@", r"://\1:***REDACTED***@"),
+    ("(sk-[a-zA-Z0-9])[a-zA-Z0-9]{15,}([a-zA-Z0-9]{4})", "\\1***\\2"), ("\\b([a-zA-Z0-9]{4})[a-zA-Z0-9]{24,}([a-zA-Z0-9]{4})\\b", "\\1***\\2"),
+    ("(?i)(Cookie:\\s*[^;=\\n]*=)([^;\\n]{4})[^;\\n]+([^;\\n]{3}[^;\\s])[^\\S\\n]*", "\\1\\2***\\3"), ("(?i)(Cookie:\\s*[^;=\\n]*=)(?:[^;\\n]{0,7}[^;\\s])[^\\S\\n]*([;\\n]|$)", "\\1***REDACTED***\\2"),
+    (f"(?i)(cookie\\s*=\\s*)({_RUN}{{4}}){_RUN}+({_RUN}{{4}})", "\\1\\2***\\3"), ("(?i)(Authorization:\\s*)(\\S{4})\\S+(\\S{4})", "\\1\\2***\\3"),
+    (f"(?i)bearer\\s+({_TOKEN}+)", "Bearer \\1"), (f"Bearer ({_TOKEN}{{4}}){_TOKEN}+({_TOKEN}{{4}})", "Bearer \\1***\\2"), ("(?i)basic\\s+([A-Za-z0-9+/=]{4})[A-Za-z0-9+/=]{12,}([A-Za-z0-9+/=]{4})", "Basic \\1***\\2"),
+    *[(f"(?i)([?&]{name}=)([^&\\s]{{2}})[^&\\s]{{5,}}([^&\\s]{{2}})", "\\1\\2***\\3") for name in texts.SECRET_PARAMETERS],
+    ("(?i)(password|pwd)\\s*=\\s*[^\\s&]+", "\\1=***REDACTED***"), ("://([^:]+):([^@]+)@", "://\\1:***REDACTED***@"),
 ):
     _MASK = f"regexp_replace({_MASK}, '{_p}', '{_r}', 'g')"
 
@@ -180,27 +190,34 @@ def mask_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HAN = f"(length(t) - length(translate(t, '{languages.SIMPLIFIED}', '')))", f"(length(t) - length(translate(t, '{languages.TRADITIONAL}', '')))"
 
 
-@query(f"WITH x AS (SELECT doc_id, repeat('{languages.SIMPLIFIED}', (doc_id % 3)::INT) || repeat('{languages.TRADITIONAL}', (doc_id % 4)::INT) || left(text, 20) || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'مرحبا' ELSE '' END AS t FROM documents) SELECT doc_id, CASE WHEN {_HAN[0]} + {_HAN[1]} < 10 THEN 'zh' WHEN {_HAN[0]}::DOUBLE / ({_HAN[0]} + {_HAN[1]}) > 0.7 THEN 'zh-CN' WHEN {_HAN[0]}::DOUBLE / ({_HAN[0]} + {_HAN[1]}) < 0.3 THEN 'zh-TW' ELSE 'zh' END AS variant, (length(t) - length(regexp_replace(t, '[一-鿿]', '', 'g')))::INT AS han, doc_id % 5 = 0 AS arabic FROM x")
+_GREETING = "CASE WHEN doc_id % 5 = {0} THEN 'مرحبا' ELSE '' END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_GREETING.format(0)} || repeat('{languages.SIMPLIFIED}', (doc_id % 3)::INT) || repeat('{languages.TRADITIONAL}', (doc_id % 4)::INT) || text || chr(10) || {_GREETING.format(1)} AS t FROM documents
+) SELECT doc_id, CASE WHEN {_HAN[0]} + {_HAN[1]} < 10 THEN 'zh' WHEN {_HAN[0]}::DOUBLE / ({_HAN[0]} + {_HAN[1]}) > 0.7 THEN 'zh-CN' WHEN {_HAN[0]}::DOUBLE / ({_HAN[0]} + {_HAN[1]}) < 0.3 THEN 'zh-TW' ELSE 'zh' END AS variant, (length(t) - length(regexp_replace(t, '[一-鿿]', '', 'g')))::INT AS han,
+  coalesce(list_bool_or(list_transform(list_filter(string_split(t, chr(10))[1:51], lambda l: trim(l) <> '' AND NOT regexp_matches(trim(l), '^[0-9]+$') AND NOT contains(l, '-->'))[1:5], lambda l: regexp_matches(l, '[؀-ۿ]'))), false) AS arabic FROM x""")
 def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of whole texts with Chinese before them, and Arabic at their head, at their end, or nowhere."""
     k = F.col("doc_id")
-    t = F.concat(F.expr(f"repeat('{languages.SIMPLIFIED}', cast(doc_id % 3 as int))"), F.expr(f"repeat('{languages.TRADITIONAL}', cast(doc_id % 4 as int))"), F.left("text", F.lit(20)), F.when(k % 5 == 0, "\nمرحبا").otherwise(""))
+    t = F.concat(F.when(k % 5 == 0, "مرحبا").otherwise(""), F.expr(f"repeat('{languages.SIMPLIFIED}', cast(doc_id % 3 as int))"), F.expr(f"repeat('{languages.TRADITIONAL}', cast(doc_id % 4 as int))"), F.col("text"), F.lit("\n"), F.when(k % 5 == 1, "مرحبا").otherwise(""))
     x = C.table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return x.select("doc_id", languages.chinese_variant(F.col("t")).alias("variant"), languages.count_range(F.col("t"), "一", "鿿").alias("han"), languages.has_arabic(F.col("t")).alias("arabic"))
 
 
-@query("SELECT doc_id, lang AS source, 'zh-CN' AS target, trim(left(text, 100)) AS cue_text FROM documents")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'en-US' WHEN 'de' THEN 'de-DE' WHEN 'fr' THEN 'fr-FR' WHEN 'es' THEN 'es-ES' END AS source, CASE doc_id % 3 WHEN 0 THEN 'zh-CN' WHEN 1 THEN 'zh-TW' ELSE 'ja-JP' END AS target, trim(text) AS cue_text FROM documents")
 def prompt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a prompt holds can be read back from it."""
-    prompt = texts.translation_prompt(F.col("lang"), F.lit("zh-CN"), F.left("text", F.lit(100)))
+    """What a prompt holds can be read back from it: whole texts, and languages by their names."""
+    k = F.col("doc_id") % 3
+    prompt = texts.translation_prompt(F.col("lang"), F.when(k == 0, "zh").when(k == 1, "zh_TW").otherwise("ja"), F.col("text"))
     made = C.table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"))
     return made.select("doc_id", texts.prompt_languages(F.col("prompt")).alias("l"), texts.prompt_text(F.col("prompt")).alias("cue_text")).select("doc_id", "l.*", "cue_text")
 
 
-@query("SELECT event_id, 'GL' || (event_id % 4) AS region, user_id::VARCHAR AS session FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'U' || (event_id % 10) WHEN 1 THEN 'DE' WHEN 2 THEN 'TW' END AS region, user_id::VARCHAR AS session FROM events")
 def cookie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of a cookie string; the last of equal names counts."""
-    raw = F.concat(F.lit("SID=old; PREF=f1=5&gl=GL"), (F.col("event_id") % 4).cast("string"), F.lit("; SID="), F.col("user_id").cast("string"))
-    pairs = F.transform(F.split(raw, ";"), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.regexp_extract(p, "=(.*)$", 1).alias("v")))
-    last = lambda k: F.element_at(F.filter("_p", lambda p: p["k"] == k), -1)["v"]
-    rows = C.table(spark, sf_dir, "events").select("event_id", pairs.alias("_p"))
-    return rows.select("event_id", F.regexp_extract(last("PREF"), r"gl=([^&]+)", 1).alias("region"), last("SID").alias("session"))
+    """Values of a cookie string; the last of equal names counts, and the region comes from the first place that has one."""
+    k = F.col("event_id") % 4
+    where = F.when(k == 0, F.concat(F.lit("PREF=f1=5&gl=u"), (F.col("event_id") % 10).cast("string"), F.lit("&hl=x; GL=FR"))).when(k == 1, "PREF=f1=5; gl=de; HL=zh-TW").when(k == 2, "hl=zh-TW").otherwise("none")
+    raw = F.concat(F.lit("SID=old; "), where, F.lit("; SID="), F.col("user_id").cast("string"))
+    rows = C.table(spark, sf_dir, "events").select("event_id", monitoring.cookie_pairs(raw).alias("_p"))
+    return rows.select("event_id", monitoring.cookie_region(F.col("_p")).alias("region"), monitoring.cookie_value(F.col("_p"), "SID").alias("session"))

@@ -15,12 +15,20 @@ _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def _place(spark: SparkSession) -> str:
-    """A new folder below the session's shared one, or a temporary one where it has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder below the session's shared one; a temporary one where a session on one machine has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream of its files, be it one file or a folder of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return state.read_files(spark, f"{sf_dir}/events.parquet", _EVENTS)
     return state.read_files(spark, sf_dir, _EVENTS, "events.parquet")
 
 
@@ -36,4 +44,4 @@ def stream_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _place(spark)
     events = _events(spark, sf_dir).select(F.col("user_id").alias("proxy"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
-    return state.drain(state.failure_runs(events, 2), f"{place}/out", f"{place}/checkpoint", "update")
+    return state.drain(state.failure_runs(events, 2), f"{place}/out", f"{place}/checkpoint", "update", ["proxy"])

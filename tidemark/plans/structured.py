@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import errors
-from tidemark.operators import align, cues, folds, state
+from tidemark.operators import align, cues, folds, monitoring, state
 from tidemark.plans.registry import query
 from tidemark.sources import carriers as C
 from tidemark.sources.carriers import with_
@@ -51,33 +51,32 @@ def chunk_split_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("video_id", "part").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n"), F.sum("size").alias("chars"))
 
 
-_BLOCK = with_("cues") + f", e AS (SELECT *, right(trim(text), 1) IN ('。','！','？','.','!','?','；',';','：') AS ended FROM cues), " + _fold_sql("(e.start_ms - f.last_end > 1200 OR f.ended OR f.chars + length(e.text) > 300)", "length(text) AS chars, end_ms AS last_end, ended", "CASE WHEN NEW THEN length(e.text) ELSE f.chars + 1 + length(e.text) END, e.end_ms, e.ended", ", blocks AS (SELECT video_id, part, min(start_ms) AS start_ms, max(end_ms) AS end_ms, trim(string_agg(text, ' ' ORDER BY pos)) AS text, count(*) AS n_cues FROM parts GROUP BY video_id, part) ")
+BLOCKS_SQL = with_("cues") + f", e AS (SELECT *, right(trim(text), 1) IN ('。','！','？','.','!','?','；',';','：') AS ended FROM cues), " + _fold_sql("(e.start_ms - f.last_end > 1200 OR f.ended OR f.chars + length(e.text) > 300)", "length(text) AS chars, end_ms AS last_end, ended", "CASE WHEN NEW THEN length(e.text) ELSE f.chars + 1 + length(e.text) END, e.end_ms, e.ended", ", blocks AS (SELECT video_id, part, min(start_ms) AS start_ms, max(end_ms) AS end_ms, trim(string_agg(text, ' ' ORDER BY pos)) AS text, count(*) AS n_cues FROM parts GROUP BY video_id, part) ")
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = folds.block_parts(C.cues(spark, sf_dir).select("video_id", "pos", "text", "start_ms", "end_ms"), ["video_id"], most_chars=300)
     return folds.merge_blocks(parts, ["video_id"])
 
 
-@query(_BLOCK + "SELECT video_id, part, start_ms, end_ms, text, n_cues FROM blocks")
+@query(BLOCKS_SQL + "SELECT video_id, part, start_ms, end_ms, text, n_cues FROM blocks")
 def cue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues merged to blocks at gaps, sentence ends and 300 characters."""
-    return _blocks(spark, sf_dir)
+    return blocks(spark, sf_dir)
 
 
-@query(_BLOCK + f"SELECT video_id, string_agg('[BLOCK_' || (part + 1) || ']' || {_NL} || text, {_NL} || {_NL} ORDER BY part) AS marked FROM blocks GROUP BY video_id")
+@query(BLOCKS_SQL + f"SELECT video_id, string_agg('[BLOCK_' || (part + 1) || ']' || {_NL} || text, {_NL} || {_NL} ORDER BY part) AS marked FROM blocks GROUP BY video_id")
 def block_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
-    return _blocks(spark, sf_dir).groupBy("video_id").agg(F.array_join(F.transform(ordered, lambda b: F.concat(F.lit("[BLOCK_"), (b["part"] + 1).cast("string"), F.lit("]\n"), b["text"])), "\n\n").alias("marked"))
+    """Blocks behind their marks, in order."""
+    return align.marked(blocks(spark, sf_dir).select("video_id", (F.col("part") + 1).alias("block_no"), "text"))
 
 
-@query(_BLOCK + "SELECT video_id, part + 1 AS block_no, CASE WHEN part % 3 = 2 THEN text ELSE replace(text, 'e', 'E') END AS text FROM blocks")
+@query(BLOCKS_SQL + "SELECT video_id, part + 1 AS block_no, CASE WHEN part % 3 = 2 THEN text ELSE replace(text, 'e', 'E') END AS text FROM blocks")
 def block_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A translation of two blocks in three, put back by its marks; each third block keeps its text."""
-    blocks = _blocks(spark, sf_dir).select("video_id", (F.col("part") + 1).cast("int").alias("block_no"), "text")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("block_no") % 3 != 0, F.struct("block_no", F.replace("text", F.lit("e"), F.lit("E")).alias("t")))))
-    answer = blocks.groupBy("video_id").agg(F.array_join(F.transform(ordered, lambda b: F.concat(F.lit("[BLOCK_"), b["block_no"].cast("string"), F.lit("]\n"), b["t"])), "\n\n").alias("answer"))
-    return align.apply_blocks(blocks, answer)
+    rows = blocks(spark, sf_dir).select("video_id", (F.col("part") + 1).cast("int").alias("block_no"), "text")
+    answer = align.marked(rows.where("block_no % 3 != 0").withColumn("text", F.replace("text", F.lit("e"), F.lit("E")))).withColumnRenamed("marked", "answer")
+    return align.apply_blocks(rows, answer)
 
 
 @query("SELECT doc_id, i AS slice, substr(text, i * 1000 + 1, 1000) AS part FROM documents, range(0, 100000) r(i) WHERE i * 1000 < length(text)")
@@ -120,9 +119,7 @@ def srt_to_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_("cues", "srt_files") + "SELECT video_id, content FROM srt_files")
 def vtt_to_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web files with notes and settings, made from the cues, give the plain files back."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "start", "end", "text")))
-    lines = F.transform(ordered, lambda c: F.concat(F.replace(c["start"], F.lit(","), F.lit(".")), F.lit(" --> "), F.replace(c["end"], F.lit(","), F.lit(".")), F.lit(" align:start position:0%\n"), c["text"]))
-    files = C.cues(spark, sf_dir).groupBy("video_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE made\n\n"), F.array_join(lines, "\n\n")).alias("vtt"))
+    files = C.vtt_files(spark, sf_dir)
     return files.select("video_id", cues.to_srt(F.col("vtt")).alias("content"))
 
 
@@ -144,10 +141,18 @@ def srv3_to_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("video_id", cues.to_srt(F.col("xml")).alias("content"))
 
 
-@query("SELECT doc_id, ['vtt', 'json3', 'srv3', 'srv3', 'srt', NULL][doc_id % 6 + 1] AS format FROM documents")
+_HEADS = (
+    ("  WEBVTT\n\n", "vtt"), ('{"events": [], "x": 1}', "json3"), ("<?xml version='1.0'?>", "srv3"), ("a<transcript>", "srv3"), ("1\n00:00:01,000 --> 00:00:02,000\n", "srt"), ("{no json ", None),
+    ("WEB VTT\n", None), ('{"other": 1}', None), ("one\n00:00:01,000 --> 00:00:02,000\n", None), ("12\nno time\n", None), ('x <p t="1" d="2">', "srv3"), (" 7 \n00:00:01.000 --> 00:00:02.000\n", "srt"),
+)
+
+
+@query("SELECT doc_id, [" + ", ".join("NULL" if k is None else f"'{k}'" for _, k in _HEADS) + f"][doc_id % {len(_HEADS)} + 1] AS format FROM documents")
 def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = ("  WEBVTT\n\n", '{"events": [], "x": 1}', "<?xml version='1.0'?>", "a<transcript>", "1\n00:00:01,000 --> 00:00:02,000\n", "{no json ")
-    content = F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("doc_id") % 6 + 1).cast("int")), F.when(F.col("doc_id") % 6 != 1, F.col("text")).otherwise(""))
+    """Formats by their heads, and heads that only look like one, before whole texts."""
+    json = F.array(*[F.lit(h.startswith("{")) for h, _ in _HEADS])
+    at = (F.col("doc_id") % len(_HEADS) + 1).cast("int")
+    content = F.concat(F.element_at(F.array(*[F.lit(h) for h, _ in _HEADS]), at), F.when(F.element_at(json, at), "").otherwise(F.coalesce("text", F.lit(""))))
     return C.table(spark, sf_dir, "documents").select("doc_id", cues.detect_format(content).alias("format"))
 
 
@@ -158,21 +163,27 @@ def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("video_id", cues.render(cues.renumbered(cues.parse_for_output(F.col("content")))).alias("content"))
 
 
-_SHIFTED = ", s AS (SELECT video_id, pos, CASE WHEN pos % 9 = 0 THEN end_ms + 5 WHEN pos % 7 = 0 THEN start_ms - 700 ELSE start_ms END AS start_ms, end_ms FROM cues)"
+SHIFTED_SQL = ", s AS (SELECT video_id, pos, CASE WHEN pos % 9 = 0 THEN end_ms + 5 WHEN pos % 7 = 0 THEN start_ms - 700 ELSE start_ms END AS start_ms, end_ms FROM cues), l AS (SELECT *, lag(end_ms) OVER (PARTITION BY video_id ORDER BY pos) AS before FROM s), p AS (SELECT video_id, pos, start_ms, end_ms, CASE WHEN start_ms >= end_ms THEN 'inverted' WHEN before > 0 AND start_ms < before THEN 'overlap' END AS problem FROM l)"
 
 
-@query(with_("cues") + _SHIFTED + ", l AS (SELECT *, lag(end_ms) OVER (PARTITION BY video_id ORDER BY pos) AS before FROM s), p AS (SELECT video_id, pos, start_ms, end_ms, CASE WHEN start_ms >= end_ms THEN 'inverted' WHEN before > 0 AND start_ms < before THEN 'overlap' END AS problem FROM l) SELECT * FROM p WHERE problem IS NOT NULL")
-def timeline_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues some of which are inverted or overlap the one before."""
     start = F.when(F.col("pos") % 9 == 0, F.col("end_ms") + 5).when(F.col("pos") % 7 == 0, F.col("start_ms") - 700).otherwise(F.col("start_ms"))
-    return state.timeline_problems(C.cues(spark, sf_dir).select("video_id", "pos", start.alias("start_ms"), "end_ms"), ["video_id"])
+    return C.cues(spark, sf_dir).select("video_id", "pos", start.alias("start_ms"), "end_ms")
+
+
+@query(with_("cues") + SHIFTED_SQL + " SELECT * FROM p WHERE problem IS NOT NULL")
+def timeline_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.timeline_problems(shifted(spark, sf_dir), ["video_id"])
 
 
-@query(with_("cues", "srt_files") + "SELECT video_id, count(*)::INT AS arrows, true AS complete, true AS valid FROM cues GROUP BY video_id")
+@query(with_("cues") + "SELECT video_id, count(*)::INT AS arrows, CASE video_id % 4 WHEN 0 THEN true WHEN 1 THEN count(*) = 1 WHEN 2 THEN false ELSE true END AS complete, video_id % 4 IN (0, 1) AS valid FROM cues GROUP BY video_id")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many arrows in a translation as in its source."""
-    files = C.srt_files(spark, sf_dir).select("video_id", "content", F.upper("content").alias("translated"))
-    arrows = lambda c: F.regexp_count(c, F.lit("-->"))
-    return files.select("video_id", arrows("content").alias("arrows"), (arrows("content") == arrows("translated")).alias("complete"), cues.is_valid(F.col("translated")).alias("valid"))
+    """As many arrows in a translation as in its source: whole ones, ones cut to the first cue, blank ones, ones without numbers."""
+    k, upper = F.col("video_id") % 4, F.upper("content")
+    translated = F.when(k == 0, upper).when(k == 1, F.regexp_extract(upper, r"(?s)^(.*?-->[^\n]*\n)", 1)).when(k == 2, " ").otherwise(F.regexp_replace(upper, r"(?m)^\d+\n", ""))
+    files = C.srt_files(spark, sf_dir).select("video_id", "content", translated.alias("translated"))
+    return files.select("video_id", F.regexp_count("content", F.lit("-->")).alias("arrows"), cues.is_complete(F.col("content"), F.col("translated")).alias("complete"), cues.is_valid(F.col("translated")).alias("valid"))
 
 
 # --- joins and priorities ---------------------------------------------------------------------------------------------------
@@ -224,9 +235,7 @@ def source_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rank = 99, is_auto, rank, pos) AS k FROM m)
 SELECT video_id, lang FROM r WHERE k = 1""")
 def source_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = lambda auto: F.transform(F.array_sort(F.collect_list(F.when(F.col("is_auto") == auto, F.struct("pos", "lang")))), lambda x: x["lang"])
-    arrays = C.tracks(spark, sf_dir).groupBy("video_id").agg(ordered(False).alias("manual"), ordered(True).alias("auto"))
-    return arrays.select("video_id", align.first_common(F.col("manual"), F.col("auto")).alias("lang"))
+    return align.source_languages(C.tracks(spark, sf_dir))
 
 
 @query(with_("tracks") + ", r AS (SELECT *, row_number() OVER (PARTITION BY video_id, lang ORDER BY is_auto, ext NOT IN ('srt', 'vtt', 'srv3', 'json3'), pos) AS k FROM tracks) SELECT video_id, lang, is_auto, pos, fetched, ext FROM r WHERE k = 1")
@@ -242,11 +251,13 @@ def strategy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.strategy(targets, C.tracks(spark, sf_dir))
 
 
-@query(with_("videos") + "SELECT video_id, CASE WHEN video_id % 4 = 0 THEN 'translated' WHEN has_original THEN 'original' WHEN video_id % 4 = 1 THEN 'other' END AS source FROM videos")
+@query(with_("videos") + ", t AS (SELECT video_id, 'translated' AS kind, 'zh-CN' AS lang, 1 AS pos FROM videos WHERE video_id % 4 = 0 UNION ALL SELECT video_id, 'translated', 'de', 2 FROM videos WHERE video_id % 4 < 2 UNION ALL SELECT video_id, 'original', original_lang, 0 FROM videos WHERE has_original), r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN kind = 'translated' AND lang = 'zh-CN' THEN 1 WHEN kind = 'original' THEN 2 ELSE 3 END, pos) AS k FROM t) SELECT video_id, kind, lang FROM r WHERE k = 1")
 def summary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The translation into the summary's language, else the original, else any translation."""
-    k = F.col("video_id") % 4
-    return C.videos(spark, sf_dir).select("video_id", F.coalesce(F.when(k == 0, "translated"), F.when(F.col("has_original"), "original"), F.when(k == 1, "other")).alias("source"))
+    v, k = C.videos(spark, sf_dir), F.col("video_id") % 4
+    row = lambda kind, lang, pos: ("video_id", F.lit(kind).alias("kind"), lang.alias("lang"), F.lit(pos).alias("pos"))
+    rows = v.where(k == 0).select(*row("translated", F.lit("zh-CN"), 1)).unionByName(v.where(k < 2).select(*row("translated", F.lit("de"), 2))).unionByName(v.where("has_original").select(*row("original", F.col("original_lang"), 0)))
+    return align.select_summary(rows, "zh-CN")
 
 
 # --- sets and archives ------------------------------------------------------------------------------------------------------
@@ -338,13 +349,6 @@ def eta_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_id", F.round("average", 6).alias("average"))
 
 
-@query("WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS completed, count(*) OVER (PARTITION BY user_id) AS total FROM events) SELECT user_id, event_id, completed, total - completed AS remaining, round(100.0::DOUBLE * completed / total, 6) AS percent FROM w")
-def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("user_id")
-    done, total = F.row_number().over(by.orderBy("event_id")).cast("long"), F.count("*").over(by)
-    return C.table(spark, sf_dir, "events").select("user_id", "event_id", done.alias("completed"), (total - done).alias("remaining"), F.round(F.lit(100.0) * done / total, 6).alias("percent"))
-
-
 @query("""WITH r AS (SELECT user_id, event_id, event_type <> 'error' AS ok, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events
 ), c AS (SELECT user_id, event_id, sum((NOT ok)::INT) OVER (PARTITION BY user_id, run ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS consecutive, sum((NOT ok)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures FROM r)
 SELECT *, consecutive >= 2 AS unhealthy FROM c""")
@@ -356,14 +360,13 @@ def proxy_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH p AS (SELECT user_id, count(*) AS requests, count_if(event_type = 'error')::DOUBLE / count(*) AS rate FROM events GROUP BY user_id) SELECT event_day, best FROM (SELECT 0 AS event_day, (SELECT user_id FROM p ORDER BY rate, user_id LIMIT 1) AS best)")
 def proxy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proxy with the least share of failures, the first on a tie."""
-    rates = C.table(spark, sf_dir, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "error").cast("double") / F.count("*")).alias("rate"))
-    return rates.agg(F.lit(0).alias("event_day"), F.min_by("user_id", F.struct("rate", "user_id")).alias("best"))
+    best = monitoring.best_proxy(C.table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "error")
+    return best.select(F.lit(0).alias("event_day"), "best")
 
 
 @query("SELECT lang, count_if(n_chars > 1000) AS has_tracks, count_if(NOT n_chars > 1000) AS none, bool_or(n_chars > 20000) AS any_long FROM documents GROUP BY lang")
 def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = F.coalesce(F.col("n_chars") > 1000, F.lit(False))
-    return C.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(has).alias("has_tracks"), F.count_if(~has).alias("none"), F.bool_or(F.col("n_chars") > 20000).alias("any_long"))
+    return monitoring.detection_counts(C.table(spark, sf_dir, "documents"), "lang", F.col("n_chars") > 1000, F.col("n_chars") > 20000)
 
 
 _CHUNKS = "c AS (SELECT l_orderkey AS video_id, l_linenumber AS chunk_index, l_returnflag <> 'N' AS is_completed, l_linestatus = 'F' AS failed, CASE WHEN l_quantity > 3 THEN 'chunk ' || l_partkey END AS translated FROM lineitem)"

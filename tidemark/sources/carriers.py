@@ -85,11 +85,26 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, message: texts behind something that must not be logged."""
     k = F.col("doc_id").cast("string")
-    heads = [F.concat(F.lit("key sk-abcdefghijklmnopqrst"), k, F.lit("xyz ")), F.concat(F.lit("Authorization: token-value-"), k, F.lit(" ")), F.concat(F.lit("use Bearer abc.def-ghi_"), k, F.lit(" ")), F.concat(F.lit("GET /x?token=abcdefghi"), k, F.lit("&a=1 ")), F.concat(F.lit("password = hunter"), k, F.lit(" ")), F.concat(F.lit("proxy http://user:pw"), k, F.lit("@host ")), F.concat(F.lit("key abcd0123456789abcd0123456789abcd"), k, F.lit(" "))]
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.element_at(F.array(*heads), (F.col("doc_id") % 7 + 1).cast("int")), F.left(F.col("text"), F.lit(480))).alias("message"))
+    heads = [F.concat(*[k if part == "#" else F.lit(part) for part in head]) for head in SECRETS]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.element_at(F.array(*heads), (F.col("doc_id") % len(SECRETS) + 1).cast("int")), F.coalesce("text", F.lit(""))).alias("message"))
 
 
-_TIME_SQL = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+def vtt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, vtt: the cues of each conversation as a web file with notes and settings."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "start", "end", "text")))
+    lines = F.transform(ordered, lambda c: F.concat(F.replace(c["start"], F.lit(","), F.lit(".")), F.lit(" --> "), F.replace(c["end"], F.lit(","), F.lit(".")), F.lit(" align:start position:0%\n"), c["text"]))
+    return cues(spark, sf_dir).groupBy("video_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE made\n\n"), F.array_join(lines, "\n\n")).alias("vtt"))
+
+
+#: What must not be logged, in front of each message; # stands for the document's number.
+SECRETS = (
+    ("key sk-abcdefghijklmnopqrst", "#", "xyz "), ("Authorization: token-value-", "#", " "), ("use bearer   abc.def-ghi_", "#", " "), ("GET /x?token=abcdefghi", "#", "&a=1 "), ("password = hunter", "#", " "), ("proxy http://user:pw", "#", "@host "),
+    ("key abcd0123456789abcd0123456789abcd", "#", " "), ("Cookie: SID=abc12\n", "#", " "), ("Cookie: SID=abcdefgh", "#", "; b=c "), ("cookie=abcdefghijkl", "#", " "), ("cookie=ab ", "#", " "), ("Basic YWJjZGVmZ2hpamtsbW5vcA==", "#", " "), ("Basic short ", "#", " "), ("use Bearer ab ", "#", " "),
+    ("/x?key=abcdefghi&SECRET=jklmnopqr&apikey=short", "#", " "), ("/x?api_key=abcdefghi", "#", "&access_token=zyxwvutsrq&auth=abc "), ("/x?pwd=abcdefghijk", "#", "&password=short "),
+)
+
+
+TIME_SQL = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 
 #: The same tables as DuckDB common table expressions.
 SQL = {
@@ -102,7 +117,7 @@ SQL = {
 ), cue_times AS (
   SELECT video_id, pos, text, start_ms, start_ms + length(text) * 50 AS end_ms FROM cue_steps
 ), cues AS (
-  SELECT *, """ + _TIME_SQL.format("start_ms") + " AS start, " + _TIME_SQL.format("end_ms") + ' AS "end" FROM cue_times\n)',
+  SELECT *, """ + TIME_SQL.format("start_ms") + " AS start, " + TIME_SQL.format("end_ms") + ' AS "end" FROM cue_times\n)',
     "srt_files": """srt_files AS (
   SELECT video_id, string_agg(pos || chr(10) || start || ' --> ' || "end" || chr(10) || text || chr(10), chr(10) ORDER BY pos) AS content FROM cues GROUP BY video_id
 )""",
@@ -131,11 +146,7 @@ SQL = {
   SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '-- mark --' ELSE '[' || strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || '] [' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || '] [run:r' || (event_id % 9) || '] [task:' || event_type
     || '] [video:' || user_id || '] value ' || event_id END AS value FROM events
 )""",
-    "secrets": """secrets AS (
-  SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'key sk-abcdefghijklmnopqrst' || doc_id || 'xyz ' WHEN 1 THEN 'Authorization: token-value-' || doc_id || ' ' WHEN 2 THEN 'use Bearer abc.def-ghi_' || doc_id || ' '
-    WHEN 3 THEN 'GET /x?token=abcdefghi' || doc_id || '&a=1 ' WHEN 4 THEN 'password = hunter' || doc_id || ' ' WHEN 5 THEN 'proxy http://user:pw' || doc_id || '@host '
-    ELSE 'key abcd0123456789abcd0123456789abcd' || doc_id || ' ' END || left(text, 480) AS message FROM documents
-)""",
+    "secrets": "secrets AS (SELECT doc_id, CASE doc_id % " + str(len(SECRETS)) + " " + " ".join(f"WHEN {i} THEN " + " || ".join("doc_id" if part == "#" else "replace('" + part.replace("\n", "~") + "', '~', chr(10))" for part in head) for i, head in enumerate(SECRETS)) + " END || coalesce(text, '') AS message FROM documents)",
 }
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.urls import channel_id, playlist_id, url_type, video_id
+
 #: A log line (fixed format): time, level, run, task, video, message.
 LOG_LINE = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3})\] \[([A-Z]+)\] \[run:([^\]]*)\] \[task:([^\]]*)\] \[video:([^\]]*)\] (.*)$"
 FAILURE = "video_id string, url string, stage string, error_type string, timestamp string, run_id string, reason string, channel_id string, channel_name string"
@@ -28,14 +30,37 @@ def read_failures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FAILURE).option("mode", "DROPMALFORMED").json(path).where("video_id is not null")
 
 
-def read_items(spark: SparkSession, path: str, channel: bool = True, most: int = 1000) -> DataFrame:
-    """Items of a landed scan, one JSON object a line. Of a channel: no playlists, no rows without id, empty fields as nulls, `most` at most."""
+def read_items(spark: SparkSession, path: str, channel: bool = True, most: int | None = None) -> DataFrame:
+    """Items of a landed scan, one JSON object a line. Of a channel: no playlists, no rows without id, empty fields as nulls.
+
+    With `most`, that many items of each channel at most, the latest uploads first, then by id.
+    """
     rows = spark.read.schema(ITEM).option("mode", "DROPMALFORMED").json(path).where("video_id is not null and video_id != ''")
     if not channel:
         return rows
     filled = {c: F.nullif(F.col(c), F.lit("")) for c in ("channel_id", "channel_name", "title", "url")}
     rows = rows.where("_type is null or _type != 'playlist'").withColumns(filled)
-    return rows.withColumn("url", F.coalesce("url", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id"))).limit(most)
+    rows = rows.withColumn("url", F.coalesce("url", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id")))
+    if most is None:
+        return rows
+    place = F.row_number().over(Window.partitionBy("channel_id").orderBy(F.desc_nulls_last("upload_date"), "video_id"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def read_by_url(spark: SparkSession, urls: DataFrame, landed: dict[str, str]) -> DataFrame | None:
+    """url_type, and the items of the landed scans (a path per kind: video, playlist, channel) that `urls` (url) ask for; None if none does."""
+    kinds = urls.select(url_type(F.col("url")).alias("url_type"), F.coalesce(video_id(F.col("url")), playlist_id(F.col("url")), channel_id(F.col("url"))).alias("_asked")).distinct()
+    found = None
+    for kind, path in landed.items():
+        rows = read_items(spark, path, channel=kind != "video")
+        asked = kinds.where(F.col("url_type") == kind)
+        if asked.isEmpty():
+            continue
+        key = {"video": "video_id", "channel": "channel_id"}.get(kind)  # a playlist's scan holds its items alone
+        part = rows.join(asked.select(F.col("_asked").alias(key)), key, "left_semi") if key else rows
+        part = part.select(F.lit(kind).alias("url_type"), "*")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -53,3 +78,9 @@ def file_listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """name, length, modified of files by pattern, names falling."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.col("modificationTime").alias("modified")).orderBy(F.desc("name"))
+
+
+def outdated(files: DataFrame, now: Column, days: int = 14) -> DataFrame:
+    """Log files of a listing (name, modified) that are older than `days`; files of other names stay."""
+    log = (F.col("name").startswith("app_") & F.col("name").endswith(".log")) | F.col("name").startswith("app.log")
+    return files.where(log & (F.col("modified") < now - F.make_dt_interval(days=F.lit(days))))

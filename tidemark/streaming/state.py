@@ -6,12 +6,14 @@ lives in Spark's state store and survives restarts through the checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.sources.readers import parse_log
 
@@ -44,14 +46,30 @@ def tail_log(lines: DataFrame) -> DataFrame:
     return parse_log(lines).groupBy("task", "level").agg(F.count("*").alias("n"))
 
 
-def drain(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream until nothing is left, keeping the latest result at `path`; returns that."""
+def drain(result: DataFrame, path: str, checkpoint: str, mode: str = "complete", keys: Sequence[str] = ()) -> DataFrame:
+    """Runs a stream until nothing is left and returns its latest result, from tables below `path`, one per batch.
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    In update mode a batch only holds what changed, so of each of `keys` the row of the last batch that has it counts; in complete
+    mode the last batch is whole. A batch that is run again replaces its own table.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return result.sparkSession.read.schema(result.schema).parquet(path)
+    spark, schema = result.sparkSession, StructType([*result.schema.fields, StructField("batch", LongType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # nothing ever came
+        return spark.createDataFrame([], result.schema)
+    kept = spark.read.schema(schema).parquet(path)
+    if mode == "complete":
+        return kept.join(F.broadcast(kept.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")  # one row
+    return kept.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in result.columns if c not in keys]), "batch").alias("_l")).select(*keys, "_l.*").select(*result.columns)
+
+
+def watch(query: StreamingQuery) -> list[dict]:
+    """What a running or finished stream reports of its last batches: number, rows in, rows a second, milliseconds."""
+    return [{"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "ms": p.batchDuration} for p in query.recentProgress]
 
 
 def process_new(items: DataFrame, archive: str, out: str, checkpoint: str, key: str, work: Callable[[DataFrame], DataFrame]) -> None:
