@@ -358,7 +358,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
 
     # the text of one document for each of them
     picked = materialise(sets.where("node is not null").join(survivors, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short")), "ngram-picked")
-    texts = _rows(docs, id_col, text_col).join(picked, "doc_id").select("node", "short", "text")
+    # a merge join at every size: what is picked grows with the corpus
+    texts = _rows(docs, id_col, text_col).join(picked.hint("merge"), "doc_id").select("node", "short", "text")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
