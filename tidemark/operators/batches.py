@@ -31,8 +31,8 @@ def progress(records: DataFrame, keys: list[str], value: str, order: list[str])
 
 
 def eta_text(seconds: Column) -> Column:
-    """What is left in words; nothing where that is not known."""
-    return F.when(seconds <= 0, "almost done").when(seconds > 0, F.concat(F.lit("about "), duration(seconds), F.lit(" left")))
+    """What is left in words, in whole seconds (up to a millionth short of one counts as one); nothing where that is not known."""
+    return F.when(seconds <= 0, "almost done").when(seconds > 0, F.concat(F.lit("about "), duration(F.round(seconds, 6)), F.lit(" left")))
 
 
 def chunk_progress(chunks: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:

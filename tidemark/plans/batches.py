@@ -26,7 +26,7 @@ _NAMED = "CASE {0} WHEN 'en' THEN 'English' WHEN 'de' THEN 'Deutsch' WHEN 'fr' T
 ), r AS (SELECT w.user_id, w.event_id, k, total, elapsed, CASE WHEN n >= 2 THEN s * 2 / (n * (n + 1)) END AS average FROM w JOIN p ON w.user_id = p.user_id AND w.event_id = p.event_id
 ), e AS (SELECT *, CASE WHEN average IS NULL THEN NULL WHEN total = k THEN 0.0::DOUBLE ELSE average * (total - k) END AS eta FROM r)
 SELECT user_id, event_id, k AS completed, total - k AS remaining, round(100.0::DOUBLE * k / total, 6) AS percent, round(elapsed, 6) AS elapsed, round(average, 6) AS average, round(eta, 6) AS eta,
-  CASE WHEN eta <= 0 THEN 'almost done' ELSE 'about ' || {_DURATION.format("floor(eta)::BIGINT")} || ' left' END AS shown FROM e""")
+  CASE WHEN eta <= 0 THEN 'almost done' ELSE 'about ' || {_DURATION.format("floor(round(eta, 6))::BIGINT")} || ' left' END AS shown FROM e""")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each user has done after each event, what is left, and how long that takes."""
     rows = batches.progress(C.table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], "value", ["event_id"])
