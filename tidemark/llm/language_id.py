@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
+from tidemark.llm.pieces import pieces
 
 #: Documents per language that training may take.
 SAMPLE = 500
 #: Bytes in a window, states per direction, windows that advance together.
-WINDOW, STATES, LANES = 128, 8, 4096
+WINDOW, STATES, LANES = 128, 8, 2048
 #: What a text's score must be above chance (one over the number of languages), as a share of the way from chance to 1.
 LEAST_GAIN = 0.05
 _LETTER = regex.compile(r"\p{L}")
@@ -203,21 +204,15 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = batch.column(at).to_pylist()
             known = [bool(model) and t is not None and _LETTER.search(t) is not None for t in texts]
             langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
             if any(known):
-                which, ends, held = np.flatnonzero(known), [], 0
-                for i, k in enumerate(which.tolist()):  # slices of some million characters
-                    held += len(texts[k])
-                    if held > 4 * LANES * WINDOW or i == len(which) - 1:
-                        ends.append(i + 1)
-                        held = 0
-                for a, b in zip([0, *ends], ends, strict=False):
-                    p = predict(model, [texts[k].encode("utf-8", "surrogatepass") for k in which[a:b].tolist()])
-                    langs[which[a:b]] = np.array(model.languages, object)[p.argmax(1)]
-                    scores[which[a:b]] = np.minimum(1.0, p.max(1))
+                which = np.flatnonzero(known)
+                p = predict(model, [texts[k].encode("utf-8", "surrogatepass") for k in which.tolist()])
+                langs[which] = np.array(model.languages, object)[p.argmax(1)]
+                scores[which] = np.minimum(1.0, p.max(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], schema=arrow)
 
     return docs.select(*[f.name for f in kept.fields]).mapInArrow(rows, out)

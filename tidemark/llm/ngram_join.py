@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SAMPLED, hot_keys, lookup, materialise, release, text_of
 from tidemark.llm.components import components
+from tidemark.llm.pieces import pieces
 
 #: Sets, and elements, that a block holds on average at most.
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1_600_000
@@ -42,7 +43,7 @@ MAX_BITS = 1 << 15
 #: Components of more sets are compared with pivots first.
 PIVOT_FROM, PIVOTS = 2000, 8
 #: Distinct words whose hashes a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 _LAST_ID = np.iinfo(np.int64).max
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -111,7 +112,7 @@ def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
         from xxhash import xxh3_128_digest
 
         shingles, sent = Shingler(n), set()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             sizes, nodes, needs, lists = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
@@ -365,7 +366,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
         from xxhash import xxh3_128_digest
 
         shingles = Shingler(n)
-        for batch in batches:
+        for batch in pieces(batches, 2):
             found = [shingles(t) for t in batch.column(2).to_pylist()]
             kept = [xxh3_128_digest(s.tobytes()) == node for s, node in zip(found, batch.column(0).to_pylist(), strict=True)]  # not another row of that id
             mask, found = pa.array(kept, pa.bool_()), [s for s, k in zip(found, kept, strict=True) if k]

@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import text_of
+from tidemark.llm.pieces import pieces
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: What another than the identity normaliser changes: a ligature, a circled digit, a square, a combining mark.
 _ODD = "\ufb01\u2460\u3300e\u0301"
 #: Characters of distinct chunks that a worker holds before it starts a new table.
-TABLE_CHARS = 8_000_000
-#: Characters of text that are put together at once.
-SLICE_CHARS = 2_000_000
+TABLE_CHARS = 2_000_000
+#: Bytes of text that are put together at once.
+SLICE_BYTES = 500_000
 
 _codecs: dict[str, Codec] = {}
 
@@ -107,18 +108,6 @@ def codec(model_path: str) -> Codec:
     return _codecs[model_path]
 
 
-def slices(texts: list[str], chars: int) -> Iterator[slice]:
-    """Cuts a batch where its texts exceed `chars` characters together."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield slice(at, i + 1)
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int), decoded (the text that the ids give back) per row of `docs`."""
     id_type = docs.schema[id_col].dataType
@@ -126,12 +115,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codec(model_path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices(texts, SLICE_CHARS):
-                counts, ids, decoded = table.run(texts[part])
-                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], schema=schema)
+        for part in pieces(batches, 1, SLICE_BYTES):
+            counts, ids, decoded = table.run(part.column(1).to_pylist())
+            offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], schema=schema)
 
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(rows, f"doc_id {id_type.simpleString()}, ids array<int>, decoded string")
 

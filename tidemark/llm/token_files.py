@@ -268,7 +268,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from tidemark.llm.sentencepiece_codec import slices
+        from tidemark.llm.pieces import slices
 
         words, writer, n, name = word_table(tokenizer_path), None, 0, f"{path}/{uuid.uuid4().hex}.bits"
         for batch in batches:
