@@ -391,3 +391,27 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     least = F.coalesce("least", "doc_id")
     kept = [F.col("row"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept")] if row_col else []  # a row without words is a class of its own
     return found.select(shown("doc_id").alias("doc_id"), "n_shingles", F.when(least != _LAST_ID, least).alias("component_id"), *kept)
+
+
+#: The same rows of distinct sets, all pairs that share an n-gram and reach each other in size, and all sets reachable by links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS grams FROM w
+), d AS (
+  SELECT doc_id, len(grams)::BIGINT AS n_shingles, CASE WHEN len(grams) = 0 THEN 'd' || doc_id ELSE sha256(array_to_string(grams, chr(10))) END AS node, grams FROM s
+), n AS (
+  SELECT node, min(doc_id) AS least, any_value(n_shingles) AS size, any_value(grams) AS grams FROM d GROUP BY node
+), g AS (
+  SELECT least, size, unnest(grams) AS gram FROM n
+), p AS (
+  SELECT a.least AS a, b.least AS b FROM g a JOIN g b ON a.gram = b.gram AND a.least <> b.least AND 100 * a.size >= 90 * b.size AND 100 * b.size >= 90 * a.size
+  GROUP BY a.least, b.least, a.size, b.size HAVING 100 * count(*) >= 90 * (a.size + b.size - count(*))
+), r AS (
+  SELECT least AS a, least AS b FROM n UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT doc_id, n_shingles, component_id FROM d JOIN n USING (node) JOIN c ON c.a = n.least
+"""

@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op3_pareto_mix": mixing.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
