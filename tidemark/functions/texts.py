@@ -15,6 +15,11 @@ def srt_time(ms: Column) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", part(3600000, 0), part(60000, 60), part(1000, 60), ms % 1000)
 
 
+def srt_time_of_seconds(seconds: Column) -> Column:
+    """HH:MM:SS,mmm of seconds with a fraction: cut to whole milliseconds, from decimals, so 2.3 gives 300 of them."""
+    return srt_time(F.floor(seconds.cast("decimal(18,6)") * 1000))
+
+
 def time_ms(text: Column) -> Column:
     """Milliseconds of HH:MM:SS,mmm or HH:MM:SS.mmm."""
     g = lambda i: F.regexp_extract(text, r"^(\d+):(\d+):(\d+)[,.](\d{3})$", i).try_cast("long")

@@ -43,6 +43,12 @@ def write_documents(documents: DataFrame, path: str, content: str = "content", b
     (rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")).text(path)
 
 
+def chunk_files(chunks: DataFrame, existing: DataFrame, key: str = "video_id") -> DataFrame:
+    """`key`, file, content of the chunks (`key`, chunk_index, content) whose file is not among the `existing` ones (`key`, file)."""
+    named = chunks.select(key, F.format_string("chunk_%04d.srt", F.col("chunk_index").cast("long")).alias("file"), "content")
+    return named.join(existing, [key, "file"], "left_anti")
+
+
 def append_archive(done: DataFrame, path: str, key: str = "video_id") -> None:
     """Adds lines for items that are done to an archive. Call after their outputs are committed."""
     done.select(F.concat(F.lit("youtube "), F.col(key).cast("string")).alias("value")).distinct().write.mode("append").text(path)

@@ -67,3 +67,11 @@ def map_reduce_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN floor(value * 10)::BIGINT >= 3600 THEN printf('%02d:%02d:%02d', floor(value * 10)::BIGINT // 3600, floor(value * 10)::BIGINT // 60 % 60, floor(value * 10)::BIGINT % 60) ELSE printf('%02d:%02d', floor(value * 10)::BIGINT // 60, floor(value * 10)::BIGINT % 60) END AS at FROM events")
 def chapter_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.table(spark, sf_dir, "events").select("event_id", clock(F.col("value") * 10).alias("at"))
+
+
+@query("SELECT conv_id, printf('chunk_%04d.srt', turn) AS file, text AS content FROM conversations WHERE coalesce((conv_id + turn) % 4 <> 0, true)")
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk files that are still to be written, where a part of them lies there from an earlier run."""
+    turns = C.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
+    there = turns.where((F.col("conv_id") + F.col("chunk_index")) % 4 == 0).select("conv_id", F.format_string("chunk_%04d.srt", F.col("chunk_index").cast("long")).alias("file"))
+    return outputs.chunk_files(turns, there, "conv_id")

@@ -41,12 +41,28 @@ _POOL = """p AS (SELECT user_id % 5 AS pool, user_id, count(*) AS requests, coun
 , t AS (SELECT *, CASE WHEN NOT unhealthy THEN 1 WHEN failed_at + INTERVAL 10 MINUTE <= TIMESTAMP '2024-01-20' THEN 2 ELSE 4 END AS tier FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY tier, CASE WHEN tier = 4 THEN failures::DOUBLE / requests ELSE 0 END, user_id) AS k FROM t)"""
 
 
+def _proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, failures and state of each proxy of a pool."""
+    error = F.col("event_type") == "error"
+    by = _events(spark, sf_dir).groupBy((F.col("user_id") % 5).alias("pool"), F.col("user_id").alias("pos")).agg(F.count("*").alias("requests"), F.count_if(error).alias("failures"), (F.max_by("event_type", "event_id") == "error").alias("unhealthy"), F.max(F.when(error, F.col("ts"))).alias("failed_at"))
+    return by.withColumn("proxy", F.col("pos").cast("string"))
+
+
 @query(f"WITH {_POOL} SELECT pool, user_id::VARCHAR AS proxy, tier FROM r WHERE k = 1")
 def proxy_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proxy that each pool uses next."""
-    error = F.col("event_type") == "error"
-    by = _events(spark, sf_dir).groupBy((F.col("user_id") % 5).alias("pool"), F.col("user_id").alias("pos")).agg(F.count("*").alias("requests"), F.count_if(error).alias("failures"), (F.max_by("event_type", "event_id") == "error").alias("unhealthy"), F.max(F.when(error, F.col("ts"))).alias("failed_at"))
-    return M.next_proxy(by.withColumn("proxy", F.col("pos").cast("string")), ["pool"], F.expr("timestamp_ntz '2024-01-20 00:00:00'"))
+    return M.next_proxy(_proxies(spark, sf_dir), ["pool"], F.expr("timestamp_ntz '2024-01-20 00:00:00'"))
+
+
+#: Proxies of the first three pools, and the first ones of the others.
+_TRIED = tuple(str(i) for i in range(2000) if i % 5 < 3 or i < 60)
+
+
+@query(f"""WITH {_POOL}, x AS (SELECT *, (user_id < 60 OR user_id < 2000 AND user_id % 5 < 3) AS tried FROM p), y AS (SELECT *, CASE WHEN NOT unhealthy AND NOT tried THEN 1 WHEN unhealthy AND NOT tried AND failed_at + INTERVAL 10 MINUTE <= TIMESTAMP '2024-01-20' THEN 2 WHEN NOT unhealthy THEN 3 ELSE 4 END AS tier FROM x)
+SELECT pool, user_id::VARCHAR AS proxy, tier FROM y QUALIFY row_number() OVER (PARTITION BY pool ORDER BY tier, CASE tier WHEN 3 THEN failures::DOUBLE WHEN 4 THEN failures::DOUBLE / requests ELSE 0 END, user_id) = 1""")
+def proxy_next_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proxy that each pool uses next where some have been tried before."""
+    return M.next_proxy(_proxies(spark, sf_dir), ["pool"], F.expr("timestamp_ntz '2024-01-20 00:00:00'"), _TRIED)
 
 
 @query(f"WITH {_POOL} SELECT pool, count_if(NOT unhealthy) AS healthy, count_if(unhealthy) AS unhealthy, count_if(tier = 2) AS retryable FROM r GROUP BY pool")

@@ -109,6 +109,14 @@ def ms_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cues(spark, sf_dir).select("video_id", "pos", "start", "end", texts.time_ms(F.col("start")).alias("back_ms"))
 
 
+@query("SELECT event_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS time FROM (SELECT event_id, floor((CASE event_id % 5 WHEN 0 THEN 2.3 WHEN 1 THEN 3599.9996 WHEN 2 THEN 0.0 ELSE value * 100 END)::DOUBLE::DECIMAL(18, 6) * 1000)::BIGINT AS ms FROM events)")
+def seconds_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds with a fraction as text, the borders of milliseconds and hours included."""
+    k = F.col("event_id") % 5
+    seconds = F.when(k == 0, 2.3).when(k == 1, 3599.9996).when(k == 2, 0.0).otherwise(F.col("value") * 100)
+    return C.table(spark, sf_dir, "events").select("event_id", texts.srt_time_of_seconds(seconds).alias("time"))
+
+
 _SECONDS = "floor(value * 150)::BIGINT"
 
 
