@@ -307,18 +307,32 @@ def test_network_byte_by_byte():
         return out
 
     texts = [b"x", b"the dog and die katze " * 9, bytes(range(1, 200))]
-    want = []
+    want, sure = [], []
     for text in texts:
-        total = np.zeros(len(net.languages))
+        total, best = np.zeros(len(net.languages)), 0.0
         for new in range(0, len(text), language_id.WINDOW):
             first = max(0, min(new, len(text) - language_id.WINDOW))
             window = text[first : first + language_id.WINDOW].ljust(language_id.WINDOW, b"\0")
             both = [states(d, window) for d in (0, 1)]
             for t in range(new - first, min(language_id.WINDOW, len(text) - first)):
                 z = net.output[0] @ both[0][t] + net.output[1] @ both[1][t] + net.bias[:, 0]
-                total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                total, best = total + p, best + p.max()
         want.append(total / len(text))
+        sure.append(best / len(text))
     assert language_id.predict(net, texts) == pytest.approx(np.array(want), abs=1e-4)
+    assert language_id.pooled(net, texts)[1] == pytest.approx(np.array(sure), abs=1e-4)
+
+
+def test_a_text_in_several_languages_has_one(spark):
+    """Its pooled probabilities come near chance, its positions do not."""
+    parts = {"en": "the cat and the dog ", "de": "der hund und die katze ", "fr": "le chien et les chats "}
+    net = language_id.train([(t.encode() * 3, lang) for lang, t in parts.items()] * 20)
+    mixed = "".join(t * 20 for t in parts.values())
+    docs = spark.createDataFrame([(1, mixed), (2, "12 34"), (3, None)], "doc_id long, text string")
+    (score,), (sure,) = [x.max(-1) if x.ndim > 1 else x for x in language_id.pooled(net, [mixed.encode()])]
+    assert sure > score + 0.2
+    assert [r["doc_id"] for r in language_id.with_language(docs, net).collect()] == [1]
 
 
 def test_every_language_can_be_learned(spark):

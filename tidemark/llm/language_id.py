@@ -32,7 +32,7 @@ from tidemark.llm.pieces import pieces
 SAMPLE = 500
 #: Bytes in a window, states per direction, windows that advance together.
 WINDOW, STATES, LANES = 128, 8, 2048
-#: What a text's score must be above chance (one over the number of languages), as a share of the way from chance to 1.
+#: What the certainty of a text's positions must be above chance (one over the number of languages), as a share of the way from chance to 1.
 LEAST_GAIN = 0.05
 _LETTER = regex.compile(r"\p{L}")
 
@@ -169,14 +169,21 @@ def _cut(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield windows, counts, w
 
 
-def predict(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probabilities of the languages for each text, pooled over all its positions."""
-    sums = np.zeros((len(texts), len(net.languages)))
+def pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the languages for each text, and of each position's own best language, both averaged over all its positions."""
+    sums, sure = np.zeros((len(texts), len(net.languages))), np.zeros(len(texts))
     for windows, counts, of in _cut(texts):
         p = net.probabilities(net.run(0, windows)[0], net.run(1, windows)[0])
-        pooled = np.einsum("tcl,tl->lc", p, counts.astype(np.float32))
-        np.add.at(sums, of, pooled)
-    return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
+        counts = counts.astype(np.float32)
+        np.add.at(sums, of, np.einsum("tcl,tl->lc", p, counts))
+        np.add.at(sure, of, (p.max(1) * counts).sum(0))
+    n = np.maximum(1, np.array([len(t) for t in texts]))
+    return sums / n[:, None], sure / n
+
+
+def predict(net: Network, texts: list[bytes]) -> np.ndarray:
+    """Probabilities of the languages for each text, pooled over all its positions."""
+    return pooled(net, texts)[0]
 
 
 def examples(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> list[tuple[bytes, str]]:
@@ -192,13 +199,13 @@ def examples(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     return [(t.encode("utf-8", "surrogatepass")[:WINDOW], lang) for t, lang in zip(got["text"].to_pylist(), got["lang"].to_pylist(), strict=True)]
 
 
-def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, then lang_pred and score."""
+def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", sure_col: str = "sure") -> DataFrame:
+    """All columns of `docs`, then lang_pred, score, and `sure_col`: how sure of its best language a position is on average."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    kept = StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "score")])
-    out = StructType([*kept.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kept = StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "score", sure_col)])
+    out = StructType([*kept.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField(sure_col, DoubleType())])
     arrow, at = to_arrow_schema(out), [f.name for f in kept.fields].index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -207,27 +214,30 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
         for batch in pieces(batches, at):
             texts = batch.column(at).to_pylist()
             known = [bool(model) and t is not None and _LETTER.search(t) is not None for t in texts]
-            langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+            langs, scores, sure = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
             if any(known):
                 which = np.flatnonzero(known)
-                p = predict(model, [texts[k].encode("utf-8", "surrogatepass") for k in which.tolist()])
+                p, sure[which] = pooled(model, [texts[k].encode("utf-8", "surrogatepass") for k in which.tolist()])
                 langs[which] = np.array(model.languages, object)[p.argmax(1)]
                 scores[which] = np.minimum(1.0, p.max(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(sure)], schema=arrow)
 
     return docs.select(*[f.name for f in kept.fields]).mapInArrow(rows, out)
 
 
 def least_score(net: Network) -> float:
-    """The pooled probability below which a text has no language: hardly more than chance. With one language no text is below."""
+    """How sure of their best languages the positions of a text must be on average: hardly more than chance is no language. With one language no text is below.
+
+    Positions are asked, not the pooled probabilities: those of a text in several languages come near chance though each of its parts has one.
+    """
     chance = 1 / len(net.languages)
     return chance + LEAST_GAIN * (1 - chance) if len(net.languages) > 1 else 0.0
 
 
 def with_language(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that have letters and a language by the network; without a network, all that have letters."""
+    """The rows of `docs` that have letters and a language by the network, or several; without a network, all that have letters."""
     if net is not None:
-        return identify(docs, net, text_col=text_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score(net))).select(*docs.columns)
+        return identify(docs, net, text_col=text_col, sure_col="_sure").where((F.col("lang_pred") != "und") & (F.col("_sure") >= least_score(net))).select(*docs.columns)
     at = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
