@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, ppm, quality, sentencepiece_codec, spotsigs, token_files
+from tidemark.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, ppm, quality, sentencepiece_codec, spotsigs, token_files
 from tidemark.llm.common import documents, fold, materialise
 
 
@@ -79,9 +79,16 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each text that occur in a window of a benchmark item, and a digest of these items."""
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(items, 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_pareto_mix, op4_spotsigs, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_pareto_mix, op4_spotsigs, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm, op11_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op3_pareto_mix": mixing.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_decontamination": decontamination.ORACLE}
