@@ -59,18 +59,18 @@ def release(*tables: DataFrame) -> None:
 HOT = 1000
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, hot: int = HOT) -> DataFrame:
     """`rows` with the columns of `table` (unique `key`, n: how many of `rows` have it); nulls where the table lacks the key.
 
-    Hot keys (`HOT`) go to every worker, and their rows, dealt by `spread` instead of the key, never meet in one task. All
+    Hot keys, those that more than one in `hot` rows have, go to every worker, and their rows, dealt by `spread` instead of the key, never meet in one task. All
     other keys are joined.
     """
     table = materialise(table, "lookup")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     values = [c for c in table.columns if c not in (key, "n")]
-    hot = F.col("n") * HOT > total
-    often = table.where(hot).select(key, F.struct(*values).alias("_often"))  # fewer than HOT rows
-    seldom = table.where(~hot).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_of"), F.struct(*values).alias("_seldom"))
+    frequent = F.col("n") * hot > total
+    often = table.where(frequent).select(key, F.struct(*values).alias("_often"))  # fewer than `hot` rows
+    seldom = table.where(~frequent).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_of"), F.struct(*values).alias("_seldom"))
     found = rows.join(F.broadcast(often), key, "left")
     cold = F.col("_often").isNull()
     found = found.withColumn("_k", F.when(cold, F.col(key))).withColumn("_s", F.when(cold, F.lit(0).cast("long")).otherwise(spread))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, ngram_join, ppm, quality, sentencepiece_codec, spotsigs, token_files
+from tidemark.llm import decontamination, exact_dedup, hard_negatives, language_id, line_dedup, mixing, ngram_join, ppm, quality, sentencepiece_codec, spotsigs, token_alignment, token_files
 from tidemark.llm.common import documents, fold, materialise
 
 
@@ -86,9 +86,20 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that are nearly as alike to anchors as their positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0, label)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of each text's tokens by two tokenizers, and how common the linked ids are."""
+    return token_alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_pareto_mix, op4_spotsigs, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm, op11_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_pareto_mix, op4_spotsigs, op5_ngram_join, op6_exact_dedup, op7_sentencepiece, op8_line_dedup, op9_token_files, op10_ppm, op11_decontamination, op12_hard_negatives, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_decontamination": decontamination.ORACLE}
+    return {"op3_pareto_mix": mixing.ORACLE, "op4_spotsigs": spotsigs.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_decontamination": decontamination.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}

@@ -54,15 +54,16 @@ _tables: dict[str, WordTable] = {}
 
 
 class WordTable:
-    """A byte-level BPE tokenizer with the words it has met."""
+    """A byte-level BPE tokenizer with the words it has met; `plain`: added tokens inside texts are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.vocabulary = self.model.get_vocab_size(with_added_tokens=True)
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.model.encode_special_tokens = plain
+        self.added = [] if plain else [t.content for t in self.model.get_added_tokens_decoder().values()]
         # the rule above holds where a space starts a word, and nothing is put before the text
         pairs = self.model.pre_tokenizer.pre_tokenize_str("a b. 1 ,é\nz") if self.model.pre_tokenizer else []
         import regex
@@ -105,11 +106,13 @@ class WordTable:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, np.int64)
 
-    def run(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def run(self, texts: list[str], spaced: bool = False) -> list[np.ndarray]:
+        """The ids of each text; `spaced`: of a space and the text."""
         if self.chars > TABLE_CHARS:
             self.clear()
         parts = [t.split(" ") if self.by_word and t and not any(a in t for a in self.added) else [] for t in texts]
+        if spaced:  # every word has a space before it
+            parts = [["", *p] if p else p for p in parts]
         flat = list(chain.from_iterable(p[1:] for p in parts))
         found = list(map(self.index.get, flat))
         if None in found:
@@ -121,8 +124,9 @@ class WordTable:
         ids = self.ids[np.repeat(self.starts[at] - upto[:-1], counts) + np.arange(upto[-1])]
         cuts = np.r_[0, np.cumsum([max(0, len(p) - 1) for p in parts])]
         split = (np.diff(np.r_[0, np.cumsum(self.touching[at])][cuts]) == 0).tolist()
-        split = [ok and bool(p) and (len(p) == 1 or p[0] != "" and not p[0][-1].isspace()) for ok, p in zip(split, parts, strict=True)]
-        heads = [self.whole(p[0] if s else t) for t, s, p in zip(texts, split, parts, strict=True)]
+        split = [ok and bool(p) and (len(p) == 1 or spaced or p[0] != "" and not p[0][-1].isspace()) for ok, p in zip(split, parts, strict=True)]
+        lead = " " if spaced else ""
+        heads = [self.whole(p[0] if s else lead + t) for t, s, p in zip(texts, split, parts, strict=True)]
         ends = upto[cuts].tolist()
         return [np.concatenate((h, ids[a:b])) if s else h for h, s, a, b in zip(heads, split, ends, ends[1:], strict=False)]
 
