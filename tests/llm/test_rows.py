@@ -267,3 +267,25 @@ def test_components_of_a_long_path(spark):
     ids = spark.range(200).select(F.col("id"), F.xxhash64("id").alias("h"))
     edges = ids.join(ids.select((F.col("id") - 1).alias("id"), F.col("h").alias("next")), "id").select(F.col("h").alias("a"), F.col("next").alias("b"))
     assert components(edges).agg(F.countDistinct("root"), F.count("*")).first() == (1, 200)
+
+
+def test_ngram_join_of_rows_without_ids_costs_no_more(spark):
+    """Pairs of near copies, all without an id: the same sets as with ids, in about the same time."""
+    import random
+    import time
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(700):
+        words = [word() for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:-1], word()])]
+    took, found = [], []
+    for ids in (range(len(texts)), [None] * len(texts)):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        began = time.perf_counter()
+        found.append(ngram_join.ngram_join(df, 3, 90).collect())
+        took.append(time.perf_counter() - began)
+    assert len({x["component_id"] for x in found[0]}) == 700 and len(found[1]) == len(texts)
+    assert {x["component_id"] for x in found[1]} == {None} and sorted(x["n_shingles"] for x in found[0]) == sorted(x["n_shingles"] for x in found[1])
+    assert took[1] < 1.5 * took[0] + 2

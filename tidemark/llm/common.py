@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,19 +83,38 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, hot: int
 SAMPLED = 64
 
 
-def hot_keys(rows: DataFrame, key: str, owner: str) -> DataFrame:
-    """key, n: keys that more than one in `HOT` rows of a sample of owners have, with their number there; fewer than `HOT` rows.
+#: Keys that more than one in so many rows have do not enter a window over keys: a window's largest group is then smaller than
+#: the mean partition, whatever the number of partitions up to this one.
+WINDOW_HOT = 100_000
+
+
+def hot_keys(rows: DataFrame, key: str, owner: str, hot: int = WINDOW_HOT) -> DataFrame:
+    """key, n: keys that more than one in `hot` rows of a sample of owners have, with their number there; fewer than `hot` rows.
 
     Each one is held by two owners at least. Windows over the other keys then have no large group.
     """
     sample = rows.where(F.pmod(F.xxhash64(owner), F.lit(SAMPLED)) == 0)
     counts = materialise(sample.groupBy(key).agg(F.count("*").alias("n"), F.min(owner).alias("_a"), F.max(owner).alias("_b")), "sampled-keys")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = materialise(counts.where((F.col("n") * HOT > total) & (F.col("_a") < F.col("_b"))).select(key, "n"), "hot-keys")
+    found = materialise(counts.where((F.col("n") * hot > total) & (F.col("_a") < F.col("_b"))).select(key, "n"), "hot-keys")
     release(counts)
     return found
 
 
+def numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of `docs` and _row, a key of each row that stays the same however often the table is read.
+
+    It is the row's file, by a hash of 64 bits, and its place in there. What is not a table of files is written first.
+    """
+    plan = getattr(docs, "_jdf", None)  # a remote session has none
+    if plan is None or plan.queryExecution().analyzed().nodeName() != "LogicalRelation" or "_metadata" in docs.columns:
+        return materialise(docs.select(*columns).withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "rows")
+    try:
+        return docs.select(*columns, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_row"))
+    except AnalysisException:  # files of a format without row numbers
+        return materialise(docs.select(*columns).withColumn("_row", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "rows")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

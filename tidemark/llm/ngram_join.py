@@ -13,7 +13,8 @@
    set, which bounds the overlap from above. Pairs that pass are decided by intersecting the sorted arrays. Pairs that are
    already connected in the tile need no comparison, so a tile of near copies costs about one row of it.
 4. In a component of more than `PIVOT_FROM` sets, all are first compared with a few pivots; blocks whose sets link to the same
-   pivot are not compared with each other. So a group of near copies that grows with the corpus costs in proportion.
+   pivot are not compared with each other, and those that link to none get new pivots while that links many. So groups of near
+   copies that grow with the corpus cost in proportion.
 5. Components of the verified links give each document its class.
 
 N-grams are compared by 64-bit hashes of their words: two different ones are taken for equal with probability 2^-64 a pair.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SAMPLED, hot_keys, lookup, materialise, release, text_of
+from tidemark.llm.common import SAMPLED, hot_keys, lookup, materialise, numbered, release, text_of
 from tidemark.llm.components import components
 from tidemark.llm.pieces import pieces
 
@@ -105,8 +106,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, node (digest), short (its first 64 bits), need, probes (null where the task has sent them before); row, if `row_col` names a key of rows."""
+def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, row_col: str) -> DataFrame:
+    """doc_id, n_shingles, node (digest), short (its first 64 bits), need, probes (null where the task has sent them before), row (the key in `row_col`)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -134,13 +135,12 @@ def set_table(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
             values = np.concatenate([x for x in lists if x is not None] or [np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(short), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values)), *batch.columns[2:]], names=["doc_id", "n_shingles", "node", "short", "need", "probes", *batch.schema.names[2:]])
 
-    row = f", row {docs.schema[row_col].dataType.simpleString()}" if row_col else ""
+    row = f", row {docs.schema[row_col].dataType.simpleString()}"
     return _rows(docs, id_col, text_col, row_col).mapInArrow(rows, f"doc_id long, n_shingles long, node binary, short long, need int, probes array<long>{row}")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    row = [F.col(row_col).alias("row")] if row_col else []
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text_of(text_col).alias("text"), *row)
+def _rows(docs: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text_of(text_col).alias("text"), F.col(row_col).alias("row"))
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -293,13 +293,29 @@ def verified_links(sized: DataFrame, candidates: DataFrame, percent: int) -> tup
     if large.isEmpty():
         return links, [dealt]
 
-    # every block of a very large component gets the component's pivots: its least nodes by residue of a hash
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int")
-    huge = large.where(F.col("sets") > PIVOT_FROM).select("comp", "node", "elements", blocks.alias("blocks"))
-    chosen = huge.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")).agg(F.min("node").alias("node")).select("comp", "node")
-    own = huge.select(F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("tile"), "node", "elements", F.lit(False).alias("pivot"))
-    sent = huge.join(chosen, ["comp", "node"]).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "comp", "node", "elements")
-    near = materialise(_compare_with_pivots(own.unionByName(sent.select(F.xxhash64("comp", "block").alias("tile"), "node", "elements", F.lit(True).alias("pivot"))), percent), "pivot-links")
+    # every block of a very large component gets the component's pivots: its least nodes by residue of a hash; what links to
+    # none of them gets new ones, as long as a round links a tenth of what is left
+    rest, rounds, scratch, seen = large.where(F.col("sets") > PIVOT_FROM).select("comp", "node", "n_shingles", "elements"), [], [], None
+    while True:
+        sizes = rest.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total")).where(F.col("sets") > PIVOT_FROM)
+        blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_ELEMENTS)).cast("int")
+        huge = rest.join(sizes.select("comp", blocks.alias("blocks")), "comp")
+        turn = F.pmod(F.xxhash64("node", F.lit(len(rounds))), F.lit(PIVOTS)).alias("turn")
+        chosen = huge.groupBy("comp", turn).agg(F.min("node").alias("node")).select("comp", "node")
+        own = huge.select(F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("tile"), "node", "elements", F.lit(False).alias("pivot"))
+        sent = huge.join(chosen, ["comp", "node"]).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "comp", "node", "elements")
+        near = materialise(_compare_with_pivots(own.unionByName(sent.select(F.xxhash64("comp", "block").alias("tile"), "node", "elements", F.lit(True).alias("pivot"))), percent), "pivot-links")
+        rounds.append(near)
+        linked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        before = rest.count() if seen is None else seen
+        rest = materialise(rest.join(linked, "node", "left_anti"), "unlinked")
+        scratch.append(rest)
+        seen = rest.count()
+        if seen <= PIVOT_FROM or seen * 10 > before * 9:
+            break
+    near = rounds[0]
+    for more in rounds[1:]:
+        near = near.unionByName(more)
     labels = components(near).select("node", F.xxhash64("root").alias("label"))
 
     # blocks of a component, by label and size band
@@ -318,14 +334,14 @@ def verified_links(sized: DataFrame, candidates: DataFrame, percent: int) -> tup
     as_right = parts.join(pairs.select("comp", F.col("l2").alias("label"), F.col("b2").alias("band"), "l1", "b1", "same", F.col("n2").alias("mine_of"), F.col("n1").alias("other_of")), ["comp", "label", "band"]).withColumn("_last", F.when(F.col("same"), mine).otherwise(F.col("other_of")) - 1).where("_last >= 0")
     as_right = as_right.select("comp", "l1", "b1", F.col("label").alias("l2"), F.col("band").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("h1"), mine.alias("h2"), "node", "elements", "label", "same", F.lit(1).alias("side"))
     both = as_left.unionByName(as_right).select(F.xxhash64("comp", "l1", "b1", "h1", "l2", "b2", "h2").alias("tile"), "node", "elements", "side", "label")
-    return links.unionByName(near).unionByName(_compare_tiles(both, percent)), [dealt, near, parts, pairs]
+    return links.unionByName(near).unionByName(_compare_tiles(both, percent)), [dealt, *rounds, *scratch, parts, pairs]
 
 
 def _bucket_links(sized: DataFrame, percent: int) -> DataFrame:
     """a, b: each set's links to the least set of its buckets; linked sets of `sized` (short, n_shingles, elements) are connected by these."""
     every = sized.select("short", F.explode("elements").alias("element"))
     hot = hot_keys(every, "element", "short")
-    marked = every.join(F.broadcast(hot.select("element", (F.col("n") * SAMPLED).alias("hot"))), "element", "left")  # fewer than HOT rows
+    marked = every.join(F.broadcast(hot.select("element", (F.col("n") * SAMPLED).alias("hot"))), "element", "left")  # fewer than WINDOW_HOT rows
     others = marked.where("hot is null").withColumn("n", F.count("*").over(Window.partitionBy("element"))).where("n > 1")
     counted = others.select("short", "element", "n").unionByName(marked.where("hot is not null").select("short", "element", F.col("hot").alias("n")))
     # by rarity in coarse steps, then by hash; the last bits of the hash give way, which may only add candidates
@@ -343,36 +359,35 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of `docs`.
 
     Two documents link when 100 times the size of their sets' intersection is at least `percent` times that of the union.
-    `row_col`, a key of rows, adds it as row, and kept: the one row of its class that is first by id and key.
+    `row_col`, a key of rows, adds it as row, and kept: the one row of its class that is first by id and key. Without it rows
+    are numbered: texts are fetched by that key, so that rows without an id, or of one id, do not meet each other.
     """
-    sets = materialise(set_table(docs, n, percent, id_col, text_col, row_col), "ngram-sets")
     row = ["row"] if row_col else []
+    if not row_col:
+        docs, row_col = numbered(docs, list(dict.fromkeys([id_col, text_col]))), "_row"
+    sets = materialise(set_table(docs, n, percent, id_col, text_col, row_col), "ngram-sets")
 
     # sets enough of whose least elements other sets have too
     sent = sets.where("probes is not null").select("short", "need", F.explode("probes").alias("probe"))
     hot = hot_keys(sent, "probe", "short")
-    marked = sent.join(F.broadcast(hot.select("probe", F.lit(True).alias("hot"))), "probe", "left")  # fewer than HOT rows
+    marked = sent.join(F.broadcast(hot.select("probe", F.lit(True).alias("hot"))), "probe", "left")  # fewer than WINDOW_HOT rows
     by_probe = Window.partitionBy("probe")
     others = marked.where("hot is null").select("short", "need", (F.min("short").over(by_probe) < F.max("short").over(by_probe)).alias("shared")).where("shared")
     shared = marked.where("hot").select("short", "need").unionByName(others.select("short", "need"))
     survivors = shared.groupBy("short", "need").agg(F.count("*").alias("n")).where("n >= need").select("short")
 
-    # the text of one document for each of them
-    picked = materialise(sets.where("node is not null").join(survivors, "short", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("short").alias("short")), "ngram-picked")
+    # the text of one row for each of them
+    picked = materialise(sets.where("node is not null").join(survivors, "short", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("short").alias("short")), "ngram-picked")
     # a merge join at every size: what is picked grows with the corpus
-    texts = _rows(docs, id_col, text_col).join(picked.hint("merge"), "doc_id").select("node", "short", "text")
+    texts = _rows(docs, id_col, text_col, row_col).join(picked.hint("merge"), "row").select("node", "short", "text")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
         shingles = Shingler(n)
         for batch in pieces(batches, 2):
             found = [shingles(t) for t in batch.column(2).to_pylist()]
-            kept = [xxh3_128_digest(s.tobytes()) == node for s, node in zip(found, batch.column(0).to_pylist(), strict=True)]  # not another row of that id
-            mask, found = pa.array(kept, pa.bool_()), [s for s, k in zip(found, kept, strict=True) if k]
             offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in found])].astype(np.int32))
             values = pa.array(_signed(np.concatenate(found)) if found else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array([len(s) for s in found], pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["node", "short", "n_shingles", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["node", "short", "n_shingles", "elements"])
 
     sized = materialise(texts.mapInArrow(elements, "node binary, short long, n_shingles long, elements array<long>"), "ngram-members")
     candidates = components(_bucket_links(sized, percent)).select(F.col("node").alias("short"), F.col("root").alias("comp"))
@@ -389,7 +404,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     found = lookup(sets.select("doc_id", "n_shingles", "node", *row), of_node, "node", spread)
     shown = lambda c: F.when(F.col(c) != _LAST_ID, F.col(c))
     least = F.coalesce("least", "doc_id")
-    kept = [F.col("row"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept")] if row_col else []  # a row without words is a class of its own
+    kept = [F.col("row"), F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept")] if row else []  # a row without words is a class of its own
     return found.select(shown("doc_id").alias("doc_id"), "n_shingles", F.when(least != _LAST_ID, least).alias("component_id"), *kept)
 
 

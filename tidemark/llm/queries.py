@@ -46,7 +46,7 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of three-word n-grams reach a Jaccard of 0.9, by links."""
-    return ngram_join.ngram_join(documents(spark, sf_dir), n=3, percent=90)
+    return ngram_join.ngram_join(documents(spark, sf_dir), n=3, percent=90)  # rows are numbered by their place in the files
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
