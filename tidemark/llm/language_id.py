@@ -32,8 +32,10 @@ from tidemark.llm.pieces import pieces
 SAMPLE = 500
 #: Bytes in a window, states per direction, windows that advance together.
 WINDOW, STATES, LANES = 128, 8, 2048
-#: What the certainty of a text's positions must be above chance (one over the number of languages), as a share of the way from chance to 1.
-LEAST_GAIN = 0.05
+#: The class of what is no learned language, and the least and largest pooled probability of it from which a text is rejected.
+REJECT, REJECT_FROM, REJECT_UPTO = "und", 0.5, 0.9
+#: Code points of letters that foreign text is made of: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Hangul, kana, Han.
+SCRIPTS = ((0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x4E00, 0x9FA5))
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -169,21 +171,15 @@ def _cut(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield windows, counts, w
 
 
-def pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of the languages for each text, and of each position's own best language, both averaged over all its positions."""
-    sums, sure = np.zeros((len(texts), len(net.languages))), np.zeros(len(texts))
+def predict(net: Network, texts: list[bytes]) -> np.ndarray:
+    """Probabilities of the languages for each text, pooled over all its positions."""
+    sums = np.zeros((len(texts), len(net.languages)))
     for windows, counts, of in _cut(texts):
         p = net.probabilities(net.run(0, windows)[0], net.run(1, windows)[0])
         counts = counts.astype(np.float32)
         np.add.at(sums, of, np.einsum("tcl,tl->lc", p, counts))
-        np.add.at(sure, of, (p.max(1) * counts).sum(0))
     n = np.maximum(1, np.array([len(t) for t in texts]))
-    return sums / n[:, None], sure / n
-
-
-def predict(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Probabilities of the languages for each text, pooled over all its positions."""
-    return pooled(net, texts)[0]
+    return sums / n[:, None]
 
 
 def examples(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> list[tuple[bytes, str]]:
@@ -199,13 +195,13 @@ def examples(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     return [(t.encode("utf-8", "surrogatepass")[:WINDOW], lang) for t, lang in zip(got["text"].to_pylist(), got["lang"].to_pylist(), strict=True)]
 
 
-def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", sure_col: str = "sure") -> DataFrame:
-    """All columns of `docs`, then lang_pred, score, and `sure_col`: how sure of its best language a position is on average."""
+def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of `docs`, then lang_pred and score."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    kept = StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "score", sure_col)])
-    out = StructType([*kept.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField(sure_col, DoubleType())])
+    kept = StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "score")])
+    out = StructType([*kept.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     arrow, at = to_arrow_schema(out), [f.name for f in kept.fields].index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -214,34 +210,79 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
         for batch in pieces(batches, at):
             texts = batch.column(at).to_pylist()
             known = [bool(model) and t is not None and _LETTER.search(t) is not None for t in texts]
-            langs, scores, sure = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
+            langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
             if any(known):
                 which = np.flatnonzero(known)
-                p, sure[which] = pooled(model, [texts[k].encode("utf-8", "surrogatepass") for k in which.tolist()])
+                p = predict(model, [texts[k].encode("utf-8", "surrogatepass") for k in which.tolist()])
                 langs[which] = np.array(model.languages, object)[p.argmax(1)]
                 scores[which] = np.minimum(1.0, p.max(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(sure)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], schema=arrow)
 
     return docs.select(*[f.name for f in kept.fields]).mapInArrow(rows, out)
 
 
-def least_score(net: Network) -> float:
-    """How sure of their best languages the positions of a text must be on average: hardly more than chance is no language. With one language no text is below.
-
-    Positions are asked, not the pooled probabilities: those of a text in several languages come near chance though each of its parts has one.
+def foreign(learned: list[tuple[bytes, str]], n: int, seed: int = 11) -> list[tuple[bytes, str]]:
+    """`n` windows of the class REJECT: random words in scripts that the learned windows lack, random letters and digits, and learned windows with their bytes shuffled."""
+    r = np.random.default_rng(seed)
+    seen = "".join(t.decode("utf-8", "ignore") for t, _ in learned)
+    points = np.frombuffer(seen.encode("utf-32-le"), np.uint32)
+    scripts = [(a, b) for a, b in SCRIPTS if not ((points >= a) & (points <= b)).any()]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    out = []
+    for i in range(n):
+        kind = i % 4
+        if kind < 2 and scripts:
+            a, b = scripts[(i // 4) % len(scripts)]
+            text = " ".join("".join(map(chr, r.integers(a, b + 1, r.integers(2, 11)))) for _ in range(30)).encode()
+        elif kind == 2 or not learned:
+            text = "".join(letters[k] for k in r.integers(0, 16 if i % 8 == 2 else len(letters), WINDOW)).encode()
+        else:
+            text = bytes(r.permutation(np.frombuffer(learned[int(r.integers(len(learned)))][0], np.uint8)))
+        out.append((text[:WINDOW], REJECT))
+    return out
+
+
+def train_with_reject(learned: list[tuple[bytes, str]], held_out: list[tuple[bytes, str]]) -> tuple[Network | None, float]:
+    """A network that also knows what is no language, and the pooled probability of that above which a text is rejected.
+
+    That bound is one that 999 in 1000 held-out windows stay below, within REJECT_FROM and REJECT_UPTO: windows are short, so whole texts stay
+    below it more safely.
+    """
+    languages = len({lang for _, lang in learned})
+    if not languages:
+        return None, 1.0
+    net = train(learned + foreign(learned, max(100, len(learned) // languages)))
+    if not held_out:
+        return net, REJECT_FROM
+    p = predict(net, [t for t, _ in held_out])[:, net.languages.index(REJECT)]
+    return net, float(np.clip(np.quantile(p, 0.999), REJECT_FROM, REJECT_UPTO))
+
+
+def accepted(net: Network | None, most: float, texts: list[str | None], wanted: list[str] | None = None) -> np.ndarray:
+    """Which texts have letters, are not rejected, and, if languages are `wanted`, have one of these as their likeliest."""
+    keep = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
+    if net is not None and keep.any():
+        at = np.flatnonzero(keep)
+        p = predict(net, [texts[i].encode("utf-8", "surrogatepass") for i in at.tolist()])
+        no = net.languages.index(REJECT) if REJECT in net.languages else None
+        if no is not None:
+            keep[at] &= p[:, no] <= most
+            p[:, no] = -1
+        if wanted is not None:
+            keep[at] &= np.isin(np.array(net.languages, object)[p.argmax(1)], wanted)
+    return keep
+
+
+def with_language(docs: DataFrame, net: Network | None, most: float = REJECT_FROM, text_col: str = "text", wanted: list[str] | None = None) -> DataFrame:
+    """The rows of `docs` that accepted() keeps; without a network, all that have letters.
+
+    Of a text in several languages each part has one, so its pooled probability of REJECT is low and it stays.
     """
-    chance = 1 / len(net.languages)
-    return chance + LEAST_GAIN * (1 - chance) if len(net.languages) > 1 else 0.0
-
-
-def with_language(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that have letters and a language by the network, or several; without a network, all that have letters."""
-    if net is not None:
-        return identify(docs, net, text_col=text_col, sure_col="_sure").where((F.col("lang_pred") != "und") & (F.col("_sure") >= least_score(net))).select(*docs.columns)
     at = docs.columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([t is not None and _LETTER.search(t) is not None for t in batch.column(at).to_pylist()], pa.bool_()))
+        for batch in pieces(batches, at):
+            yield batch.filter(pa.array(accepted(sent.value, most, batch.column(at).to_pylist(), wanted), pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
