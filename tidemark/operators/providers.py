@@ -48,7 +48,16 @@ class MarkText:
         return prompt.rpartition(MARKER)[2].replace("e", "E")
 
 
-PROVIDERS: dict[str, Callable[[], object]] = {"upper": UpperCase, "mark": Mark, "first": FirstWords, "mark_text": MarkText}
+class Failing:
+    """Refuses prompts that hold a 7 in their last line; returns others behind the marker with each e as E."""
+
+    def generate(self, prompt: str) -> str:
+        if "7" in prompt.rpartition("\n")[2]:
+            raise RuntimeError("rate_limit: too many calls")
+        return prompt.rpartition(MARKER)[2].replace("e", "E")
+
+
+PROVIDERS: dict[str, Callable[[], object]] = {"upper": UpperCase, "mark": Mark, "first": FirstWords, "mark_text": MarkText, "failing": Failing}
 
 
 def register(name: str, factory: Callable[[], object]) -> None:

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.sources.places import place
 from tidemark.streaming import state
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _place(spark: SparkSession) -> str:
-    """A new folder below the session's shared one; a temporary one where a session on one machine has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a stream of its files, be it one file or a folder of them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
@@ -35,13 +23,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS video_id, arg_max(event_type, event_id) AS stage, count(*) AS updates, min(event_id) AS started FROM events GROUP BY user_id")
 def stream_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage of each item, kept in the state of a stream."""
-    place = _place(spark)
+    base = place(spark, "stream")
     updates = _events(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("seq"))
-    return state.drain(state.latest_stage(updates), f"{place}/out", f"{place}/checkpoint")
+    return state.drain(state.latest_stage(updates), f"{base}/out", f"{base}/checkpoint")
 
 
 @query("WITH r AS (SELECT user_id, event_id, event_type <> 'error' AS ok, max(CASE WHEN event_type <> 'error' THEN event_id ELSE -1 END) OVER (PARTITION BY user_id) AS last_ok FROM events) SELECT user_id AS proxy, count_if(NOT ok AND event_id > last_ok) AS consecutive, count_if(NOT ok) AS failures, count_if(NOT ok AND event_id > last_ok) >= 2 AS unhealthy FROM r GROUP BY user_id")
 def stream_failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = _place(spark)
+    base = place(spark, "stream")
     events = _events(spark, sf_dir).select(F.col("user_id").alias("proxy"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
-    return state.drain(state.failure_runs(events, 2), f"{place}/out", f"{place}/checkpoint", "update", ["proxy"])
+    return state.drain(state.failure_runs(events, 2), f"{base}/out", f"{base}/checkpoint", "update", ["proxy"])
