@@ -4,10 +4,11 @@ A spot is a content word behind a common word (an anchor); its signature is a di
 a chain of `CHAIN`. Where `GAP` content words follow each other without an anchor, as in languages whose anchors are not
 listed, each further one is a spot until the next anchor. A text's fingerprint is the sorted set of its signatures.
 
-Sets are partitioned by their length into classes (`length_class`): the likeness of two sets cannot exceed the smaller length
-over the larger, so two sets whose classes are not neighbours, or whose lengths are too far apart, are below the least likeness
-asked for and are not intersected. For all other pairs the likeness is exact, however small. The fingerprint query takes
-`LEAST`: its likeness is 0 where one set is ten times as long as the other or more.
+Where sets are compared with many others (`similar`), they are partitioned by their length into classes (`length_class`): the likeness of two
+sets cannot exceed the smaller length over the larger, so a set only meets those of its own and the neighbouring classes, and there
+those that share one of its rarest signatures. What the two lengths and the places of that signature leave possible bounds the
+likeness from above; only pairs that can reach the least one asked for are intersected. The fingerprint query compares each text with two
+given ones only, and its likeness is exact for every pair, however unlike in length.
 
 Everything is built-in functions over arrays; a column that a lambda reads by index is computed in a projection of its own, and
 read more than once, so that it is not computed anew for each element.
@@ -39,7 +40,7 @@ ANCHORS = (
 ).split()
 #: Words in a signature; content words without an anchor behind which each is a spot.
 CHAIN, GAP = 2, 8
-#: Likeness below which sets need not be compared.
+#: The likeness that the classes of the fingerprints are made for.
 LEAST = 0.1
 _FIRST_ID = -(1 << 63)
 
@@ -84,8 +85,6 @@ def likeness(a: str, b: str, least: float = 0.0) -> Column:
     n, m = F.size(a), F.size(b)
     both = F.size(F.array_intersect(a, b))
     possible = (F.least(n, m) > 0) & (F.least(n, m).cast("double") >= F.lit(least) * F.greatest(n, m))
-    if least > 0:
-        possible = possible & (F.abs(length_class(a, least) - length_class(b, least)) <= 1)
     return F.when((n == 0) & (m == 0), F.lit(1.0)).when(possible, both.cast("double") / (n + m - both)).otherwise(F.lit(0.0))
 
 
@@ -100,42 +99,69 @@ def successors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return inside.join(after, "range").select("k", F.coalesce("_next", "_after").alias("next_k"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, length_class for each row of `docs`.
 
-    The edited text has its last third replaced by as much of the next document's opening.
+    The edited text has its last third replaced by as much of the next document's opening. A text's own set is made once, before rows
+    are shuffled by id, and goes with them; the same shuffle serves rows and successors.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("k"), text_of(text_col).alias("text"))
-    third = F.floor(F.length("text") / 3).cast("int")
-    lengths = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("k"), third_of(text_col).alias("wanted")).groupBy("k").agg(F.max("wanted").alias("wanted"))
+    k, third = F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("k"), F.floor(F.length("text") / 3).cast("int")
+    rows = signatures(docs.select(k, text_of(text_col).alias("text")), "text", "own_set").repartition("k")
+    lengths = docs.select(k, third_of(text_col).alias("wanted")).groupBy("k").agg(F.max("wanted").alias("wanted"))
     links = materialise(successors(docs, id_col).join(lengths, "k"), "successors")  # narrow
 
-    # each document as the successor of another: as much of its opening as that one wants, and its signatures
-    ahead = rows.join(links.select(F.col("k").alias("of"), F.col("next_k").alias("k"), "wanted"), "k")
-    ahead = signatures(ahead.select("of", "text", "wanted"), "text", "next_set").select("of", F.struct(F.expr("left(text, wanted)").alias("opening"), "next_set").alias("next"), F.xxhash64("text").alias("h"))
-    ahead = ahead.groupBy("of").agg(F.min_by("next", "h").alias("next")).withColumnRenamed("of", "k")
+    # each document as the successor of another: as much of its opening as that one wants, and its set
+    ahead = rows.join(links.select(F.col("k").alias("of"), F.col("next_k").alias("k"), "wanted").hint("merge"), "k")
+    ahead = ahead.select("of", F.struct(F.expr("left(text, wanted)").alias("opening"), F.col("own_set").alias("next_set")).alias("next"), F.xxhash64("text").alias("h"))
+    ahead = ahead.groupBy(F.col("of").alias("k")).agg(F.min_by("next", "h").alias("next"))
 
-    met = rows.join(ahead, "k").select("k", "text", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.substring("next.opening", F.lit(1), third)).alias("edited"), F.col("next.next_set").alias("next_set"))
-    met = signatures(signatures(met, "text", "own_set"), "edited", "edited_set")
+    met = rows.join(ahead.hint("merge"), "k").select("k", "text", "own_set", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.substring("next.opening", F.lit(1), third)).alias("edited"), F.col("next.next_set").alias("next_set"))
+    met = signatures(met, "edited", "edited_set")
     return met.select(
         F.when(F.col("k") != _FIRST_ID, F.col("k")).alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
         "edited",
         fingerprint("own_set").alias("fingerprint"),
         fingerprint("edited_set").alias("edited_fingerprint"),
-        likeness("own_set", "edited_set", least).alias("near_edited"),
-        likeness("own_set", "next_set", least).alias("near_next"),
-        (length_class("own_set", least) if least > 0 else F.lit(0)).alias("length_class"),
+        likeness("own_set", "edited_set").alias("near_edited"),
+        likeness("own_set", "next_set").alias("near_next"),
+        length_class("own_set", LEAST).alias("length_class"),
     )
 
 
+def similar(left: DataFrame, right: DataFrame, least: float, id_col: str = "id", set_col: str = "signatures") -> DataFrame:
+    """left_id, right_id, likeness of all pairs of `left` and `right` (id, signatures) with a likeness of `least` or more.
+
+    Ids are unique in each table. All pairs that reach `least` are rows, so of groups of copies give distinct sets. Empty or null sets are like
+    nothing.
+    """
+    one = left.select(F.col(id_col).alias("id"), F.col(set_col).alias("s")).where(F.size(set_col) > 0).withColumn("side", F.lit(0))
+    two = right.select(F.col(id_col).alias("id"), F.col(set_col).alias("s")).where(F.size(set_col) > 0).withColumn("side", F.lit(1))
+    sets = materialise(one.unionByName(two).withColumn("n", F.size("s")).withColumn("class", length_class("s", least)), "sets")
+    each = sets.select("side", "id", "n", "class", F.explode("s").alias("sig"))
+    counts = each.groupBy("sig").agg(F.count("*").alias("f"))
+    # each set's signatures from the rarest on; two alike sets share one of the first of both
+    ranked = each.join(counts, "sig").groupBy("side", "id", "n", "class").agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("r"))
+    first = F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
+    heads = materialise(ranked.select("side", "id", "n", "class", F.posexplode(first).alias("at", "x")).select("side", "id", "n", "class", "at", "x.sig"), "set-heads")
+    a = heads.where("side = 0").select(F.col("id").alias("left_id"), F.col("n").alias("n1"), F.col("at").alias("at1"), "sig", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"))
+    b = heads.where("side = 1").select(F.col("id").alias("right_id"), F.col("n").alias("n2"), F.col("at").alias("at2"), "sig", "class")
+    # at the first signature that both share, no more can follow than either has left
+    most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    possible = (F.least("n1", "n2") >= F.lit(least) * F.greatest("n1", "n2") - 1e-9) & (most >= F.lit(least) * (F.col("n1") + F.col("n2") - most) - 1e-9)
+    met = a.join(b, ["class", "sig"]).groupBy("left_id", "right_id", "n1", "n2").agg(F.min("at1").alias("at1"), F.min("at2").alias("at2")).where(possible)
+    of = lambda side, name: sets.where(F.col("side") == side).select(F.col("id").alias(f"{name}_id"), F.col("s").alias(name))
+    pairs = met.select("left_id", "right_id").join(of(0, "left"), "left_id").join(of(1, "right"), "right_id")
+    return pairs.select("left_id", "right_id", likeness("left", "right", least).alias("likeness")).where(F.col("likeness") >= least)
+
+
 def third_of(text_col: str) -> Column:
     return F.floor(F.length(text_of(text_col)) / 3).cast("int")
 
 
 _ANCHORS = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS)) + "]"
 _NEAR = """CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0::DOUBLE
-  WHEN least(len({0}), len({1})) = 0 OR least(len({0}), len({1})) < 0.1::DOUBLE * greatest(len({0}), len({1})) THEN 0.0::DOUBLE
+  WHEN least(len({0}), len({1})) = 0 THEN 0.0::DOUBLE
   ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1})))::DOUBLE END"""
 
 #: The contract's fingerprints in SQL.
