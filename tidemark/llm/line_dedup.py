@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lookup, materialise, text_of
+from tidemark.llm.common import HOT, lookup, materialise, text_of
+from tidemark.llm.pieces import pieces
 
 #: Most bytes of filters that are sent to every worker, and keys in a shard on average.
 FILTER_BYTES, SHARD_KEYS = 32 << 20, 100_000
@@ -131,7 +132,7 @@ def split_lines(text: str, min_chars: int) -> tuple[list[bytes], list[bytes | No
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text_of(text_col).alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("h"))
 
 
 def shard_of(key: Column, shards: int) -> Column:
@@ -142,19 +143,23 @@ def _shards(keys: list[bytes], shards: int) -> np.ndarray:
     return np.frombuffer(b"".join(keys), ">u4")[3::4].astype(np.int64) % shards
 
 
-def line_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", filters: list[tuple[int, int, bytes]] | None = None) -> DataFrame:
-    """doc_id, key: the distinct keys of each row's lines; with all shards' filters (shard, shards, filter), only those they let through."""
+def line_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", filters: list[tuple[int, int, bytes]] | None = None, hashed: bool = False) -> DataFrame:
+    """doc_id, key: the distinct keys of each row's lines; with all shards' filters (shard, shards, filter), only those they let through.
+
+    `hashed` adds h, a hash of the row's text: rows of one id, or without one, are told apart by it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None if sent is None else {s: CuckooFilter.from_bytes(f) for s, _, f in sent.value}
         shards = sent.value[0][1] if sent is not None and sent.value else 1
-        for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in pieces(batches, 1):
+            ids, hashes, keys = [], [], []
+            for doc_id, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = {k for k in split_lines(text, min_chars)[1] if k is not None}
                 keys += own
                 ids += [doc_id] * len(own)
+                hashes += [h] * len(own)
             if tables is not None and keys:
                 digests, of = CuckooFilter.digests(keys), _shards(keys, shards)
                 kept = np.zeros(len(keys), bool)
@@ -162,25 +167,33 @@ def line_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text
                     if s in tables:
                         at = of == s
                         kept[at] = tables[s].contains(digests[at])
-                ids, keys = np.array(ids, np.int64)[kept], [k for k, ok in zip(keys, kept.tolist(), strict=True) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
+                ids, hashes, keys = np.array(ids, np.int64)[kept], np.array(hashes, np.int64)[kept], [k for k, ok in zip(keys, kept.tolist(), strict=True) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), *([pa.array(hashes, pa.int64())] if hashed else [])], names=["doc_id", "key", *(["h"] if hashed else [])])
+
+    return _rows(docs, id_col, text_col).mapInArrow(rows, "doc_id long, key binary" + (", h long" if hashed else ""))
 
-    return _rows(docs, id_col, text_col).mapInArrow(rows, "doc_id long, key binary")
 
+def _behind_filters(keys: DataFrame, filters: DataFrame, shards: int, hot: DataFrame) -> DataFrame:
+    """Rows of `keys` (doc_id, key, h) that their shard's filter lets through: filters and keys meet by shard, filters first.
 
-def _behind_filters(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Rows of `keys` (doc_id, key) that their shard's filter lets through: filters and keys meet by shard, filters first."""
+    `hot` keys (key; fewer than HOT rows), which are known to be repeated, need no filter: their rows are dealt over all tasks. So no key
+    left has more than one in HOT rows, and SPREAD tasks a shard are enough.
+    """
     none = F.lit(None)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")
-    lines = keys.select(shard_of(F.col("key"), shards).alias("shard"), part.alias("part"), F.lit(1).alias("kind"), none.cast("binary").alias("filter"), "doc_id", "key")
-    sent = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), F.lit(0).alias("kind"), "filter", none.cast("long").alias("doc_id"), none.cast("binary").alias("key"))
+    tasks = max(shards, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marked = keys.join(F.broadcast(hot.select("key", F.lit(True).alias("_hot"))), "key", "left")
+    free = F.coalesce("_hot", F.lit(False))
+    shard = F.when(free, F.lit(-1)).otherwise(shard_of(F.col("key"), shards))
+    part = F.pmod(F.xxhash64("doc_id", "h"), F.when(free, F.lit(tasks)).otherwise(F.lit(SPREAD))).cast("int")
+    lines = marked.select(shard.alias("shard"), part.alias("part"), F.lit(1).alias("kind"), none.cast("binary").alias("filter"), "doc_id", "key", "h")
+    sent = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), F.lit(0).alias("kind"), "filter", none.cast("long").alias("doc_id"), none.cast("binary").alias("key"), none.cast("long").alias("h"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, table = None, None
         for batch in batches:
             of, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-            kept = np.zeros(len(of), bool)
-            for s in dict.fromkeys(of.tolist()):
+            kept = of == -1
+            for s in dict.fromkeys(of[of >= 0].tolist()):
                 at = np.flatnonzero(of == s)
                 if kind[at[0]] == 0:
                     shard, table = s, CuckooFilter.from_bytes(batch.column("filter")[int(at[0])].as_py())
@@ -188,10 +201,9 @@ def _behind_filters(keys: DataFrame, filters: DataFrame, shards: int) -> DataFra
                 if s == shard and len(at):
                     kept[at] = table.contains(CuckooFilter.digests(batch.column("key").take(pa.array(at)).to_pylist()))
             mask = pa.array(kept)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(mask), batch.column("key").filter(mask)], names=["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("doc_id", "key", "h")], names=["doc_id", "key", "h"])
 
-    tasks = max(shards, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return lines.unionByName(sent).repartition(tasks, "shard", "part").sortWithinPartitions("shard", "kind").mapInArrow(rows, "doc_id long, key binary")
+    return lines.unionByName(sent).repartition(tasks, "shard", "part").sortWithinPartitions("shard", "kind").mapInArrow(rows, "doc_id long, key binary, h long")
 
 
 def counted(postings: DataFrame) -> DataFrame:
@@ -262,19 +274,21 @@ def drop_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame | None = N
 
     `counts` are the reference counts of a corpus that holds `docs`; `filters` those of build_filters().
     """
-    keys = line_keys(docs, min_chars, id_col, text_col) if filters is None else None
+    keys = line_keys(docs, min_chars, id_col, text_col, hashed=True) if filters is None else None
     if filters is not None:
         bytes_, shards = filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)), F.coalesce(F.max("shards"), F.lit(1))).first()
         if bytes_ <= FILTER_BYTES:
-            keys = line_keys(docs, min_chars, id_col, text_col, [(r["shard"], r["shards"], bytes(r["filter"])) for r in filters.collect()])  # FILTER_BYTES at most
+            keys = line_keys(docs, min_chars, id_col, text_col, [(r["shard"], r["shards"], bytes(r["filter"])) for r in filters.collect()], True)  # FILTER_BYTES at most
         else:
-            keys = _behind_filters(line_keys(docs, min_chars, id_col, text_col), filters, shards)
+            lines = counts.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+            hot = counts.where(repeated() & (F.col("n_docs") * HOT > lines)).select("key")  # fewer than HOT rows
+            keys = _behind_filters(line_keys(docs, min_chars, id_col, text_col, hashed=True), filters, shards, hot)
     shared = counts.where(repeated()).select("key", F.col("n_docs").alias("n"), "min_doc")
-    gone = lookup(keys, shared, "key", F.xxhash64("doc_id")).where(F.col("doc_id") > F.col("min_doc"))
-    gone = gone.groupBy("doc_id").agg(F.collect_set("key").alias("gone"))  # at most a document's own lines
+    gone = lookup(keys, shared, "key", F.xxhash64("doc_id", "h")).where(F.col("doc_id") > F.col("min_doc"))
+    gone = gone.groupBy("doc_id", "h").agg(F.collect_set("key").alias("gone"))  # at most a text's own lines
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n, dropped, kept = [], [], []
             for text, keys in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 if keys:
@@ -291,7 +305,7 @@ def drop_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame | None = N
             ids = batch.column("doc_id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == _LAST_ID), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
-    return _rows(docs, id_col, text_col).join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(rows, "doc_id long, n_lines long, n_dropped long, kept string")
+    return _rows(docs, id_col, text_col).join(gone, ["doc_id", "h"], "left").select("doc_id", "text", "gone").mapInArrow(rows, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 #: The contract's line dedup in SQL.
