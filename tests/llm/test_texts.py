@@ -121,18 +121,13 @@ def chains_of(text):
     return found
 
 
-def jaccard(a, b, least):
-    if not a and not b:
-        return 1.0
-    if not a or not b or min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
-    return len(a & b) / len(a | b)
-
-
-@pytest.mark.parametrize("least", [0.0, spotsigs.LEAST, 0.6])
-def test_spotsigs(spark, least):
-    """Fingerprints and likeness of every row by sets; a likeness is left out only where the lengths keep it below `least`."""
-    got = spotsigs.fingerprints(hard(spark), least=least).collect()
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_spotsigs(spark):
+    """Fingerprints and likeness of every row by sets, however unlike in length."""
+    got = spotsigs.fingerprints(hard(spark)).collect()
     by_id: dict = {}
     for d, t, *_ in rows():
         by_id.setdefault(-1 if d is None else d, []).append(t or "")
@@ -146,7 +141,7 @@ def test_spotsigs(spark, least):
             m = len(t) // 3
             for n in after[k]:
                 own, edited, nxt = chains_of(t), chains_of(t[: len(t) - m] + n[:m]), chains_of(n)
-                options.append((len(t), t[: len(t) - m] + n[:m], "".join(sorted(own)), "".join(sorted(edited)), jaccard(own, edited, least), jaccard(own, nxt, least)))
+                options.append((len(t), t[: len(t) - m] + n[:m], "".join(sorted(own)), "".join(sorted(edited)), jaccard(own, edited), jaccard(own, nxt)))
         assert any((r["n_chars"], r["edited"], r["fingerprint"], r["edited_fingerprint"]) == o[:4] and abs(r["near_edited"] - o[4]) < 1e-12 and abs(r["near_next"] - o[5]) < 1e-12 for o in options)
     assert spotsigs.fingerprints(empty(spark)).count() == 0
 
@@ -159,6 +154,20 @@ def test_spotsigs_classes_keep_alike_sets_together(spark):
         assert len(set(of.values())) > 2 - (least < 0.5)
 
 
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.9])
+def test_spotsigs_alike_sets_are_found(spark, least):
+    """Sets partitioned by length and pruned, against all pairs."""
+    r = np.random.default_rng(6)
+    sets = [sorted({f"s{k}" for k in r.choice(60, r.integers(1, 25))}) for _ in range(70)]
+    sets += [sorted({*s[: len(s) * 9 // 10], "other"}) for s in sets[:30]] + [["s1"], []]
+    schema = "id long, signatures array<string>"
+    left, right = list(enumerate(sets[:60])) + [(999, None)], list(enumerate(sets[40:]))
+    got = {(x["left_id"], x["right_id"]): x["likeness"] for x in spotsigs.similar(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), least).collect()}
+    want = {(i, j): jaccard(set(a), set(b)) for i, a in left for j, b in right if a and b and jaccard(set(a), set(b)) >= least}
+    assert got == pytest.approx(want) and len(want) > 10
+    assert spotsigs.similar(spark.createDataFrame([], schema), spark.createDataFrame(right, schema), least).count() == 0
+
+
 def test_spotsigs_of_texts_without_anchors(spark):
     words = [f"слово{i}" for i in range(90)]
     texts = [(1, " ".join(words)), (2, " ".join(words[:60] + ["иное"] * 30))]
