@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import outputs, providers, state
 from tidemark.sources import readers
+from tidemark.streaming import ordered
 from tidemark.streaming import state as streams
 
 
@@ -98,7 +99,13 @@ def test_items_by_url(spark, tmp_path):
     landed = {"video": str(tmp_path / "v"), "channel": str(tmp_path / "c"), "playlist": str(tmp_path / "p")}
     ask = lambda *urls: sorted((r["url_type"], r["video_id"]) for r in readers.read_by_url(spark, spark.createDataFrame([(u,) for u in urls], "url string"), landed).collect())
     assert ask("https://youtu.be/aaaaaaaaaaa", "https://www.youtube.com/channel/UC2") == [("channel", "y"), ("video", "aaaaaaaaaaa")]
-    assert ask("https://www.youtube.com/playlist?list=PL1") == [("playlist", "z")]
+    (tmp_path / "lists").mkdir()
+    (tmp_path / "lists" / "PLone.json").write_text('{"video_id":"z"}\n{"video_id":"y"}\n')
+    (tmp_path / "lists" / "more.json").write_text('{"video_id":"z","playlist_id":"PLtwo"}\n{"video_id":"u","playlist_id":"PLtwo"}\n')
+    landed["playlist"] = str(tmp_path / "lists")
+    assert ask("https://www.youtube.com/playlist?list=PLone") == [("playlist", "y"), ("playlist", "z")]
+    assert ask("https://www.youtube.com/playlist?list=PLtwo") == [("playlist", "u"), ("playlist", "z")]
+    assert ask("https://www.youtube.com/playlist?list=PLthree") == [] and len(ask("https://www.youtube.com/playlist?list=PLone", "https://www.youtube.com/playlist?list=PLtwo")) == 4
 
 
 def test_archive_cleared_and_logs_listed(spark, tmp_path):
@@ -147,13 +154,13 @@ def test_drain_keeps_keys_of_all_batches(spark, tmp_path):
     source, schema = str(tmp_path / "in"), "proxy long, seq long, ok boolean"
     for rows in ([(1, 1, False), (1, 2, False), (2, 3, True)], [(2, 4, False)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    found = streams.drain(streams.failure_runs(streams.read_files(spark, source, schema, per_trigger=1), 2), str(tmp_path / "out"), str(tmp_path / "cp"), "update", ["proxy"])
+    found = streams.drain(ordered.failure_runs(streams.read_files(spark, source, schema, per_trigger=1), 2), str(tmp_path / "out"), str(tmp_path / "cp"), "update", ["proxy"])
     assert sorted((r["proxy"], r["consecutive"], r["unhealthy"]) for r in found.collect()) == [(1, 2, True), (2, 1, False)]
     stages = streams.latest_stage(streams.read_files(spark, source, schema, per_trigger=1).select(F.col("proxy").alias("video_id"), F.col("ok").cast("string").alias("stage"), "seq"))
     assert streams.drain(stages, str(tmp_path / "out2"), str(tmp_path / "cp2")).count() == 2
     empty = str(tmp_path / "none")
     spark.createDataFrame([], schema).write.parquet(empty)
-    assert streams.drain(streams.failure_runs(streams.read_files(spark, empty, schema)), str(tmp_path / "out3"), str(tmp_path / "cp3"), "update", ["proxy"]).count() == 0
+    assert streams.drain(ordered.failure_runs(streams.read_files(spark, empty, schema)), str(tmp_path / "out3"), str(tmp_path / "cp3"), "update", ["proxy"]).count() == 0
 
 
 def test_tail_and_table_folders(spark, tmp_path):

@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Which words in a message mean which class, in the order they are tried (fixed values).
-NETWORK = ("network", "connection", "dns", "timeout", "unreachable", "refused", "reset", "failed to connect", "unable to connect", "cannot connect", "connect failed", "failed to download", "unable to download", "download failed", "download error", "cannot download", "unable to fetch", "without a successful webpage download", "webpage download failed")
+NETWORK = (
+    "network", "connection", "dns", "timeout", "unreachable", "refused", "reset", "failed to connect", "connection error", "connection refused", "connection timeout", "connection reset",
+    "unable to connect", "cannot connect", "connect failed", "failed to download", "unable to download", "download failed", "download error", "cannot download", "unable to fetch",
+    "without a successful webpage download", "webpage download failed", "unable to download webpage", "failed to download webpage",
+)
 COOKIE_EXPIRED = ("sign in to confirm", "you're not a bot", "not a bot", "use --cookies", "cookies for the authentication", "login required")
 AUTH = ("403", "401", "unauthorized", "authentication required")
 CONTENT = ("404", "not found", "unavailable", "private", "deleted", "removed", "blocked", "region", "copyright")

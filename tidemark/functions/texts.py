@@ -58,27 +58,35 @@ SECRET_PARAMETERS = ("token", "key", "secret", "apikey", "api_key", "access_toke
 #: What is masked, in this order, and what stands in its place (fixed rules). Conditions on lengths are bands of the patterns; a run of
 #: a class is taken whole because its pattern is greedy.
 MASKS = (
-    (r"(sk-[a-zA-Z0-9])[a-zA-Z0-9]{15,}([a-zA-Z0-9]{4})", "1***2"),
-    (r"\b([a-zA-Z0-9]{4})[a-zA-Z0-9]{24,}([a-zA-Z0-9]{4})\b", "1***2"),
+    (r"(sk-[a-zA-Z0-9])[a-zA-Z0-9]{15,}([a-zA-Z0-9]{4})", "$1***$2"),
+    (r"\b([a-zA-Z0-9]{4})[a-zA-Z0-9]{24,}([a-zA-Z0-9]{4})\b", "$1***$2"),
     # the first value of a cookie header: nine characters or more keep four at both ends, fewer keep none
-    (r"(?i)(Cookie:\s*[^;\n=]*=[^;\n]{4})[^;\n]+([^;\n]{3}[^;\s])[^\S\n]*", "1***2"),
-    (r"(?i)(Cookie:\s*[^;\n=]*=)[^;\n]{0,7}[^;\s][^\S\n]*(;|\n|$)", "1***REDACTED***2"),
-    (r"(?i)(cookie\s*=\s*[^;\s&]{4})[^;\s&]+([^;\s&]{4})", "1***2"),
-    (r"(?i)(Authorization:\s*[^\s]{4})[^\s]+([^\s]{4})", "1***2"),
-    (r"(?i)Bearer\s+([a-zA-Z0-9\-_.])", "Bearer 1"),
-    (r"(Bearer [a-zA-Z0-9\-_.]{4})[a-zA-Z0-9\-_.]+([a-zA-Z0-9\-_.]{4})", "1***2"),
-    (r"(?i)Basic\s+([A-Za-z0-9+/=]{4})[A-Za-z0-9+/=]{12,}([A-Za-z0-9+/=]{4})", "Basic 1***2"),
-    (rf"(?i)([?&](?:{'|'.join(SECRET_PARAMETERS)})=[^&\s]{{2}})[^&\s]{{5,}}([^&\s]{{2}})", "1***2"),
-    (r"(?i)(password|pwd)\s*=\s*[^\s&]+", "1=***REDACTED***"),
-    (r"://([^:]+):([^@]+)@", "://1:***REDACTED***@"),
+    (r"(?i)(Cookie:\s*[^;\n=]*=[^;\n]{4})[^;\n]+([^;\n]{3}[^;\s])[^\S\n]*", "$1***$2"),
+    (r"(?i)(Cookie:\s*[^;\n=]*=)[^;\n]{0,7}[^;\s][^\S\n]*(;|\n|$)", "$1***REDACTED***$2"),
+    (r"(?i)(cookie\s*=\s*[^;\s&]{4})[^;\s&]+([^;\s&]{4})", "$1***$2"),
+    (r"(?i)(Authorization:\s*[^\s]{4})[^\s]+([^\s]{4})", "$1***$2"),
+    (r"(?i)Bearer\s+([a-zA-Z0-9\-_.])", "Bearer $1"),
+    (r"(Bearer [a-zA-Z0-9\-_.]{4})[a-zA-Z0-9\-_.]+([a-zA-Z0-9\-_.]{4})", "$1***$2"),
+    (r"(?i)Basic\s+([A-Za-z0-9+/=]{4})[A-Za-z0-9+/=]{12,}([A-Za-z0-9+/=]{4})", "Basic $1***$2"),
+    (rf"(?i)([?&](?:{'|'.join(SECRET_PARAMETERS)})=[^&\s]{{2}})[^&\s]{{5,}}([^&\s]{{2}})", "$1***$2"),
+    (r"(?i)(password|pwd)\s*=\s*[^\s&]+", "$1=***REDACTED***"),
+    (r"://([^:]+):([^@]+)@", "://$1:***REDACTED***@"),
 )
 
 
+#: What every text has that a rule of `MASKS` matches: a word one of them begins with, an equals sign, an address with an at sign, or a long run.
+MASKED = r"(?i)sk-|cookie|authorization|bearer|basic|=|://[^@]*@|[a-z0-9]{32}"
+
+
 def mask_secrets(message: Column, longest: int = 500) -> Column:
-    """Masks keys, headers, parameters and passwords by `MASKS`, and cuts what is longer than `longest`. A masked message is computed once."""
+    """Masks keys, headers, parameters and passwords by `MASKS`, and cuts what is longer than `longest`. A masked message is computed once.
+
+    Messages that no rule can match (`MASKED`) are not searched rule by rule.
+    """
     m = message
     for pattern, by in MASKS:
-        m = F.regexp_replace(m, pattern, by.replace("1", "$1").replace("2", "$2"))
+        m = F.regexp_replace(m, pattern, by)
+    m = F.when(message.rlike(MASKED), m).otherwise(message)
     cut = lambda x: F.when(F.length(x) > longest, F.concat(F.left(x, F.lit(longest)), F.lit("... [truncated]"))).otherwise(x)
     return F.get(F.transform(F.array(m), cut), F.lit(0))
 

@@ -25,6 +25,26 @@ def bilingual(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("vide
     return joined.select(*keys, "pos", "start", "end", F.when(F.col("_other").isNull(), F.col("text")).otherwise(F.concat("text", F.lit("\n"), "_other")).alias("text"), F.col("_other").isNotNull().alias("matched"))
 
 
+def overlapping(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("video_id",), bucket_ms: int = 10_000) -> DataFrame:
+    """Each source cue (`keys`, pos, start_ms, end_ms, text) with the texts of all target cues that overlap it in time, in the order of their starts.
+
+    Both sides are dealt into buckets of `bucket_ms`, a cue into each one it touches, so a cue has one row per bucket and only
+    meets cues of its buckets; a pair that shares several counts in the one where its overlap begins. Cues that end before they start, or
+    when they start, overlap nothing.
+    """
+    keys = list(keys)
+    touched = F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor((F.col("end_ms") - 1) / bucket_ms))).alias("_bucket")
+    lasting = F.col("start_ms") < F.col("end_ms")
+    a = source.where(lasting).select(*keys, "pos", "start_ms", "end_ms", touched)
+    b = target.where(lasting).select(*keys, F.col("pos").alias("_pos"), F.col("start_ms").alias("_start"), F.col("end_ms").alias("_end"), F.col("text").alias("_text"), touched)
+    meet = (F.col("start_ms") < F.col("_end")) & (F.col("_start") < F.col("end_ms")) & (F.floor(F.greatest("start_ms", "_start") / bucket_ms) == F.col("_bucket"))
+    found = a.join(b, [*keys, "_bucket"]).where(meet)
+    ordered = F.array_sort(F.collect_list(F.struct("_start", "_pos", "_text")))
+    texts = found.groupBy(*keys, "pos").agg(F.array_join(F.transform(ordered, lambda x: x["_text"]), " ").alias("other"), F.count("*").alias("n_overlaps"))
+    joined = source.join(texts, [*keys, "pos"], "left")
+    return joined.select(*keys, "pos", "start_ms", "end_ms", "text", "other", F.coalesce("n_overlaps", F.lit(0)).alias("n_overlaps"))
+
+
 def bilingual_text(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """The joined texts of each video, blank ones left out, apart by blank lines."""
     rows = bilingual(source, target, keys).where(F.btrim("text", F.lit(" \t\n\r")) != "")
@@ -119,10 +139,16 @@ def strategy(targets: DataFrame, tracks: DataFrame, mode: str = "official_first"
 
     `targets`: video_id, target, original_lang. `tracks`: video_id, lang, pos. Exact codes come before matching ones.
     """
-    listed = tracks.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lang"))).alias("_tracks"))  # a video's tracks
-    joined = targets.join(listed, "video_id", "left").withColumn("_langs", F.transform("_tracks", lambda t: t["lang"]))
-    target = F.col("target")
-    official = F.coalesce(F.when(F.array_contains("_langs", target), target), F.get(F.filter("_langs", lambda x: matches(x, target)), F.lit(0)))
+    # codes are folded once per track and once per target, so that a comparison is one of strings
+    folded = lambda c: F.replace(F.lower(c), F.lit("_"), F.lit("-"))
+    track = F.struct("pos", "lang", folded(F.col("lang")).alias("low"), primary(F.col("lang")).alias("head"))
+    listed = tracks.groupBy("video_id").agg(F.array_sort(F.collect_list(track)).alias("_tracks"))  # a video's tracks
+    joined = targets.withColumn("_low", folded(F.col("target"))).withColumn("_head", primary(F.col("target"))).join(listed, "video_id", "left")
+    other = F.when(F.col("_low") == "zh-cn", "zh-tw").when(F.col("_low") == "zh-tw", "zh-cn").otherwise("")
+    joined = joined.withColumn("_other", other)  # the script that a Chinese target is told apart from
+    found = F.filter("_tracks", lambda t: (t["lang"] == F.col("target")) | ((t["head"] == F.col("_head")) & (t["low"] != F.col("_other"))))
+    exact = F.filter("_tracks", lambda t: t["lang"] == F.col("target"))
+    official = F.coalesce(F.get(exact, F.lit(0)), F.get(found, F.lit(0)))["lang"]
     joined = joined.withColumn("official", official)
     same = F.coalesce(matches(F.col("original_lang"), F.col("target")), F.lit(False))
     if mode == "ai_only":

@@ -37,10 +37,13 @@ def valid_proxy(proxy: Column) -> Column:
     return proxy.rlike(pattern) & F.lower(F.regexp_extract(proxy, pattern, 1)).isin(*SCHEMES) & ((port == "") | port.try_cast("long").between(1, 65535))
 
 
-def next_proxy(proxies: DataFrame, key: Sequence[str], now: Column, tries: Sequence[str] = (), cooldown_minutes: int = 10) -> DataFrame:
+def next_proxy(proxies: DataFrame, key: Sequence[str], now: Column, tries: DataFrame | None = None, cooldown_minutes: int = 10) -> DataFrame:
     """The proxy to use next per `key`: healthy ones first, then those whose cooldown is over, then healthy ones tried before, then the one
-    that fails least. `proxies`: proxy, pos, unhealthy, failed_at, failures, requests."""
-    tried = F.col("proxy").isin(*tries) if tries else F.lit(False)
+    that fails least. `proxies`: proxy, pos, unhealthy, failed_at, failures, requests; `tries`: a table of those tried before (proxy)."""
+    tried = F.lit(False)
+    if tries is not None:
+        proxies = proxies.join(tries.select("proxy").distinct().withColumn("_tried", F.lit(True)), "proxy", "left")
+        tried = F.col("_tried").isNotNull()
     over = F.col("unhealthy") & (F.col("failed_at") + F.make_dt_interval(mins=F.lit(cooldown_minutes)) <= now)
     tier = F.when(~F.col("unhealthy") & ~tried, 1).when(over & ~tried, 2).when(~F.col("unhealthy"), 3).otherwise(4)
     rate = F.when(F.col("requests") > 0, F.col("failures") / F.col("requests")).otherwise(-1.0)

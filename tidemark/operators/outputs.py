@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.texts import clock
+from tidemark.operators.align import bilingual
 from tidemark.operators.cues import parse_for_output, render, to_text
 
 
@@ -43,6 +44,17 @@ def write_documents(documents: DataFrame, path: str, content: str = "content", b
     (rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")).text(path)
 
 
+def write_named(documents: DataFrame, path: str, file: Column, content: str = "content", overwrite: bool = False) -> None:
+    """One file per row below `path`, with the name in `file` and the text in `content`; what lies there stays unless `overwrite`.
+
+    Files come into being together when the job ends well; a failed one leaves none.
+    """
+    from tidemark.sources.named_files import NamedFiles
+
+    documents.sparkSession.dataSource.register(NamedFiles)
+    documents.select(file.alias("file"), F.col(content).alias("content")).write.format("named_files").mode("append").option("path", path).option("replace", str(overwrite).lower()).save()
+
+
 def chunk_files(chunks: DataFrame, existing: DataFrame, key: str = "video_id") -> DataFrame:
     """`key`, file, content of the chunks (`key`, chunk_index, content) whose file is not among the `existing` ones (`key`, file)."""
     named = chunks.select(key, F.format_string("chunk_%04d.srt", F.col("chunk_index").cast("long")).alias("file"), "content")
@@ -65,6 +77,17 @@ def clear_archive(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], "value string").write.mode("overwrite").text(path)
 
 
+def _bilingual(made: DataFrame, code: str) -> DataFrame:
+    """video_id, _stem, content: files (video_id, lang, content) with their translation (_other) below each cue that has the same times there."""
+    keys = ["video_id", "lang"]
+    each = lambda c: made.select(*keys, F.posexplode(parse_for_output(F.col(c))).alias("pos", "_c")).select(*keys, "pos", "_c.index", "_c.start", "_c.end", "_c.text")
+    met = bilingual(each("content"), each("_other"), keys).select(*keys, "pos", "start", "end", "text")
+    cue = F.struct("pos", (F.col("pos") + 1).alias("index"), "start", "end", "text")
+    files = met.groupBy(*keys).agg(render(F.array_sort(F.collect_list(cue))).alias("content"))
+    every = made.select(*keys).join(files, keys, "left")  # a file without cues has an empty one
+    return every.select("video_id", F.concat(F.lit("bilingual."), "lang", F.lit(f"-{code}")).alias("_stem"), F.coalesce("content", F.lit("")).alias("content"))
+
+
 def artifacts(videos: DataFrame, files: DataFrame, languages: Sequence[str], translate: Callable[[Column, str], Column], text_format: str = "both") -> DataFrame:
     """video_id, file, content: what an item's output holds, from `files` (video_id, lang, content: the original as SRT, summary, metadata).
 
@@ -77,9 +100,7 @@ def artifacts(videos: DataFrame, files: DataFrame, languages: Sequence[str], tra
     for code in languages:
         made = original.select("video_id", "lang", "content", translate(F.col("content"), code).alias("_other"))
         kinds.append(made.select("video_id", F.lit(f"translated.{code}").alias("_stem"), F.col("_other").alias("content")))
-        both = F.arrays_zip(parse_for_output(F.col("content")).alias("a"), parse_for_output(F.col("_other")).alias("b"))
-        cue = F.transform(both, lambda z: F.struct(z["a"]["index"].alias("index"), z["a"]["start"].alias("start"), z["a"]["end"].alias("end"), F.concat_ws("\n", z["a"]["text"], z["b"]["text"]).alias("text")))
-        kinds.append(made.select("video_id", F.concat(F.lit("bilingual."), "lang", F.lit(f"-{code}")).alias("_stem"), render(cue).alias("content")))
+        kinds.append(_bilingual(made, code))
     stems = kinds[0]
     for k in kinds[1:]:
         stems = stems.unionByName(k)

@@ -10,6 +10,7 @@ from tidemark.operators import outputs, providers
 from tidemark.plans.registry import query
 from tidemark.sources import carriers as C
 from tidemark.sources.carriers import with_
+from tidemark.sources.places import place
 
 _NL = "chr(10)"
 _CLOCK = "CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END"
@@ -75,3 +76,15 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = C.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
     there = turns.where((F.col("conv_id") + F.col("chunk_index")) % 4 == 0).select("conv_id", F.format_string("chunk_%04d.srt", F.col("chunk_index").cast("long")).alias("file"))
     return outputs.chunk_files(turns, there, "conv_id")
+
+
+@query("SELECT conv_id || '/' || printf('chunk_%04d.srt', turn) AS file, text AS content FROM conversations")
+def chunk_file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as files of their own, a part of which lay there before, read back."""
+    path = place(spark, "files")
+    turns = C.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.format_string("chunk_%04d.srt", F.col("chunk_index").cast("long")))
+    outputs.write_named(turns.where("(conv_id + chunk_index) % 4 = 0"), path, name)
+    outputs.write_named(turns.withColumn("content", F.when(F.expr("(conv_id + chunk_index) % 4 = 0"), "written again").otherwise(F.col("content"))), path, name)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").load(path)
+    return files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.col("content").cast("string").alias("content"))

@@ -54,15 +54,12 @@ def proxy_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.next_proxy(_proxies(spark, sf_dir), ["pool"], F.expr("timestamp_ntz '2024-01-20 00:00:00'"))
 
 
-#: Proxies of the first three pools, and the first ones of the others.
-_TRIED = tuple(str(i) for i in range(2000) if i % 5 < 3 or i < 60)
-
-
 @query(f"""WITH {_POOL}, x AS (SELECT *, (user_id < 60 OR user_id < 2000 AND user_id % 5 < 3) AS tried FROM p), y AS (SELECT *, CASE WHEN NOT unhealthy AND NOT tried THEN 1 WHEN unhealthy AND NOT tried AND failed_at + INTERVAL 10 MINUTE <= TIMESTAMP '2024-01-20' THEN 2 WHEN NOT unhealthy THEN 3 ELSE 4 END AS tier FROM x)
 SELECT pool, user_id::VARCHAR AS proxy, tier FROM y QUALIFY row_number() OVER (PARTITION BY pool ORDER BY tier, CASE tier WHEN 3 THEN failures::DOUBLE WHEN 4 THEN failures::DOUBLE / requests ELSE 0 END, user_id) = 1""")
 def proxy_next_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proxy that each pool uses next where some have been tried before."""
-    return M.next_proxy(_proxies(spark, sf_dir), ["pool"], F.expr("timestamp_ntz '2024-01-20 00:00:00'"), _TRIED)
+    tried = _events(spark, sf_dir).where("user_id < 60 or user_id < 2000 and user_id % 5 < 3").select(F.col("user_id").cast("string").alias("proxy"))
+    return M.next_proxy(_proxies(spark, sf_dir), ["pool"], F.expr("timestamp_ntz '2024-01-20 00:00:00'"), tried)
 
 
 @query(f"WITH {_POOL} SELECT pool, count_if(NOT unhealthy) AS healthy, count_if(unhealthy) AS unhealthy, count_if(tier = 2) AS retryable FROM r GROUP BY pool")
@@ -182,6 +179,23 @@ def lang_provider_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.lang_codes(spark, sf_dir).select("doc_id", languages.provider_code(c).alias("provider_code"), languages.normalize_chinese(c, F.lit(None).cast("string")).alias("chinese"))
 
 
+_COUNT = "(length(content) - length(translate(content, '{0}', '')))"
+_SIMPLE, _FULL = _COUNT.format(languages.SIMPLIFIED), _COUNT.format(languages.TRADITIONAL)
+
+
+@query(f"""WITH d AS (SELECT doc_id, ['zh', 'zh-Hant', 'ZH', 'en'][doc_id % 4 + 1] AS code, CASE doc_id % 5 WHEN 0 THEN left('{languages.SIMPLIFIED}', (doc_id % 40)::INT) || left(text, 50) WHEN 1 THEN left('{languages.TRADITIONAL}', (doc_id % 40)::INT) || text WHEN 2 THEN left('{languages.SIMPLIFIED}', 20) || left('{languages.TRADITIONAL}', 20) WHEN 3 THEN text END AS c FROM documents
+), n AS (SELECT doc_id, code, coalesce(c, '') AS content FROM d
+), v AS (SELECT *, {_SIMPLE} AS s, {_FULL} AS t FROM n)
+SELECT doc_id, code, CASE lower(code) WHEN 'zh-hant' THEN 'zh-TW' WHEN 'zh' THEN CASE WHEN s + t < 10 THEN 'zh-CN' WHEN s::DOUBLE / (s + t) > 0.7 THEN 'zh-CN' WHEN s::DOUBLE / (s + t) < 0.3 THEN 'zh-TW' ELSE 'zh-CN' END ELSE code END AS chinese FROM v""")
+def chinese_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bare code for Chinese by the script of what is written."""
+    k, n = F.col("doc_id") % 5, (F.col("doc_id") % 40).cast("int")
+    simple, full = F.lit(languages.SIMPLIFIED), F.lit(languages.TRADITIONAL)
+    content = F.when(k == 0, F.concat(F.left(simple, n), F.left("text", F.lit(50)))).when(k == 1, F.concat(F.left(full, n), "text")).when(k == 2, F.concat(F.left(simple, F.lit(20)), F.left(full, F.lit(20)))).when(k == 3, F.col("text"))
+    code = F.element_at(F.array(F.lit("zh"), F.lit("zh-Hant"), F.lit("ZH"), F.lit("en")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return C.table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), languages.normalize_chinese(code, content).alias("chinese"))
+
+
 @query(with_("videos") + ", t AS (SELECT video_id, unnest(['en', 'zh-CN', 'de']) AS lang FROM videos), f AS (SELECT unnest(['srt', 'txt']) AS ext) SELECT video_id, 'translated.' || lang || '.' || ext AS file FROM t, f UNION ALL SELECT video_id, 'original.' || original_lang || '.srt' FROM videos WHERE has_original UNION ALL SELECT video_id, 'metadata.json' FROM videos")
 def artifact_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file that an item's output has."""

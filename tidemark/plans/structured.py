@@ -260,6 +260,16 @@ def summary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.select_summary(rows, "zh-CN")
 
 
+@query(with_("cues") + """, t AS (SELECT video_id, pos, start_ms + 150 + pos % 3 * 900 AS s, end_ms + pos % 4 * 700 AS e, 'at ' || pos AS text FROM cues WHERE pos % 5 <> 2), j AS (
+  SELECT c.video_id, c.pos, string_agg(t.text, ' ' ORDER BY t.s, t.pos) AS other, count(*) AS n FROM cues c JOIN t ON t.video_id = c.video_id AND c.start_ms < t.e AND t.s < c.end_ms AND t.s < t.e AND c.start_ms < c.end_ms GROUP BY 1, 2)
+SELECT c.video_id, c.pos, c.start_ms, c.end_ms, c.text, j.other, coalesce(j.n, 0) AS n_overlaps FROM cues c LEFT JOIN j ON j.video_id = c.video_id AND j.pos = c.pos""")
+def bilingual_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues with the texts of another file's cues that overlap them, where the two files are timed differently."""
+    cues_ = C.cues(spark, sf_dir).select("video_id", "pos", "start_ms", "end_ms", "text")
+    moved = cues_.where("pos % 5 <> 2").select("video_id", "pos", (F.col("start_ms") + 150 + F.col("pos") % 3 * 900).alias("start_ms"), (F.col("end_ms") + F.col("pos") % 4 * 700).alias("end_ms"), F.concat(F.lit("at "), F.col("pos").cast("string")).alias("text"))
+    return align.overlapping(cues_, moved)
+
+
 # --- sets and archives ------------------------------------------------------------------------------------------------------
 
 
@@ -339,6 +349,20 @@ def stage_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.withColumn("avg_ms", F.round("avg_ms", 3)).withColumn("share", F.round("share", 9))
 
 
+@query(f"""WITH {_EVENTS}, l AS (SELECT *, lag(kind) OVER w AS k0, lag(stage) OVER w AS s0, lag(ms) OVER w AS m0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT stage, count(*) AS n, true AS close FROM l WHERE kind = 'end' AND k0 = 'start' AND stage = s0 GROUP BY stage""")
+def stage_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations per stage: sketches of each day, merged; close: whether the merged median and ninth decile lie within 0.03 of these ranks."""
+    events = C.table(spark, sf_dir, "events")
+    stage = F.when(F.col("user_id") % 2 == 0, "translate").otherwise(F.col("event_type"))
+    rows = events.select("user_id", "event_id", F.to_date("ts").alias("day"), stage.alias("stage"), F.when(F.col("event_id") % 2 == 0, "start").otherwise("end").alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    took = state.stage_durations(rows, ["user_id"], ["event_id"]).select("stage", "day", "took")
+    merged = state.merged_quantiles(state.duration_sketches(took, ["stage", "day"]), ["stage"], [0.5, 0.9])
+    ranks = took.join(F.broadcast(merged), "stage").groupBy("stage", "n")  # a row per stage
+    off = lambda i, q: [F.avg((F.col("took") < F.col("quantiles")[i]).cast("double")) - q, q - F.avg((F.col("took") <= F.col("quantiles")[i]).cast("double"))]
+    return ranks.agg((F.greatest(*off(0, 0.5), *off(1, 0.9)) <= 0.03).alias("close"))
+
+
 @query("""WITH w AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events
 ), p AS (
   SELECT a.user_id, a.event_id, count(*) AS n, sum(b.value * (least(a.k, 10) - (a.k - b.k))) AS s FROM w a JOIN w b ON a.user_id = b.user_id AND b.k BETWEEN a.k - 9 AND a.k GROUP BY 1, 2)

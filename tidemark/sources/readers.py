@@ -10,7 +10,7 @@ from tidemark.functions.urls import channel_id, playlist_id, url_type, video_id
 #: A log line (fixed format): time, level, run, task, video, message.
 LOG_LINE = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3})\] \[([A-Z]+)\] \[run:([^\]]*)\] \[task:([^\]]*)\] \[video:([^\]]*)\] (.*)$"
 FAILURE = "video_id string, url string, stage string, error_type string, timestamp string, run_id string, reason string, channel_id string, channel_name string"
-ITEM = "video_id string, url string, title string, channel_id string, channel_name string, upload_date string, duration int, description string, _type string"
+ITEM = "video_id string, url string, title string, channel_id string, channel_name string, upload_date string, duration int, description string, _type string, playlist_id string"
 MANIFEST = "batch_id string, source string, videos map<string,struct<url:string,title:string,stage:string,error:string,error_type:string,retries:int,completed_chunks:array<int>,output_files:map<string,string>,started_at:string,updated_at:string>>"
 
 
@@ -33,9 +33,12 @@ def read_failures(spark: SparkSession, path: str) -> DataFrame:
 def read_items(spark: SparkSession, path: str, channel: bool = True, most: int | None = None) -> DataFrame:
     """Items of a landed scan, one JSON object a line. Of a channel: no playlists, no rows without id, empty fields as nulls.
 
+    playlist_id is the list that a row names, else the name of its file without the ending: scans of several lists may lie in one folder.
+
     With `most`, that many items of each channel at most, the latest uploads first, then by id.
     """
     rows = spark.read.schema(ITEM).option("mode", "DROPMALFORMED").json(path).where("video_id is not null and video_id != ''")
+    rows = rows.withColumn("playlist_id", F.coalesce(F.nullif("playlist_id", F.lit("")), F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[a-z]+)*$", 1)))
     if not channel:
         return rows
     filled = {c: F.nullif(F.col(c), F.lit("")) for c in ("channel_id", "channel_name", "title", "url")}
@@ -48,17 +51,16 @@ def read_items(spark: SparkSession, path: str, channel: bool = True, most: int |
 
 
 def read_by_url(spark: SparkSession, urls: DataFrame, landed: dict[str, str]) -> DataFrame | None:
-    """url_type, and the items of the landed scans (a path per kind: video, playlist, channel) that `urls` (url) ask for; None if none does."""
+    """url_type, and the items of the landed scans (a path per kind: video, playlist, channel) that `urls` (url) ask for; None without scans.
+
+    A video is asked for by its id, a channel's items by the channel's, a playlist's by the list's.
+    """
     kinds = urls.select(url_type(F.col("url")).alias("url_type"), F.coalesce(video_id(F.col("url")), playlist_id(F.col("url")), channel_id(F.col("url"))).alias("_asked")).distinct()
     found = None
     for kind, path in landed.items():
-        rows = read_items(spark, path, channel=kind != "video")
-        asked = kinds.where(F.col("url_type") == kind)
-        if asked.isEmpty():
-            continue
-        key = {"video": "video_id", "channel": "channel_id"}.get(kind)  # a playlist's scan holds its items alone
-        part = rows.join(asked.select(F.col("_asked").alias(key)), key, "left_semi") if key else rows
-        part = part.select(F.lit(kind).alias("url_type"), "*")
+        key = {"video": "video_id", "channel": "channel_id", "playlist": "playlist_id"}[kind]
+        asked = kinds.where(F.col("url_type") == kind).select(F.col("_asked").alias(key))
+        part = read_items(spark, path, channel=kind != "video").join(asked, key, "left_semi").select(F.lit(kind).alias("url_type"), "*")
         found = part if found is None else found.unionByName(part)
     return found
 

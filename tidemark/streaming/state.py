@@ -1,4 +1,4 @@
-"""Streams over landed rows: the last stage of each item, failure runs of a proxy, incremental processing, log tails.
+"""Streams over landed rows: the last stage of each item, incremental processing, log tails.
 
 A stream is drained with the trigger `availableNow`; what a bounded queue does elsewhere, limits on the source do here. Keyed state
 lives in Spark's state store and survives restarts through the checkpoint.
@@ -6,13 +6,11 @@ lives in Spark's state store and survives restarts through the checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.sources.readers import parse_log
@@ -28,19 +26,6 @@ def latest_stage(updates: DataFrame) -> DataFrame:
     return updates.groupBy("video_id").agg(F.max_by("stage", "seq").alias("stage"), F.count("*").alias("updates"), F.min("seq").alias("started"))
 
 
-def failure_runs(events: DataFrame, threshold: int = 5) -> DataFrame:
-    """proxy, consecutive, failures, unhealthy after each batch, from a stream of (proxy, seq, ok)."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        run, total = held.get if held.exists else (0, 0)
-        for ok in pd.concat(list(batches)).sort_values("seq")["ok"]:
-            run, total = (0, total) if ok else (run + 1, total + 1)
-        held.update((run, total))
-        yield pd.DataFrame({"proxy": [key[0]], "consecutive": [run], "failures": [total], "unhealthy": [run >= threshold]})
-
-    return events.groupBy("proxy").applyInPandasWithState(step, "proxy long, consecutive long, failures long, unhealthy boolean", "run long, total long", "update", GroupStateTimeout.NoTimeout)
-
-
 def tail_log(lines: DataFrame) -> DataFrame:
     """Lines per task and level of a stream of log lines (value)."""
     return parse_log(lines).groupBy("task", "level").agg(F.count("*").alias("n"))
