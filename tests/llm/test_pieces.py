@@ -19,3 +19,19 @@ def test_pieces_hold_all_rows(size, kind):
     for p in got:
         lengths = [len((t or "").encode()) for t in p.column(1).to_pylist()]
         assert sum(lengths) - max(lengths) <= size
+
+
+def test_a_scope_removes_tables(spark, tmp_path):
+    import os
+
+    from tidemark.llm.common import materialise, scope
+
+    there = lambda table: os.path.exists(table._written_at.removeprefix("file://"))
+    with scope() as held:
+        one = materialise(spark.range(3), "one")
+        kept = materialise(one, "kept", keep=True)
+        with pytest.raises(RuntimeError), scope():
+            two = materialise(spark.range(3), "two")
+            raise RuntimeError
+        assert held == [one] and there(one) and not there(two)
+    assert not there(one) and there(kept) and kept.count() == 3

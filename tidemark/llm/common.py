@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,16 +37,34 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Removes, at its end, the tables that operators materialise inside. Write a result before the scope that it comes of ends."""
+    held: list[DataFrame] = []
+    token = _scopes.set((*_scopes.get(), held))
+    try:
+        yield held
+    finally:
+        _scopes.reset(token)
+        release(*held)
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: what is read later no longer depends on shuffle files of executors that may be lost, and
-    Python stages behind it run once however often the table is read. release() removes the table.
+    Python stages behind it run once however often the table is read. release(), or the end of a scope() unless it is to
+    `keep`, removes the table.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_at = path
+    if _scopes.get() and not keep:
+        _scopes.get()[-1].append(table)
     return table
 
 
