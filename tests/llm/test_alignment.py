@@ -109,6 +109,14 @@ def test_groups_as_text(spark):
     assert sum(row["times"]) == row["n_links"]
 
 
-def test_cuts():
-    a, b, closes = token_alignment.cuts(np.array([2, 5, 9]), np.array([5, 6, 9]))
-    assert list(zip(a.tolist(), b.tolist(), closes.tolist(), strict=True)) == [(0, 0, False), (1, 0, True), (2, 1, False), (2, 2, True)]
+def test_merge():
+    at, a, b, closes = token_alignment.merge(np.array([2, 5, 9]), np.array([5, 6, 9]), 9)
+    assert list(zip(at.tolist(), a.tolist(), b.tolist(), closes.tolist(), strict=True)) == [(2, 0, 0, False), (5, 1, 0, True), (6, 2, 1, False), (9, 2, 2, True)]
+
+
+def test_texts_together_and_apart_agree():
+    both = token_alignment.Aligner(tokenizer(A), tokenizer(B))
+    texts = [r[1] or "" for r in rows()] + ["one two three", "ünï cödé 😀", "a\nb c", "a▁b"]
+    together = [(n, g, x.tolist()) for n, g, x in both.run(texts)]
+    assert together == [(n, g, x.tolist()) for t in texts for n, g, x in both.run([t])]
+    assert list(both.run([])) == []

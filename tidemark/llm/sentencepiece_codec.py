@@ -40,9 +40,9 @@ _codecs: dict[str, Codec] = {}
 
 
 class Codec:
-    """A model with its table of distinct chunks."""
+    """A model with its table of distinct chunks; one that does not decode gives no texts."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, decodes: bool = True):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=model_path)
@@ -50,7 +50,7 @@ class Codec:
         crosses = any(MARK in p.lstrip(MARK) for p in pieces)
         bytes_of_any = sum(self.model.is_byte(i) for i in range(len(pieces))) == 256  # else unknown neighbours share one id
         marked = self.model.normalize(_ODD) == f"{MARK}{_ODD}" and self.model.decode(self.model.encode("  a b")) == "  a b"
-        self.by_chunk = bytes_of_any and marked and not crosses
+        self.by_chunk, self.decodes = bytes_of_any and marked and not crosses, decodes
         self.clear()
 
     def clear(self) -> None:
@@ -63,9 +63,10 @@ class Codec:
     def learn(self, chunks: list[str]) -> None:
         """Segments chunks that the table does not have; the library itself puts the first marker back."""
         ids = [x if c else [self.model.piece_to_id(MARK)] for c, x in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]  # an empty text has no marker
-        decoded = self.model.decode(ids, num_threads=1)
-        self.same = np.append(self.same, [a == b for a, b in zip(chunks, decoded, strict=True)])
-        self.decoded += decoded
+        if self.decodes:
+            decoded = self.model.decode(ids, num_threads=1)
+            self.same = np.append(self.same, [a == b for a, b in zip(chunks, decoded, strict=True)])
+            self.decoded += decoded
         self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks)), strict=True))
         self.counts = np.append(self.counts, [len(x) for x in ids]).astype(np.int64)
         self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids), np.int32))
@@ -83,7 +84,7 @@ class Codec:
         """Number of ids of each text, all ids, and the decoded texts."""
         if not self.by_chunk:
             ids = self.model.encode(texts, num_threads=1)
-            return np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.int32), self.model.decode(ids, num_threads=1)
+            return np.array([len(x) for x in ids], np.int64), np.fromiter(chain.from_iterable(ids), np.int32), self.model.decode(ids, num_threads=1) if self.decodes else []
         if self.chars > TABLE_CHARS:
             self.clear()
         parts = [self.chunks(t) for t in texts]
@@ -94,8 +95,10 @@ class Codec:
             found = map(self.index.__getitem__, flat)
         at = np.fromiter(found, np.int64, len(flat))
         ends = np.cumsum([len(p) for p in parts])
-        changed = np.r_[0, np.cumsum(~self.same[at])][np.r_[0, ends]]
-        back = [t if c == 0 and (p or not t) else " ".join([self.decoded[self.index[x]] for x in p]) for t, p, c in zip(texts, parts, np.diff(changed).tolist(), strict=True)]
+        back = []
+        if self.decodes:
+            changed = np.r_[0, np.cumsum(~self.same[at])][np.r_[0, ends]]
+            back = [t if c == 0 and (p or not t) else " ".join([self.decoded[self.index[x]] for x in p]) for t, p, c in zip(texts, parts, np.diff(changed).tolist(), strict=True)]
         counts = self.counts[at]
         upto = np.r_[0, np.cumsum(counts)]
         ids = self.ids[np.repeat(self.starts[at] - upto[:-1], counts) + np.arange(upto[-1])]

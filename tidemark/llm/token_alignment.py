@@ -1,14 +1,15 @@
 """Alignment of two tokenizers over the same texts.
 
 A text with a space before it is cut twice, by a byte-level BPE (A) and by a SentencePiece model (B). Both cuts are lists of byte
-offsets at which tokens end; one pass over the two sorted lists, inside mapInArrow, yields
-* groups: stretches between offsets at which both sides end a token, and
-* links: pairs of tokens whose byte ranges overlap. Every offset at which either side ends a token closes one link, so a text
-  has as many links as it has distinct offsets.
+offsets at which tokens end. Inside mapInArrow the two lists are merged with one pointer into each: at every offset where either
+side ends a token, the pointers name the pair of tokens in front of it, and those that end there move on. So
+* links, pairs of tokens whose byte ranges overlap, are one per distinct offset, and
+* groups are the stretches between offsets where both pointers move.
+The merge runs over all texts of a piece at once: pointers are running counts of ends, and texts end in common offsets.
 
 Each row keeps its distinct id pairs with how often they are linked; that table is written once. Spark counts in how many
 documents each pair occurs (combined before the shuffle), takes the highest count of each id on either side, and joins both
-back to the rows' pairs: pairs that many rows hold go to every worker (fewer than `COMMON`), all others are shuffled.
+back to the rows' pairs: pairs that many rows hold go to every worker (fewer than `COMMON`), rows of all others are shuffled.
 
 Tokens' bytes: an entry of A is decoded from its byte-level letters; a piece of B is its UTF-8 with U+2581 as a space, and <0xHH> is
 that byte. Strings of special tokens inside texts are plain text.
@@ -29,64 +30,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import lookup, materialise, text_of
+from tidemark.llm.common import materialise, text_of
 from tidemark.llm.pieces import pieces
 from tidemark.llm.sentencepiece_codec import MARK, Codec
 from tidemark.llm.token_files import WordTable
 
-#: Bytes of text that are aligned at once.
-SLICE_BYTES = 500_000
+#: Bytes of text that are aligned at once, and characters of distinct words that a worker holds of A before it starts a new table.
+SLICE_BYTES, TABLE_CHARS = 500_000, 4_000_000
 #: Pairs that more than one in so many (row, pair) have go to every worker; there are fewer than that.
-COMMON = 50_000
+COMMON = 200_000
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of two cuts of the same bytes: index in A, index in B of each, and whether a group ends with it.
+def merge(ends_a: np.ndarray, ends_b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of two cuts of the same `size` bytes: where each ends, its index in A and in B, and whether a group ends there, too."""
+    in_a, in_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+    in_a[ends_a] = in_b[ends_b] = True
+    at = np.flatnonzero(in_a | in_b)
+    a, b = in_a[at], in_b[at]
+    return at, np.cumsum(a) - a, np.cumsum(b) - b, a & b
 
-    The ends of both are merged in order; between two neighbours of the merged list lies one token of each side.
-    """
-    merged = np.union1d(ends_a, ends_b)
-    a, b = np.searchsorted(ends_a, merged), np.searchsorted(ends_b, merged)
-    return a, b, (ends_a[a] == merged) & (ends_b[b] == merged)
+
+class Entries:
+    """The bytes of a vocabulary's entries."""
+
+    def __init__(self, entries: list[bytes]):
+        self.size = np.array([len(x) for x in entries], np.int64)
+        self.start, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(entries), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of these entries, one behind the other."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Aligner:
-    """Two tokenizers, the bytes of their entries, and the tables of words they have met."""
+    """Two tokenizers and the bytes of their entries."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = WordTable(path_a, plain=True), Codec(path_b)
+        self.a, self.b = WordTable(path_a, plain=True, most=TABLE_CHARS), Codec(path_b, decodes=False)
         letters = {v: k for k, v in self.a.printable.items()}
         byte = lambda c: letters.get(c, ord(c) & 255)
-        entries = [self.a.model.id_to_token(i) or "" for i in range(self.a.vocabulary)]
-        self.bytes_a = [bytes(map(byte, e)) for e in entries]
+        self.entries_a = Entries([bytes(map(byte, self.a.model.id_to_token(i) or "")) for i in range(self.a.vocabulary)])
         model = self.b.model
-        pieces_b = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces_b)]
-        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.entries_b = Entries([bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)])
         # decimal ids with what stands behind them: inside a side, at its end
-        self.n = len(entries)
-        self.shown = [f"{i}{end}" for end in ",|" for i in range(self.n)] + [f"{i}{end}" for end in ",;" for i in range(len(pieces_b))]
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both sides per text; none where either does not give back the bytes of a space and the text."""
-        counts, flat, _ = self.b.run(texts)
-        a, b = self.a.run(texts, spaced=True), np.split(flat.astype(np.int64), np.cumsum(counts)[:-1]) if len(texts) else []
-        none = np.empty(0, np.int64)
-        for i, t in enumerate(texts):
-            raw = b" " + t.encode("utf-8", "surrogatepass")
-            if not t or b"".join(map(self.bytes_a.__getitem__, a[i].tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b[i].tolist())) != raw:
-                a[i] = b[i] = none
-        return a, b
-
-    def groups(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, both: np.ndarray) -> str:
-        """The groups of one text as `a1,a2|b1;a3|b2,b3`; `both` are the offsets where groups end."""
-        last_a, last_b = np.isin(ends_a, both, assume_unique=True), np.isin(ends_b, both, assume_unique=True)
-        group = np.r_[np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b]
-        code = np.r_[a + self.n * last_a, 2 * self.n + b + len(self.bytes_b) * last_b]
-        order = np.argsort(2 * group + np.r_[np.zeros(len(a), np.int64), np.ones(len(b), np.int64)], kind="stable")
-        return "".join(map(self.shown.__getitem__, code[order].tolist()))[:-1]
+        self.n, self.m = self.a.vocabulary, len(names)
+        self.shown = [f"{i}{end}" for end in ",|" for i in range(self.n)] + [f"{i}{end}" for end in ",;" for i in range(self.m)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts both sides give back, the ends of these (bytes), their ids by A and B, and the numbers of these."""
+        raw = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
+        length = np.array([len(x) for x in raw], np.int64)
+        by_a = self.a.run(texts, spaced=True)
+        count_b, ids_b, _ = self.b.run(texts)
+        count_a, ids_a, ids_b = np.array([len(x) for x in by_a], np.int64), np.concatenate(by_a) if by_a else np.empty(0, np.int64), ids_b.astype(np.int64)
+        good = np.array([bool(t) for t in texts], bool)
+        for entries, ids, counts in ((self.entries_a, ids_a, count_a), (self.entries_b, ids_b, count_b)):
+            upto = np.r_[0, np.cumsum(entries.size[ids])][np.cumsum(counts)] if len(counts) else np.empty(0, np.int64)
+            good &= np.diff(np.r_[0, upto]) == length
+        # of those of the right length, all bytes
+        wanted = np.frombuffer(b"".join(raw), np.uint8)[np.repeat(good, length)]
+        for entries, ids, counts in ((self.entries_a, ids_a, count_a), (self.entries_b, ids_b, count_b)):
+            other = entries.joined(ids[np.repeat(good, counts)]) != wanted
+            if other.any():
+                wrong = np.flatnonzero(good)[np.unique(np.searchsorted(np.cumsum(length[good]), np.flatnonzero(other), side="right"))]
+                return self.encode([t if i not in set(wrong.tolist()) else "" for i, t in enumerate(texts)])
+        return good, np.cumsum(length[good]), ids_a[np.repeat(good, count_a)], ids_b[np.repeat(good, count_b)], count_a[good], count_b[good]
+
+    def run(self, texts: list[str]) -> Iterator[tuple[tuple[int, int, int, int], str, np.ndarray]]:
+        """Numbers (of A, of B, groups, links), groups and links (id of A * 2^32 + id of B) of each text."""
+        if not texts:
+            return
+        good, ends, a, b, count_a, count_b = self.encode(texts)
+        if good.any():
+            at, i, j, closes = merge(np.cumsum(self.entries_a.size[a]), np.cumsum(self.entries_b.size[b]), int(ends[-1]))
+            links = a[i] << 32 | b[j]
+            group = np.cumsum(closes) - closes
+            last_i, last_j = np.r_[i[1:] != i[:-1], True], np.r_[j[1:] != j[:-1], True]  # the link with which a token ends
+            group_a, group_b = group[last_i], group[last_j]
+            before = np.searchsorted(group_b, group_a), np.searchsorted(group_a, group_b, side="right")  # tokens of the other side in front
+            codes = np.empty(len(a) + len(b), np.int64)
+            codes[np.arange(len(a)) + before[0]] = a + self.n * closes[last_i]
+            codes[np.arange(len(b)) + before[1]] = 2 * self.n + b + self.m * closes[last_j]
+            link_end, token_end = np.searchsorted(at, ends, side="right"), np.cumsum(count_a + count_b)
+            groups = np.diff(np.r_[0, np.cumsum(closes)[link_end - 1]])
+            codes, k, link_from, token_from = codes.tolist(), 0, 0, 0
+        for ok in good.tolist():
+            if not ok:
+                yield (0, 0, 0, 0), "", np.empty(0, np.int64)
+                continue
+            text = "".join(map(self.shown.__getitem__, codes[token_from : token_end[k]]))[:-1]
+            mine = links[link_from : link_end[k]]
+            yield (int(count_a[k]), int(count_b[k]), int(groups[k]), len(mine)), text, mine
+            link_from, token_from, k = link_end[k], token_end[k], k + 1
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -107,24 +147,14 @@ def links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for part in pieces(batches, 1, SLICE_BYTES):
-            all_a, all_b = both.encode(part.column(1).to_pylist())
             numbers, digests, groups, pairs, times = [], [], [], [], []
-            for a, b in zip(all_a, all_b, strict=True):
-                if not len(a):
-                    numbers.append((0, 0, 0, 0))
-                    digests.append("")
-                    groups.append("")
-                    pairs.append(np.empty(0, np.int64))
-                    times.append(np.empty(0, np.int32))
-                    continue
-                ends_a, ends_b = np.cumsum(both.size_a[a]), np.cumsum(both.size_b[b])
-                at_a, at_b, closes = cuts(ends_a, ends_b)
-                text = both.groups(a, b, ends_a, ends_b, ends_a[at_a[closes]])
-                numbers.append((len(a), len(b), int(closes.sum()), len(at_a)))
-                digests.append(hashlib.sha256(text.encode()).hexdigest())
-                groups.append(text)
-                found, k = np.unique((a[at_a] << 32) | b[at_b], return_counts=True)
-                pairs.append(found)
+            for n, text, found in both.run(part.column(1).to_pylist()):
+                numbers.append(n)
+                digests.append(hashlib.sha256(text.encode()).hexdigest() if len(found) else "")
+                if whole_groups:
+                    groups.append(text)
+                distinct, k = np.unique(found, return_counts=True)
+                pairs.append(distinct)
                 times.append(k.astype(np.int32))
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in pairs])].astype(np.int32))
             columns = [pa.array(c, number) for c in np.array(numbers, np.int64).reshape(-1, 4).T]
@@ -158,10 +188,16 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     linked = links(docs, path_a, path_b, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     linked = materialise(linked, "token-links")
     ranked = materialise(ranked_pairs(materialise(pair_counts(linked), "pair-counts")), "ranked-pairs")
+    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = F.col("n") * COMMON > total
+    often = F.broadcast(ranked.where(common).select("pair", "count", "best_a", "best_b"))  # fewer than COMMON rows
+    seldom = ranked.where(~common).select("pair", "count", "best_a", "best_b")
     each = linked.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
-    met = lookup(each, ranked.select("pair", "n", "count", "best_a", "best_b"), "pair", F.col("row"), hot=COMMON)
     times = F.col("times").cast("long")
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("best_a"), times).otherwise(0)).alias("n_best"), F.sum(F.when(F.col("best_b"), times).otherwise(0)).alias("n_best_b"), F.sum(times * F.col("count")).alias("count_sum"))
+    of = lambda met: met.groupBy("row").agg(F.sum(F.when(F.col("best_a"), times).otherwise(0)).alias("n_best"), F.sum(F.when(F.col("best_b"), times).otherwise(0)).alias("n_best_b"), F.sum(times * F.col("count")).alias("count_sum"))
+    # common pairs never leave their task; of the others, a pair is in a small share of rows, so a merge join at every size
+    sums = of(each.join(often, "pair")).unionByName(of(each.join(often.select("pair"), "pair", "left_anti").join(seldom.hint("merge"), "pair")))
+    sums = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_best", "n_best_b", "count_sum")])
     found = linked.drop("pairs", "times").join(sums, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("n_best_b"), zero("count_sum"), "groups_sha256")

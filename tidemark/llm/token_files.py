@@ -54,9 +54,10 @@ _tables: dict[str, WordTable] = {}
 
 
 class WordTable:
-    """A byte-level BPE tokenizer with the words it has met; `plain`: added tokens inside texts are plain text."""
+    """A byte-level BPE tokenizer with the words it has met; `plain`: added tokens inside texts are plain text; a table of `most` characters."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, most: int = TABLE_CHARS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,7 +109,7 @@ class WordTable:
 
     def run(self, texts: list[str], spaced: bool = False) -> list[np.ndarray]:
         """The ids of each text; `spaced`: of a space and the text."""
-        if self.chars > TABLE_CHARS:
+        if self.chars > self.most:
             self.clear()
         parts = [t.split(" ") if self.by_word and t and not any(a in t for a in self.added) else [] for t in texts]
         if spaced:  # every word has a space before it
