@@ -68,6 +68,18 @@ def apply_blocks(blocks: DataFrame, answer: DataFrame, key: str = "video_id") ->
     return blocks.join(last, [key, "block_no"], "left").select(key, "block_no", F.coalesce("new", "text").alias("text"))
 
 
+def with_folded(tracks: DataFrame) -> DataFrame:
+    """`tracks` with _low and _head, their codes folded once, which hits() compares with."""
+    return tracks.withColumns({"_low": F.replace(F.lower("lang"), F.lit("_"), F.lit("-")), "_head": primary(F.col("lang"))})
+
+
+def hits(code: str) -> Column:
+    """matches() of a track's language (with_folded()) and a code, as one or two comparisons of strings."""
+    apart = {"zh-cn": "zh-tw", "zh-tw": "zh-cn"}.get(code.lower())
+    same = F.col("_head") == code.split("-")[0].lower()
+    return same & (F.col("_low") != apart) if apart else same
+
+
 def first_common(manual: Column, auto: Column, order: Sequence[str] = ORIGINAL) -> Column:
     """The source language: by priority among manual tracks, then among automatic ones, then the first there is."""
 
@@ -82,9 +94,8 @@ def source_languages(tracks: DataFrame) -> DataFrame:
     """video_id, lang: first_common() of each video's tracks (video_id, lang, is_auto, pos), by one aggregation."""
     rank = None
     for i, code in enumerate(ORIGINAL):
-        hit = matches(F.col("lang"), F.lit(code))
-        rank = F.when(hit, i) if rank is None else rank.when(hit, i)
-    ranked = tracks.select("video_id", "lang", "is_auto", "pos", rank.alias("_rank"))
+        rank = F.when(hits(code), i) if rank is None else rank.when(hits(code), i)
+    ranked = with_folded(tracks).select("video_id", "lang", "is_auto", "pos", rank.alias("_rank"))
     return ranked.groupBy("video_id").agg(F.min_by("lang", F.struct(F.col("_rank").isNull().alias("other"), "is_auto", F.coalesce("_rank", F.lit(0)).alias("rank"), "pos")).alias("lang"))
 
 
@@ -101,11 +112,11 @@ def select_source(videos: DataFrame, tracks: DataFrame) -> DataFrame:
     aggregated once; codes of one primary part look at the same tracks, but for the two Chinese scripts.
     """
     heads = list(dict.fromkeys(c if c.startswith("zh") else c.split("-")[0] for c in COMMON))
-    lang, order = F.col("lang"), F.struct("is_auto", "pos")
-    first = [F.min_by(F.struct("lang", "fetched"), F.when(matches(lang, F.lit(h)), order)).alias(f"_t{i}") for i, h in enumerate(heads)]
-    common = primary(lang).isin(*sorted({c.split("-")[0] for c in COMMON}))
+    order = F.struct("is_auto", "pos")
+    first = [F.min_by(F.struct("lang", "fetched"), F.when(hits(h), order)).alias(f"_t{i}") for i, h in enumerate(heads)]
+    common = F.col("_head").isin(*sorted({c.split("-")[0] for c in COMMON}))
     rest = F.min_by(F.struct("lang", F.when(F.col("is_auto"), 4).otherwise(3).alias("tier")), F.when(~common & F.col("fetched"), order)).alias("_rest")
-    seen = tracks.groupBy("video_id").agg(*first, rest)
+    seen = with_folded(tracks).groupBy("video_id").agg(*first, rest)
     tier1 = F.coalesce(*[F.when(F.col(f"_t{i}.fetched"), F.struct(F.col(f"_t{i}.lang").alias("lang"), F.lit(1).alias("tier"))) for i in range(len(heads))])
     tier2 = F.when(F.col("has_original"), F.struct(F.lit("original").alias("lang"), F.lit(2).alias("tier")))
     both = videos.where("has_original").select("video_id", "has_original").join(seen, "video_id", "full")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.languages import matches
+from tidemark.operators.align import hits, with_folded
 
 #: Languages that stand in for a target without a track, the best first; each stands for its regions, too (fixed values).
 STAND_INS = ("en", "de", "ja", "es", "fr", "pt", "ru", "ko")
@@ -25,7 +26,7 @@ def fetch_plan(videos: DataFrame, tracks: DataFrame, targets: DataFrame) -> Data
     Videos without tracks have no plan; a null source_lang has no original.
     """
     order, track = F.struct("is_auto", "pos"), F.struct("lang", F.when(F.col("is_auto"), "auto").otherwise("manual").alias("way"))
-    seen = tracks.groupBy("video_id").agg(*[F.min_by(track, F.when(matches(F.col("lang"), F.lit(c)), order)).alias(f"_{c}") for c in STAND_INS])
+    seen = with_folded(tracks).groupBy("video_id").agg(*[F.min_by(track, F.when(hits(c), order)).alias(f"_{c}") for c in STAND_INS])
     there = seen.select("video_id")
     original = videos.where("source_lang is not null").join(there, "video_id", "left_semi")
     original = original.select("video_id", F.lit("original").alias("item"), F.posexplode(F.array(*[F.lit(w) for w in WAYS])).alias("place", "way"), F.col("source_lang").alias("lang"))

@@ -35,11 +35,14 @@ def drain(result: DataFrame, path: str, checkpoint: str, mode: str = "complete",
     """Runs a stream until nothing is left and returns its latest result, from tables below `path`, one per batch.
 
     In update mode a batch only holds what changed, so of each of `keys` the row of the last batch that has it counts; in complete
-    mode the last batch is whole. A batch that is run again replaces its own table.
+    mode the last batch is whole, and those before it are removed once it is written. A batch that is run again replaces its own table.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        before = result.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 1}")
+        if mode == "complete":
+            before.getFileSystem(result.sparkSession._jsc.hadoopConfiguration()).delete(before, True)
 
     result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     spark, schema = result.sparkSession, StructType([*result.schema.fields, StructField("batch", LongType())])
