@@ -75,6 +75,16 @@ def fingerprint(signature_set: str) -> Column:
     return F.array_join(signature_set, "")
 
 
+def packed(signature_set: str) -> Column:
+    """A set of signatures as four bytes each, in order: what is shuffled."""
+    return F.unhex(F.array_join(signature_set, ""))
+
+
+def unpacked(packed_set: str) -> Column:
+    """The set that packed() holds."""
+    return F.filter(F.split(F.lower(F.hex(packed_set)), r"(?<=\G.{8})"), lambda x: x != "")
+
+
 def length_class(signature_set: str, least: float) -> Column:
     """The partition of a set: sets in classes more than one apart cannot be alike by `least`."""
     return F.floor(F.log(F.greatest(F.size(signature_set), F.lit(1)).cast("double")) / F.lit(math.log(1 / least) * 1.000001)).cast("int")
@@ -106,16 +116,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are shuffled by id, and goes with them; the same shuffle serves rows and successors.
     """
     k, third = F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("k"), F.floor(F.length("text") / 3).cast("int")
-    rows = signatures(docs.select(k, text_of(text_col).alias("text")), "text", "own_set").repartition("k")
+    rows = signatures(docs.select(k, text_of(text_col).alias("text")), "text", "own_set").select("k", "text", packed("own_set").alias("own")).repartition("k")
     lengths = docs.select(k, third_of(text_col).alias("wanted")).groupBy("k").agg(F.max("wanted").alias("wanted"))
     links = materialise(successors(docs, id_col).join(lengths, "k"), "successors")  # narrow
 
     # each document as the successor of another: as much of its opening as that one wants, and its set
     ahead = rows.join(links.select(F.col("k").alias("of"), F.col("next_k").alias("k"), "wanted").hint("merge"), "k")
-    ahead = ahead.select("of", F.struct(F.expr("left(text, wanted)").alias("opening"), F.col("own_set").alias("next_set")).alias("next"), F.xxhash64("text").alias("h"))
+    ahead = ahead.select("of", F.struct(F.expr("left(text, wanted)").alias("opening"), "own").alias("next"), F.xxhash64("text").alias("h"))
     ahead = ahead.groupBy(F.col("of").alias("k")).agg(F.min_by("next", "h").alias("next"))
 
-    met = rows.join(ahead.hint("merge"), "k").select("k", "text", "own_set", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.substring("next.opening", F.lit(1), third)).alias("edited"), F.col("next.next_set").alias("next_set"))
+    met = rows.join(ahead.hint("merge"), "k").select("k", "text", unpacked("own").alias("own_set"), F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.substring("next.opening", F.lit(1), third)).alias("edited"), unpacked("next.own").alias("next_set"))
     met = signatures(met, "edited", "edited_set")
     return met.select(
         F.when(F.col("k") != _FIRST_ID, F.col("k")).alias("doc_id"),
