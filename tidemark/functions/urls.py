@@ -36,7 +36,7 @@ def channel_id(url: Column) -> Column:
 
 
 def is_site_domain(url: Column) -> Column:
-    """An unanchored search for the site's names, as in the reference semantics; not a comparison of hosts."""
+    """An unanchored search for the site's names, not a comparison of hosts."""
     return url.rlike(DOMAIN)
 
 
