@@ -32,6 +32,8 @@ from tidemark.llm.pieces import pieces
 
 #: Most bytes of filters that are sent to every worker, and keys in a shard on average.
 FILTER_BYTES, SHARD_KEYS = 32 << 20, 100_000
+#: Bytes of text that a worker splits into lines at once: a text of short lines takes many times its bytes as Python objects.
+SLICE_BYTES = 500_000
 #: Tasks that the lines of one shard are dealt over where filters are not sent to every worker.
 SPREAD = 16
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -153,7 +155,7 @@ def line_keys(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None if sent is None else {s: CuckooFilter.from_bytes(f) for s, _, f in sent.value}
         shards = sent.value[0][1] if sent is not None and sent.value else 1
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, SLICE_BYTES):
             ids, hashes, keys = [], [], []
             for doc_id, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = {k for k in split_lines(text, min_chars)[1] if k is not None}
@@ -288,7 +290,7 @@ def drop_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame | None = N
     gone = gone.groupBy("doc_id", "h").agg(F.collect_set("key").alias("gone"))  # at most a text's own lines
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, SLICE_BYTES):
             n, dropped, kept = [], [], []
             for text, keys in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 if keys:
