@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import fetching
+from tidemark.operators import fetching, translation
 from tidemark.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +31,20 @@ def test_fetches_of_one_aggregation_equal_those_of_a_plan(spark):
 def test_a_fetch_plan_reads_tracks_once(spark):
     plan = QUERIES["fetch_plan"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_rows_of_calls_are_computed_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def count(batches):
+        import uuid
+
+        for pdf in batches:
+            (seen / uuid.uuid4().hex).write_text(str(len(pdf)))
+            yield pdf
+
+    rows = spark.range(100).select("id", F.concat(F.lit("words "), (F.col("id") % 5).cast("string")).alias("prompt")).mapInPandas(count, "id long, prompt string")
+    got = translation.call_once(rows, "upper", "prompt", str(tmp_path / "calls"))
+    assert got.where("answer = upper(prompt)").count() == 100
+    assert sum(int(f.read_text()) for f in seen.iterdir()) == 100

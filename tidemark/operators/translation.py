@@ -41,10 +41,14 @@ def known_calls(spark: SparkSession, cache: str) -> DataFrame:
 def call_once(rows: DataFrame, provider: str, prompt: str, cache: str, model: str = "default", concurrency: int | None = None, tries: int = 3) -> DataFrame:
     """`rows` with answer and call_error; calls are made for prompts that `cache`, a folder, has no answer of, and added to it.
 
-    Rows with one prompt share one call. A failed call leaves its error in this result and is made again by the next run.
+    Rows with one prompt share one call. A failed call leaves its error in this result and is made again by the next run. Rows are
+    written beside the cache once, because both the calls and the result read them.
     """
     spark, run = rows.sparkSession, f"{cache}/run={uuid.uuid4().hex}"
     keyed = rows.withColumn("call_key", call_key(F.col(prompt), provider, model))
+    held = f"{cache.rstrip('/')}-rows/{uuid.uuid4().hex}"
+    keyed.write.parquet(held)
+    keyed = spark.read.schema(keyed.schema).parquet(held)
     asked = keyed.where("call_key is not null").select("call_key", F.col(prompt).alias("_prompt")).dropDuplicates(["call_key"]).join(known_calls(spark, cache).select("call_key"), "call_key", "left_anti")
     call(asked, provider, "_prompt", concurrency, tries).select("call_key", "answer", "call_error").write.parquet(run)
     failed = spark.read.schema(_CALLS).parquet(run).where("answer is null").select("call_key", "call_error")
