@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import fetching, translation
 from tidemark.plans import QUERIES
+from tidemark.streaming.blocks import Blocks
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +50,67 @@ def test_rows_of_calls_are_computed_once(spark, tmp_path):
     got = translation.call_once(rows, "upper", "prompt", str(tmp_path / "calls"))
     assert got.where("answer = upper(prompt)").count() == 100
     assert sum(int(f.read_text()) for f in seen.iterdir()) == 100
+
+
+class _Value:
+    def __init__(self, log):
+        self.value, self.log = None, log
+
+    def exists(self):
+        self.log.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.log.append("get")
+        return self.value
+
+    def update(self, value):
+        self.log.append("update")
+        self.value = value
+
+    def clear(self):
+        self.log.append("clear")
+        self.value = None
+
+
+class _Map:
+    def __init__(self, log):
+        self.rows, self.log = {}, log
+
+    def containsKey(self, key):
+        self.log.append("containsKey")
+        return key in self.rows
+
+    def getValue(self, key):
+        self.log.append("getValue")
+        return self.rows[key]
+
+    def removeKey(self, key):
+        self.log.append("removeKey")
+        del self.rows[key]
+
+    def updateValue(self, key, value):
+        self.log.append("updateValue")
+        self.rows[key] = value
+
+
+class _Handle:
+    def __init__(self):
+        self.log = []
+
+    def getValueState(self, name, schema):
+        return _Value(self.log)
+
+    def getMapState(self, name, key, value):
+        return _Map(self.log)
+
+
+def test_cues_that_wait_cost_one_state_value_a_batch():
+    handle, blocks = _Handle(), Blocks("video_id", 1200, 80)
+    blocks.init(handle)
+    cue = lambda p: {"pos": p, "start_ms": p * 1000, "end_ms": p * 1000 + 900, "text": f"cue {p}" + "." * (p % 7 == 0)}
+    give = lambda at: [r for pdf in blocks.handleInputRows((1,), iter([pd.DataFrame([cue(p) for p in at])]), None) for r in pdf.to_dict("records")]
+    assert give(range(2, 401, 2)) == []  # the first is not there yet
+    found = give(range(1, 401, 2))
+    assert sum(r["n_cues"] for r in found) == 400 and [r["part"] for r in found] == list(range(len(found)))
+    assert len(handle.log) <= 12

@@ -21,14 +21,14 @@ _OPEN = ("part", "start_ms", "end_ms", "text", "n_cues", "chars", "ended")
 
 
 class Blocks(StatefulProcessor):
-    """open: the position that is next, and the block that cues are added to. early: cues whose turn has not come."""
+    """open: the position that is next, and the block that cues are added to. early: cues whose turn has not come, read and written as one value a batch."""
 
     def __init__(self, key: str, gap_ms: int, most_chars: int):
         self.key, self.gap_ms, self.most_chars = key, gap_ms, most_chars
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "next long, part long, start_ms long, end_ms long, text string, n_cues long, chars long, ended boolean")
-        self.early = handle.getMapState("early", "pos long", "start_ms long, end_ms long, text string")
+        self.early = handle.getValueState("early", "pos array<long>, start_ms array<long>, end_ms array<long>, text array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         turn, block, touched = 1, None, {}
@@ -38,19 +38,16 @@ class Blocks(StatefulProcessor):
         come = {}
         for pdf in rows:
             come.update({int(p): (int(a), int(b), t or "") for p, a, b, t in zip(pdf["pos"], pdf["start_ms"], pdf["end_ms"], pdf["text"], strict=True) if p >= turn})
-        taken = True
-        while taken:
-            cue = come.pop(turn, None)
-            taken = cue is not None
-            if not taken and self.early.containsKey((turn,)):
-                cue, taken = tuple(self.early.getValue((turn,))), True
-                self.early.removeKey((turn,))
-            if taken:
-                block = self._add(block, *cue)
-                touched[block["part"]] = dict(block)
-                turn += 1
-        for pos, cue in come.items():
-            self.early.updateValue((pos,), cue)
+        waited = {p: cue for p, *cue in zip(*self.early.get(), strict=True)} if self.early.exists() else {}
+        come = waited | come
+        while turn in come:
+            block = self._add(block, *come.pop(turn))
+            touched[block["part"]] = block
+            turn += 1
+        if come:
+            self.early.update((list(come), *[[cue[i] for cue in come.values()] for i in range(3)]))
+        elif waited:
+            self.early.clear()
         self.open.update((turn, *[block[c] for c in _OPEN]) if block else (turn, *[None] * len(_OPEN)))
         if touched:
             parts = list(touched.values())
