@@ -342,8 +342,9 @@ def _bucket_links(sized: DataFrame, percent: int) -> DataFrame:
     every = sized.select("short", F.explode("elements").alias("element"))
     hot = hot_keys(every, "element", "short")
     marked = every.join(F.broadcast(hot.select("element", (F.col("n") * SAMPLED).alias("hot"))), "element", "left")  # fewer than WINDOW_HOT rows
-    others = marked.where("hot is null").withColumn("n", F.count("*").over(Window.partitionBy("element"))).where("n > 1")
-    counted = others.select("short", "element", "n").unionByName(marked.where("hot is not null").select("short", "element", F.col("hot").alias("n")))
+    # one row in, one row out: rows of hot elements are dealt by their set, so no group of the window is large
+    own = F.when(F.col("hot").isNotNull(), F.col("short"))
+    counted = marked.withColumn("n", F.coalesce("hot", F.count("*").over(Window.partitionBy("element", own)))).where("n > 1").select("short", "element", "n")
     # by rarity in coarse steps, then by hash; the last bits of the hash give way, which may only add candidates
     step = F.least(F.lit(31), F.floor(F.log2(F.col("n").cast("double")) * 1.5)).cast("long")
     place = F.shiftleft(step, 58).bitwiseOR(F.shiftrightunsigned("element", 6))
@@ -371,9 +372,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     sent = sets.where("probes is not null").select("short", "need", F.explode("probes").alias("probe"))
     hot = hot_keys(sent, "probe", "short")
     marked = sent.join(F.broadcast(hot.select("probe", F.lit(True).alias("hot"))), "probe", "left")  # fewer than WINDOW_HOT rows
-    by_probe = Window.partitionBy("probe")
-    others = marked.where("hot is null").select("short", "need", (F.min("short").over(by_probe) < F.max("short").over(by_probe)).alias("shared")).where("shared")
-    shared = marked.where("hot").select("short", "need").unionByName(others.select("short", "need"))
+    by_probe = Window.partitionBy("probe", F.when(F.col("hot"), F.col("short")))
+    shared = marked.select("short", "need", F.coalesce("hot", F.min("short").over(by_probe) < F.max("short").over(by_probe)).alias("shared")).where("shared")
     survivors = shared.groupBy("short", "need").agg(F.count("*").alias("n")).where("n >= need").select("short")
 
     # the text of one row for each of them
