@@ -30,10 +30,12 @@ def _keep(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null or without a letter, and those that the network, which also learns what is no language, mostly takes for that.
 
-    Texts of every learned language stay, and texts in several of them. Where no row has a language to learn, all texts with letters stay.
+    The network learns from every row with a language outside the held-out fold; the bound comes from all rows in it. Texts of
+    every learned language stay, and texts in several of them. Where no row has a language to learn, all texts with letters stay.
     """
-    net, most = language_id.train_with_reject(language_id.examples(docs, fold(3) != 1), language_id.examples(docs, fold(3) == 1))
-    return language_id.with_language(docs.select(*COLUMNS), net, most)
+    net = language_id.train_on_all(docs, fold(3) != 1)
+    scored = materialise(language_id.with_reject(docs.select(*COLUMNS), net), "language-scores")
+    return scored.where(F.col("reject") <= language_id.reject_bound(scored, fold(3) == 1)).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

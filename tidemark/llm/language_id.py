@@ -17,9 +17,11 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,8 @@ SAMPLE = 500
 WINDOW, STATES, LANES = 128, 8, 2048
 #: The class of what is no learned language, and the least and largest pooled probability of it from which a text is rejected.
 REJECT, REJECT_FROM, REJECT_UPTO = "und", 0.9, 0.97
+#: Windows that one task of refine() learns from, that go together, and the largest step they take.
+SHARD, BATCH, RATE = 4096, 256, 0.003
 #: Code points of letters that foreign text is made of: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Hangul, kana, Han.
 SCRIPTS = ((0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x4E00, 0x9FA5))
 _LETTER = regex.compile(r"\p{L}")
@@ -100,8 +104,11 @@ class Network:
         z /= z.sum(1, keepdims=True)
         return z
 
-    def gradients(self, windows: np.ndarray, labels: np.ndarray, mask: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean cross-entropy over the positions in `mask` and its gradients, by backpropagation through time."""
+    def gradients(self, windows: np.ndarray, labels: np.ndarray, mask: np.ndarray, at_once: bool = False) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy over the positions in `mask` and its gradients, by backpropagation through time.
+
+        With `at_once` the gradients of all positions' inputs are added up at the end, which is faster for many lanes.
+        """
         runs = [self.run(d, windows, True) for d in (0, 1)]
         p = self.probabilities(runs[0][0], runs[1][0])
         lanes = np.arange(windows.shape[1])
@@ -113,7 +120,7 @@ class Network:
             k = self.recurrent[d].shape[1]
             outputs.append(np.einsum("tcl,tsl->cs", p, states))
             back = np.einsum("cs,tcl->tsl", self.output[d], p)
-            w_in, w_rec, dh = np.zeros_like(self.input[d]), np.zeros_like(self.recurrent[d]), np.zeros_like(back[0])
+            w_in, w_rec, dh, held = np.zeros_like(self.input[d]), np.zeros_like(self.recurrent[d]), np.zeros_like(back[0]), []
             for t, h, r, g, c, gates, size in reversed(tape):
                 dh = dh + back[t]
                 reset, update = g[:k], g[k:]
@@ -121,8 +128,14 @@ class Network:
                 dgates = np.concatenate([dc * r, dh * (h - c)]) * 0.5 / (1 + np.abs(gates)) ** 2
                 drec = np.concatenate([dgates, dc * reset])
                 w_rec += drec @ h.T
-                np.add.at(w_in.T, windows[t], np.concatenate([dgates, dc]).T)
+                if at_once:
+                    held.append((windows[t], np.concatenate([dgates, dc])))
+                else:
+                    np.add.at(w_in.T, windows[t], np.concatenate([dgates, dc]).T)
                 dh = dh * update + self.recurrent[d].T @ drec
+            if at_once:
+                at, values = np.concatenate([x for x, _ in held]).astype(np.int64), np.concatenate([x for _, x in held], axis=1)
+                w_in = np.stack([np.bincount(at, row, 256) for row in values]).astype(np.float32)
             inputs.append(w_in)
             recurrents.append(w_rec)
         return loss, [*inputs, *recurrents, *outputs, p.sum((0, 2))[:, None]]
@@ -221,12 +234,13 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return docs.select(*[f.name for f in kept.fields]).mapInArrow(rows, out)
 
 
-def foreign(learned: list[tuple[bytes, str]], n: int, seed: int = 11) -> list[tuple[bytes, str]]:
-    """`n` windows of the class REJECT: random words in scripts that the learned windows lack, random letters and digits, and learned windows with their bytes shuffled."""
+def foreign(learned: list[tuple[bytes, str]], n: int, seed: int = 11, scripts: list[tuple[int, int]] | None = None) -> list[tuple[bytes, str]]:
+    """`n` windows of the class REJECT: random words in `scripts` (those that the learned windows lack), random letters and digits, and learned windows with their bytes shuffled."""
     r = np.random.default_rng(seed)
-    seen = "".join(t.decode("utf-8", "ignore") for t, _ in learned)
-    points = np.frombuffer(seen.encode("utf-32-le"), np.uint32)
-    scripts = [(a, b) for a, b in SCRIPTS if not ((points >= a) & (points <= b)).any()]
+    if scripts is None:
+        seen = "".join(t.decode("utf-8", "ignore") for t, _ in learned)
+        points = np.frombuffer(seen.encode("utf-32-le"), np.uint32)
+        scripts = [(a, b) for a, b in SCRIPTS if not ((points >= a) & (points <= b)).any()]
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     out = []
     for i in range(n):
@@ -258,6 +272,116 @@ def train_with_reject(learned: list[tuple[bytes, str]], held_out: list[tuple[byt
     return net, float(np.clip(np.quantile(p, 0.999), REJECT_FROM, REJECT_UPTO))
 
 
+def _marked(docs: DataFrame, rows: Column, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    found = docs.where(rows & F.col(lang_col).isNotNull() & (F.length(text_of(text_col)) > 0))
+    return found.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).alias("lang"))
+
+
+def unseen_scripts(texts: DataFrame) -> list[tuple[int, int]]:
+    """Those of SCRIPTS that no row of `texts` (text) has a letter of."""
+    ranges = [f"{chr(a)}-{chr(b)}" for a, b in SCRIPTS]
+    some = texts.where(F.col("text").rlike(f"[{''.join(ranges)}]"))
+    found = some.agg(*[F.max(F.col("text").rlike(f"[{r}]")).alias(f"s{i}") for i, r in enumerate(ranges)]).first()  # one row
+    return [script for script, there in zip(SCRIPTS, found, strict=True) if not there]
+
+
+def refine(net: Network, marked: DataFrame, scripts: list[tuple[int, int]]) -> Network:
+    """`net` after it has learned from two windows of every row of `marked` (id, text, lang): the mean of what its shards make of it.
+
+    A shard has about SHARD windows, and as many of REJECT as of a language in the mean. Each of its windows is learned from once at least;
+    classes go into a batch alike, so those of rare ones come again. Means are sums of whole numbers: reruns agree.
+    """
+    start = F.explode(F.array(F.lit(1), F.lit(1) + F.pmod(F.xxhash64("id", "text"), F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int")))
+    shards = max(1, -(-2 * marked.count() // SHARD))
+    windows = marked.select("id", "text", "lang", start.alias("start")).select("lang", F.expr(f"substring(text, start, {WINDOW})").alias("text"), F.pmod(F.xxhash64("id", "start", "text"), F.lit(shards)).alias("shard"))
+    sent = marked.sparkSession.sparkContext.broadcast(net)
+    one = float(1 << 36)
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        mine = deepcopy(sent.value)
+        learned = sorted((t.encode("utf-8", "surrogatepass")[:WINDOW], lang) for t, lang in zip(rows["text"], rows["lang"], strict=True) if lang in mine.languages)
+        made = foreign(learned, max(8, len(learned) // max(1, len(mine.languages) - 1)), int(key[0]), scripts)
+        learn(mine, learned + made, int(key[0]))
+        flat = np.concatenate([w.ravel() for w in mine.weights()]).astype(np.float64)
+        return pd.DataFrame({"w": [np.rint(flat * one).astype(np.int64).tolist()]})
+
+    fitted = windows.groupBy("shard").applyInPandas(fit, "w array<long>")
+    sums = fitted.select(F.posexplode("w").alias("at", "w")).groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).orderBy("at").toArrow()  # a row per weight
+    if not sums.num_rows:
+        return net
+    flat, at, out = (sums["w"].to_numpy() / one / sums["n"].to_numpy()).astype(np.float32), 0, deepcopy(net)
+    for w in out.weights():
+        w[...] = flat[at : at + w.size].reshape(w.shape)
+        at += w.size
+    return out
+
+
+def learn(net: Network, examples: list[tuple[bytes, str]], seed: int) -> None:
+    """Fits `net` further, in place, to windows of its languages, each of which is met once at least."""
+    r = np.random.default_rng(seed)
+    windows, mask = np.zeros((len(examples), WINDOW), np.uint8), np.zeros((len(examples), WINDOW), np.float32)
+    for i, (text, _) in enumerate(examples):
+        windows[i, : len(text)], mask[i, : len(text)] = np.frombuffer(text, np.uint8), 1
+    labels = np.array([net.languages.index(lang) for _, lang in examples])
+    turns = [r.permutation(np.flatnonzero(labels == c)) for c in np.unique(labels)]
+    each = -(-BATCH // len(turns))
+    steps = -(-max(map(len, turns)) // each)
+    m, v = [[np.zeros_like(w) for w in net.weights()] for _ in range(2)]
+    for step in range(1, steps + 1):
+        pick = np.concatenate([np.take(x, np.arange((step - 1) * each, step * each), mode="wrap") for x in turns])
+        _, grads = net.gradients(windows[pick].T.copy(), labels[pick], mask[pick].T, at_once=True)
+        norm = float(np.sqrt(sum((g**2).sum() for g in grads)))
+        now = RATE * (1 - (step - 1) / steps)
+        for w, g, a, b in zip(net.weights(), grads, m, v, strict=True):
+            g = g * min(1.0, 1.0 / (norm + 1e-9))
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            w -= (now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+
+
+def train_on_all(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+    """A network that also knows what is no language, from all training rows: it starts from the windows of examples() and is refined by every row."""
+    started = examples(docs, training, id_col, text_col, lang_col)
+    languages = len({lang for _, lang in started})
+    if not languages:
+        return None
+    marked = _marked(docs, training, id_col, text_col, lang_col)
+    scripts = unseen_scripts(marked)
+    return refine(train(started + foreign(started, max(100, len(started) // languages), scripts=scripts)), marked, scripts)
+
+
+def with_reject(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """All columns of `docs` and reject, the pooled probability of REJECT over all bytes of a text: null without a letter, 0 without a network."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    out = StructType([*docs.schema.fields, StructField("reject", DoubleType())])
+    at, arrow, sent = docs.columns.index(text_col), to_arrow_schema(out), docs.sparkSession.sparkContext.broadcast(net)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in pieces(batches, at):
+            texts = batch.column(at).to_pylist()
+            which = np.flatnonzero([t is not None and _LETTER.search(t) is not None for t in texts])
+            found = np.zeros(len(texts))
+            if model is not None and len(which):
+                found[which] = predict(model, [texts[k].encode("utf-8", "surrogatepass") for k in which.tolist()])[:, model.languages.index(REJECT)]
+            none = np.ones(len(texts), bool)
+            none[which] = False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, mask=none)], schema=arrow)
+
+    return docs.mapInArrow(rows, out)
+
+
+def reject_bound(scored: DataFrame, held_out: Column, lang_col: str = "lang") -> float:
+    """The value of reject that 999 in 1000 of all held-out rows with a language stay below, within REJECT_FROM and REJECT_UPTO.
+
+    Values count to four decimals, so what is counted has a bounded number of them. REJECT_FROM where no row is held out.
+    """
+    found = scored.where(held_out & F.col(lang_col).isNotNull()).agg(F.percentile(F.round("reject", 4), F.lit(0.999))).first()[0]
+    return REJECT_FROM if found is None else float(np.clip(found, REJECT_FROM, REJECT_UPTO))
+
+
 def accepted(net: Network | None, most: float, texts: list[str | None], wanted: list[str] | None = None) -> np.ndarray:
     """Which texts have letters, are not rejected, and, if languages are `wanted`, have one of these as their likeliest."""
     keep = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
