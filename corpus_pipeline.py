@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, mixing, ngram_join, sentencepiece_codec
-from tidemark.llm.common import fold, materialise, numbered, release, scope
+from tidemark.llm.common import bounded_batches, fold, materialise, numbered, release, scope
 from tidemark.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,6 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The network learns from every row with a language outside the held-out fold; the bound comes from all rows in it. Texts of
     every learned language stay, and texts in several of them. Where no row has a language to learn, all texts with letters stay.
     """
+    bounded_batches(spark)
     net = language_id.train_on_all(docs, fold(3) != 1)
     scored = materialise(language_id.with_reject(docs.select(*COLUMNS), net), "language-scores")
     return scored.where(F.col("reject") <= language_id.reject_bound(scored, fold(3) == 1)).select(*COLUMNS)
@@ -40,6 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts."""
+    bounded_batches(spark)
     docs = _numbered(docs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     return _keep(docs, exact_dedup.exact_dedup(docs.withColumn("_place", place), id_col="_place").where("kept").select(F.col("doc_id.row").alias("_row")))
@@ -47,6 +49,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each group of near copies: five-word n-grams, a Jaccard of 0.8 or more."""
+    bounded_batches(spark)
     docs = _numbered(docs)
     return _keep(docs, ngram_join.ngram_join(docs, n=5, percent=80, row_col="_row").where("kept").select(F.col("row").alias("_row")))
 
@@ -61,7 +64,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, one row per copy."""
-    return sentencepiece_codec.encode(docs, tokenizer("piece_bpe_32k.model")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    bounded_batches(spark)
+    return sentencepiece_codec.encode(docs, tokenizer("piece_bpe_32k.model"), decode=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mix), ("SentencePiece", tokens)]

@@ -77,6 +77,20 @@ def release(*tables: DataFrame) -> None:
             folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bytes of an Arrow batch for Python.
+BATCH_BYTES = 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold about BATCH_BYTES, or one row, unless the session has a limit of its own.
+
+    Otherwise they hold 10,000 rows, or 64 MB. Executors keep a batch several times outside their heap, and each worker once more.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 #: Keys that more than one in HOT rows have are hot; so there are fewer than HOT of them.
 HOT = 1000
 

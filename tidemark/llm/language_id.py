@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
-from tidemark.llm.pieces import pieces
+from tidemark.llm.pieces import give_back, pieces
 
 #: Documents per language that training may take.
 SAMPLE = 500
@@ -302,6 +302,7 @@ def refine(net: Network, marked: DataFrame, scripts: list[tuple[int, int]]) -> N
         learned = sorted((t.encode("utf-8", "surrogatepass")[:WINDOW], lang) for t, lang in zip(rows["text"], rows["lang"], strict=True) if lang in mine.languages)
         made = foreign(learned, max(8, len(learned) // max(1, len(mine.languages) - 1)), int(key[0]), scripts)
         learn(mine, learned + made, int(key[0]))
+        give_back()
         flat = np.concatenate([w.ravel() for w in mine.weights()]).astype(np.float64)
         return pd.DataFrame({"w": [np.rint(flat * one).astype(np.int64).tolist()]})
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SAMPLED, hot_keys, lookup, materialise, numbered, release, text_of
 from tidemark.llm.components import components
-from tidemark.llm.pieces import pieces
+from tidemark.llm.pieces import give_back, pieces
 
 #: Sets, and elements, that a block holds on average at most.
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 1_600_000
@@ -219,6 +219,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
                 held.append(batch.slice(int(a), int(b - a)))
     if held:
         yield pa.Table.from_batches(held)
+    held, batch = [], None
+    give_back()
 
 
 def _sets(table: pa.Table) -> list[np.ndarray]:

@@ -12,6 +12,15 @@ import pyarrow.compute as pc
 PIECE_BYTES = 2_000_000
 
 
+def give_back() -> None:
+    """Returns memory that is free in this process to the system.
+
+    A Python worker outlives its task, and allocators keep what is freed; so idle workers would hold what their largest task took.
+    """
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # the C library's
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of all batches, in order, in pieces whose texts hold `size` bytes and one text more at most; no piece is empty."""
     for batch in batches:
@@ -20,6 +29,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYT
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if batch.num_rows else []
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+    batch = None
+    give_back()
 
 
 def slices(texts: list[str], chars: int) -> Iterator[slice]:

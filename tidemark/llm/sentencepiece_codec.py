@@ -2,11 +2,11 @@
 
 A chunk is a run of white-space markers and the unmarked characters behind it. Where no piece of the model has a marker
 behind another character, no piece crosses the start of a chunk, so chunks are segmented independently of each other: each
-distinct chunk is segmented and decoded once per worker, and ids and text are joined back by position with array lookups.
+distinct chunk is segmented and decoded once per task, and ids and text are joined back by position with array lookups.
 Whether a model allows this is read from its pieces; if not, whole texts go to the library.
 
-The table lives as long as the Python worker and is emptied once it holds `TABLE_CHARS` characters, so memory is bounded
-whatever the texts hold. No shuffle is needed.
+The table lives as long as a task and is emptied once it holds `TABLE_CHARS` characters, so memory is bounded whatever the
+texts hold, and a worker that goes on to other work keeps the model only. No shuffle is needed.
 
 Defined cases: null text counts as empty and has no ids; empty tables give empty results; other columns are kept out of the
 result, whatever their names; a text of any length is encoded as a whole.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import text_of
-from tidemark.llm.pieces import pieces
+from tidemark.llm.pieces import give_back, pieces
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -36,7 +36,7 @@ TABLE_CHARS = 2_000_000
 #: Bytes of text that are put together at once.
 SLICE_BYTES = 500_000
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, bool], Codec] = {}
 
 
 class Codec:
@@ -105,25 +105,29 @@ class Codec:
         return np.diff(upto[np.r_[0, ends]]), ids, back
 
 
-def codec(model_path: str) -> Codec:
-    if model_path not in _codecs:
-        _codecs[model_path] = Codec(model_path)
-    return _codecs[model_path]
+def codec(model_path: str, decodes: bool = True) -> Codec:
+    if (model_path, decodes) not in _codecs:
+        _codecs[model_path, decodes] = Codec(model_path, decodes)
+    return _codecs[model_path, decodes]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int), decoded (the text that the ids give back) per row of `docs`."""
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """doc_id, ids (array of int), and, unless `decode` is false, decoded (the text that the ids give back) per row of `docs`."""
     id_type = docs.schema[id_col].dataType
-    schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("ids", pa.list_(pa.int32())), *[("decoded", pa.string())] * decode])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(model_path)
-        for part in pieces(batches, 1, SLICE_BYTES):
-            counts, ids, decoded = table.run(part.column(1).to_pylist())
-            offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], schema=schema)
-
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(rows, f"doc_id {id_type.simpleString()}, ids array<int>, decoded string")
+        table = codec(model_path, decode)
+        try:
+            for part in pieces(batches, 1, SLICE_BYTES):
+                counts, ids, decoded = table.run(part.column(1).to_pylist())
+                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), *[pa.array(decoded, pa.string())] * decode], schema=schema)
+        finally:
+            table.clear()
+            give_back()
+
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(rows, f"doc_id {id_type.simpleString()}, ids array<int>" + ", decoded string" * decode)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
